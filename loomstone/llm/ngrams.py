@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 
 from .common import slices, text_buffers
 
 ORDERS = (1, 2, 3, 4)
+#: Shares of doubled words, and features that stand for each: one among thousands would weigh too little.
+DOUBLED, COPIES = (0.05, 0.1, 0.2, 0.4, 0.8), 32
 
 
 class Indicators:
     """Distinct n-gram numbers of one text at a time, by a table of flags that is cleared after each."""
 
-    def __init__(self, bits: int, orders: tuple[int, ...] = ORDERS) -> None:
-        self.bits, self.orders = bits, orders
+    def __init__(self, bits: int, orders: tuple[int, ...] = ORDERS, doubled: bool = False) -> None:
+        """doubled: also indicators of how large a share of the word pairs is one word twice."""
+        self.bits, self.orders, self.doubled = bits, orders, doubled
         self.flags = np.zeros(1 << bits, bool)
 
     def __call__(self, data: np.ndarray) -> np.ndarray:
@@ -26,6 +31,12 @@ class Indicators:
                 code = code[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(n)
                 if n in self.orders:
                     self.flags[(code * np.uint32(0x9E3779B1)) >> shift] = True
+        if self.doubled:
+            w = data.tobytes().split()
+            twice = sum(map(eq, w, w[1:]))
+            for k, least in enumerate(DOUBLED):
+                if twice > least * len(w):
+                    self.flags[k * COPIES : (k + 1) * COPIES] = True
         found = np.flatnonzero(self.flags)
         self.flags[found] = False
         return found

@@ -27,14 +27,14 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def featurize(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+def featurize(docs: DataFrame, id_col: str, text_col: str, bits: int, doubled: bool = False) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = to_arrow_type(source.schema["_id"].dataType)
 
     def run(batches):
-        of = Indicators(bits)
+        of = Indicators(bits, doubled=doubled)
         for batch in batches:
             rows = [of(x).astype(np.int32).tobytes() for x in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(rows, pa.binary())], names=["_id", "grams"])
@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most max_rows ids and labels: small enough to send to every task.
     sample = one.orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
     chosen = docs.select(F.col(id_col).alias("_lid"), F.col(text_col).alias("_text")).dropna(subset=["_lid"]).join(F.broadcast(sample), "_lid")
-    found = featurize(chosen.withColumn("_pair", F.struct("_lid", "_y")), "_pair", "_text", bits).select("_id._lid", "_id._y", "grams").collect()
+    found = featurize(chosen.withColumn("_pair", F.struct("_lid", "_y")), "_pair", "_text", bits, doubled=True).select("_id._lid", "_id._y", "grams").collect()
     found = sorted({r["_lid"]: r for r in sorted(found, key=lambda r: bytes(r["grams"]))}.values(), key=lambda r: r["_lid"])
     rows = [np.frombuffer(r["grams"], np.int32) for r in found]
     return Model(rows, np.array([1.0 if r["_y"] > 0 else -1.0 for r in found]), bits)
@@ -99,7 +99,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = to_arrow_type(source.schema["_id"].dataType)
 
     def run(batches):
-        own, of = sent.value, Indicators(bits)
+        own, of = sent.value, Indicators(bits, doubled=True)
         for batch in batches:
             got = [own.score(own.margin(of(x))) for x in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(got, pa.float64())], names=["_id", "score"])
