@@ -42,8 +42,9 @@ def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with _lines (before), _dropped (count) and _kept (text of the other lines) added."""
-    often = frequent(docs, id_col, text_col, min_docs, min_chars)
-    hits = _lines(docs, id_col, text_col, min_chars).join(often, "_h", "left_semi")
+    # The further key makes Spark exchange the counted hashes again, so that it can split a very common line's rows.
+    often = frequent(docs, id_col, text_col, min_docs, min_chars).withColumn("_h2", F.xxhash64("_h"))
+    hits = _lines(docs, id_col, text_col, min_chars).withColumn("_h2", F.xxhash64("_h")).join(often, ["_h", "_h2"], "left_semi")
     drops = hits.groupBy("_id", "_rk").agg(F.collect_set("_pos").alias("_drop"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.withColumns({"_split": F.split(text, "\n", -1), "_did": F.col(id_col), "_drk": F.xxhash64(text)})
