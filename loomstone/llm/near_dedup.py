@@ -9,9 +9,9 @@
    trials; below MISS the pair is dropped.
 4. Survivors are verified exactly on the full sets, from the texts: first each node's most similar one,
    then those still between different components.
-5. Buckets whose members are in several components after that are swept: all their pairs across
-   components, compared in blocks inside a task by the same batches; the survivors are verified. So the
-   pivots lose no link that the bands propose. Bands miss a pair at the threshold of 0.8 with probability
+5. Buckets whose members are in several components after that are swept: pairs across components are
+   compared in blocks inside a task, by the same batches and then on the full sets, until they are in one
+   component. Only links leave the task. So the pivots lose no link that the bands propose. Bands miss a pair at the threshold of 0.8 with probability
    (1 - 0.8**4)**25 < 2e-6, and fewer above it.
 
 Null or empty text, or text without words: an empty set, linked with nothing. Fewer words than a shingle
@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slice, materialize
+from .common import by_slice, materialize, slices, text_buffers
 from .components import components
 from .words import LOWER, NOT_SPACE, bounds, hashes, mix, windows
 
 BANDS, ROWS = 25, 4
 #: Probability at which a pair is given up, and hashes compared before each decision.
 MISS, BATCH = 1e-6, 20
-#: Members of a bucket that a sweep compares in one task; larger buckets are cut into blocks.
-BLOCK = 1024
+#: Members of a bucket, and bytes of their texts, in a block; a sweep compares two blocks at most in one task.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,23 +161,46 @@ def _exact(size: int, threshold: tuple[int, int]):
     return run
 
 
-def _sweep(threshold):
+def _sweep(size: int, threshold: tuple[int, int]):
+    """Of one bucket, or of two blocks of a large one: links between components, as few as join them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, part = (np.asarray(table.column(c).combine_chunks()) for c in ("id", "comp", "part"))
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        h, counts = [], []
+        data, offs = text_buffers(table.column("text"))
+        for i, j in slices(offs):
+            own, n = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], size)
+            h.append(own)
+            counts.append(n)
+        h, counts = np.concatenate(h), np.concatenate(counts)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        sig = signatures(h, counts)
+        sets: dict[int, set] = {}
+
+        def own_set(i: int) -> set:
+            if i not in sets:
+                sets[i] = set(h[first[i] : first[i + 1]].tolist())
+            return sets[i]
+
+        comp = comp.copy()
         left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
-        out_a, out_b = [], []
-        for i in left:
+        out: list[tuple[int, int]] = []
+        for i in left.tolist():
             other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if x == y else True)]
-            if len(other):
-                ok, _ = survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], threshold)
-                out_a.append(np.minimum(ids[i], ids[other[ok]]))
-                out_b.append(np.maximum(ids[i], ids[other[ok]]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema=schema)
+            if not len(other):
+                continue
+            small, large = np.minimum(counts[i], counts[other]), np.maximum(counts[i], counts[other])
+            other = other[threshold[1] * small >= threshold[0] * large]
+            ok, equal = survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], threshold)
+            for j in other[ok][np.argsort(-equal[ok], kind="stable")].tolist():
+                if comp[i] != comp[j]:
+                    both = len(own_set(i) & own_set(j))
+                    if threshold[1] * both >= threshold[0] * (counts[i] + counts[j] - both):
+                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                        comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())}, schema=schema)
 
     return run
 
@@ -224,16 +247,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links.append(verify(across(likely.join(best, ["a", "b"], "left_anti"), comps)))
     comps = components(reduce(DataFrame.union, links))
 
-    # Buckets of three or more that are still in several components: their pairs without the pivot.
+    # Buckets of three or more that are still in several components. Buckets of the same members are swept once.
     open_ = shared.where("size > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "size", F.coalesce("comp", "id").alias("comp"))
-    mixed = open_.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", F.xxhash64("band").alias("b2"))
-    rows = open_.withColumn("b2", F.xxhash64("band")).join(mixed, ["band", "b2"], "left_semi").join(sigs, "id")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.select("band", "id", "comp", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id", "comp", "sig", "part")
-    swept = rows.groupBy("band", "x", "y").applyInArrow(_sweep(threshold), "a bigint, b bigint").distinct()
-    links.append(verify(swept.join(star, ["a", "b"], "left_anti")))
+    open_ = open_.join(texts.select("id", F.octet_length("text").alias("bytes")), "id")
+    same = [F.sum(F.expr("cast(xxhash64(id) as decimal(20, 0))")).alias("s1"), F.expr("bit_xor(xxhash64(id, 1))").alias("s2")]
+    mixed = open_.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("size").alias("size"), F.sum("bytes").alias("bytes"), *same).where("lo < hi")
+    mixed = mixed.groupBy("size", "s1", "s2").agg(F.min("band").alias("band"), F.first("bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    mixed = mixed.select("band", F.xxhash64("band").alias("b2"), parts.alias("parts"))
+    rows = open_.withColumn("b2", F.xxhash64("band")).join(mixed, ["band", "b2"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.select("band", "id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id", "comp", "part").join(texts, "id")
+    swept = rows.groupBy("band", "x", "y").applyInArrow(_sweep(shingle, threshold), "a bigint, b bigint").distinct()
+    links.append(verify(swept))
     if links[-1].limit(1).count():
         comps = components(reduce(DataFrame.union, links))
 
