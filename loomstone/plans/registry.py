@@ -12,6 +12,7 @@ from ..functions import files as ff
 from ..functions import text as ft
 from ..operators import bm25, events, ingest, search, tasks
 from ..operators.filters import UnifiedFilter, apply, metadata_only, with_exif
+from ..session import ship
 from ..sources.tables import Tables, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,11 @@ _SQL: dict[str, str] = {}
 
 def query(name: str, body: str | None = None, *ctes: str):
     def add(fn: Callable[[Tables], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, sf_dir))
+
+        _QUERIES[name] = run
         if body:
             _SQL[name] = sql(body, *ctes)
         return fn
