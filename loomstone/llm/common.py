@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship  # noqa: F401
+
 #: Bytes of text that the vectorised operators work on at a time.
 SLICE_BYTES = 1 << 20
 
@@ -46,25 +46,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, for clusters on which it isn't installed. Once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_loomstone_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(top):
-        at = os.path.join(tempfile.mkdtemp(prefix="loomstone-ship-"), "loomstone_ship.zip")
-        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-            for d, dirs, files in os.walk(top):
-                dirs[:] = [x for x in dirs if x != "__pycache__"]
-                for f in files:
-                    if f.endswith(".py"):
-                        p = os.path.join(d, f)
-                        z.write(p, os.path.relpath(p, os.path.dirname(top)))
-        sc.addPyFile(at)
-    sc._loomstone_shipped = True
-
-
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string array; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
