@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstone.llm import decontaminate, line_dedup, near_dedup, packing, repetition
@@ -33,12 +35,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+
+
+def _ready(stage):
+    """A stage may be called alone: the session gets its shared folder and this package first."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared_dir(spark)
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup_stage),
-    ("near_dedup", near_dedup_stage),
-    ("decontamination", decontamination),
-    ("packing", pack),
+    ("quality_rules", _ready(quality_rules)),
+    ("line_dedup", _ready(line_dedup_stage)),
+    ("near_dedup", _ready(near_dedup_stage)),
+    ("decontamination", _ready(decontamination)),
+    ("packing", _ready(pack)),
 ]
 
 #: Suffix arrays, MinHash and tokenizers have no SQL; tests compare the rows with a brute-force version.
@@ -46,8 +62,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
