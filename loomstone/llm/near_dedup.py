@@ -225,8 +225,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared = star.join(sigs.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
     likely = materialize(compared.select("a", "b", "sa", "sb").mapInArrow(_prune(threshold), "a bigint, b bigint, equal bigint"), "likely")
 
+    # Always by a shuffle: how many ids are wanted grows with the documents, so the plan is the same at every size.
     wanted = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(wanted, "id", "left_semi")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(wanted.hint("shuffle_merge"), "id", "left_semi")
     texts = materialize(text.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if _repeated(meta) else text, "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
