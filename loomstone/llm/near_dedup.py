@@ -215,7 +215,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = materialize(owners.groupBy("_id").agg(F.min("rep").alias("rep")), "members")
     nodes = materialize(full.join(member.where("_id = rep").select("_id"), "_id", "left_semi").groupBy(F.col("_id").alias("id")).agg(F.min_by("sig", F.struct("k1", "k2")).alias("sig")), "nodes")
     bands = nodes.mapInArrow(_band_rows, "band bigint, id bigint")
-    drawn = F.min_by("id", F.xxhash64("band", "id"))
+    # Four orders of pivots: buckets of one group mostly share theirs, so a member has few distinct pairs.
+    drawn = F.min_by("id", F.xxhash64(F.pmod("band", F.lit(4)), "id"))
     pivots = bands.groupBy("band").agg(drawn.alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("b2", F.xxhash64("band"))
     shared = materialize(bands.withColumn("b2", F.xxhash64("band")).join(pivots, ["band", "b2"]).select("band", "id", "pivot", "size"), "buckets")
     star = shared.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
