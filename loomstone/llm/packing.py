@@ -31,8 +31,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a worker's table; when full it starts anew. Only speed depends on it.
 CACHE_WORDS = 400_000
 
-# The tokenizer file's own way to cut normalised text, for texts of SIMPLE characters only.
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# The tokenizer file's own way to cut normalised text, for lower-cased texts of SIMPLE characters only.
+CUT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ÿ0-9]+")
 #: ASCII, and the Latin-1 letters that are composed, have simple lower case, and are letters for both libraries.
 SIMPLE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 
@@ -46,6 +46,21 @@ def _shown() -> dict[int, str]:
 _SHOWN = _shown()
 
 
+class Words(dict):
+    """Ids of words, looked up in the model when first asked for."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        shown = word.encode().decode("latin-1").translate(_SHOWN)
+        self[word] = ids = np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes."""
 
@@ -54,7 +69,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.tokenizer.model)
         #: Strings that the library takes out of a text before it normalises it.
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.probe()
@@ -68,21 +83,10 @@ class Encoder:
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _new(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        for w in words:
-            self.words[w] = np.array([x.id for x in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_SHOWN))], "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         if not self.own or not SIMPLE.fullmatch(text) or ("<|" in text and any(x in text for x in self.special)):
             return self.library(text)
-        words = CUT.findall(text.lower())
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._new([w for w in set(words) if w not in self.words])
-            return b"".join([self.words.get(w) or self.library(w) for w in words])
+        return b"".join(map(self.words.__getitem__, CUT.findall(text.lower())))
 
 
 @lru_cache(2)
