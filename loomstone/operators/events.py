@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Reason bits of journal records.
@@ -16,14 +17,20 @@ def coalesce_kinds(kinds):
 
 
 def debounce(events: DataFrame, gap: str = "2 seconds") -> DataFrame:
-    """Quiet for gap ends a batch of all paths: (flush_start, path, action), paths that cancel out gone."""
-    rows = events.where("kind <> 'moved'").select(F.col("ts").cast("timestamp").alias("ts"), "path", "kind")
-    # The windows are global by definition; only their bounds are computed so, from one distinct time each.
-    sessions = rows.select("ts").distinct().groupBy(F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    day = rows.withColumn("_h", F.date_trunc("hour", "ts"))
-    spans = sessions.withColumn("_h", F.explode(F.sequence(F.date_trunc("hour", "start"), F.date_trunc("hour", "end"), F.expr("interval 1 hour"))))
-    held = day.join(spans, (day["_h"] == spans["_h"]) & (day["ts"] >= spans["start"]) & (day["ts"] < spans["end"]))
-    return held.groupBy("start", "path").agg(coalesce_kinds(F.collect_set("kind")).alias("action")).where("action IS NOT NULL").select(F.col("start").alias("flush_start"), "path", "action")
+    """Quiet for gap (an hour at most) ends a batch of all paths: (flush_start, path, action), paths that cancel out gone.
+
+    A batch is global, but is found by the hour: sessions within each hour, and then, over one row an hour,
+    whether its first session goes on from the hour before, and since when."""
+    rows = events.where("kind <> 'moved'").select(F.col("ts").cast("timestamp").alias("ts"), "path", "kind").withColumn("_h", F.date_trunc("hour", "ts"))
+    own = rows.groupBy("_h", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("_h", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    hours = own.groupBy("_h").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.max("end").alias("until"), F.count(F.lit(1)).alias("n"))
+    order = W.orderBy("_h")
+    hours = hours.withColumn("goes_on", F.coalesce(F.lag("until").over(order) > F.col("first"), F.lit(False)))
+    since = F.last(F.when((F.col("n") > 1) | ~F.col("goes_on"), F.col("last")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    hours = hours.withColumn("since", since).select("_h", "first", "goes_on", "since")
+    spans = own.join(hours, "_h").select("_h", "start", "end", F.when(F.col("goes_on") & (F.col("start") == F.col("first")), F.col("since")).otherwise(F.col("start")).alias("flush_start"))
+    held = rows.join(spans, (rows["_h"] == spans["_h"]) & (rows["ts"] >= spans["start"]) & (rows["ts"] < spans["end"]))
+    return held.groupBy("flush_start", "path").agg(coalesce_kinds(F.collect_set("kind")).alias("action")).where("action IS NOT NULL")
 
 
 def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:

@@ -66,6 +66,11 @@ def test_events(spark):
     e = spark.createDataFrame(rows, "path string, kind string, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1000000).cast("long")))
     got = sorted((r["path"], r["action"]) for r in events.debounce(e).collect())
     assert got == [("/a", "change"), ("/b", "change"), ("/c", "delete")]
+    # One batch from 00:59:59 over a whole busy hour and into the next, and one of its own after.
+    far = [("/p", "created", 3599.0 + i) for i in range(3700)] + [("/p", "deleted", 7299.5), ("/q", "created", 7400.0)]
+    long = spark.createDataFrame(far, "path string, kind string, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1000000).cast("long")))
+    assert sorted((r["path"], r["flush_start"].minute) for r in events.debounce(long).collect()) == [("/q", 3)]
+    assert events.debounce(long.where("kind = 'created'")).count() == 2
     moved = e.select("*", F.lit("").alias("dest")).unionByName(spark.createDataFrame([("/b", "moved", 1.7, "/a")], "path string, kind string, s double, dest string").withColumn("ts", F.timestamp_micros((F.col("s") * 1000000).cast("long"))))
     assert sorted((r["path"], r["s"]) for r in events.forget_moved(moved).collect()) == [("/a", 30.0), ("/b", 2.0), ("/c", 9.0), ("/c", 9.5)]
 
