@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -236,7 +237,8 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         length = np.asarray(table.column("length").combine_chunks())
         base = np.zeros(size + 1, np.int64)
         base[np.asarray(own.column("length").combine_chunks())] = np.asarray(own.column("base").combine_chunks())
-        order = np.argsort(length, kind="stable")
+        # The same order however often the task is run.
+        order = np.asarray(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")]))
         values, first, n = np.unique(length[order], return_index=True, return_counts=True)
         sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
         for v, f, m in zip(values.tolist(), first.tolist(), n.tolist(), strict=True):
