@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Rounds between two writes.
+ROUNDS = 2
+
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, comp): the least node that each linked node reaches. No links: no rows.
@@ -18,11 +21,23 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(both, "edges")
     labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        step = step.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp"))
+        step = labels.withColumn("old", F.col("comp"))
+        for _ in range(ROUNDS):
+            near = edges.join(step.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
+            step = step.join(near, "node").select("node", "old", F.least("comp", "least").alias("comp"))
+            jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+            step = step.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp"))
         step = materialize(step, "labels")
         labels = step.select("node", "comp")
         if not step.where("old <> comp").limit(1).count():
             return labels
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after more links: components of the components that these join, which are far fewer."""
+    ca, cb = comps.withColumnsRenamed({"node": "a", "comp": "ca"}), comps.withColumnsRenamed({"node": "b", "comp": "cb"})
+    between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(between).withColumnsRenamed({"node": "comp", "comp": "least"})
+    old = comps.join(top, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    new = top.select(F.col("comp").alias("node"), F.col("least").alias("comp")).join(comps.select("node"), "node", "left_anti")
+    return materialize(old.unionByName(new), "labels")

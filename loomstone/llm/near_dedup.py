@@ -7,8 +7,7 @@
 3. A pair's signatures are compared batch by batch. With a uniform prior the posterior probability that
    the similarity reaches the threshold, given m equal of n, is that of at most m successes in n + 1
    trials; below MISS the pair is dropped.
-4. Survivors are verified exactly on the full sets, from the texts: first each node's most similar one,
-   then those still between different components.
+4. Survivors are verified exactly on the full sets, from the texts.
 5. Buckets whose members are in several components after that are swept: pairs across components are
    compared in blocks inside a task, by the same batches and then on the full sets, until they are in one
    component. Only links leave the task. So the pivots lose no link that the bands propose. Bands miss a pair at the threshold of 0.8 with probability
@@ -22,7 +21,6 @@ nothing. Other columns pass through `keep`."""
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from math import comb
 
 import numpy as np
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_slice, materialize, slices, text_buffers
-from .components import components
+from .components import components, merged
 from .words import LOWER, NOT_SPACE, bounds, hashes, mix, windows
 
 BANDS, ROWS = 25, 4
@@ -235,19 +233,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
         return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_exact(shingle, threshold), "a bigint, b bigint"), "links")
 
-    def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        ca, cb = comps.withColumnsRenamed({"node": "a", "comp": "ca"}), comps.withColumnsRenamed({"node": "b", "comp": "cb"})
-        out = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    # Each node's most similar partner first: a forest, mostly, so few texts are compared.
-    ends = likely.select(F.col("a").alias("node"), "a", "b", "equal").union(likely.select(F.col("b").alias("node"), "a", "b", "equal"))
-    best = ends.groupBy("node").agg(F.max(F.struct("equal", F.expr("-a").alias("na"), F.expr("-b").alias("nb"))).alias("m")).select(F.expr("-m.na").alias("a"), F.expr("-m.nb").alias("b")).distinct()
-    best = materialize(best, "best")
-    links = [verify(best)]
-    comps = components(links[0])
-    links.append(verify(across(likely.join(best, ["a", "b"], "left_anti"), comps)))
-    comps = components(reduce(DataFrame.union, links))
+    links = verify(likely)
+    comps = components(links)
 
     # Buckets of three or more that are still in several components. Buckets of the same members are swept once.
     open_ = shared.where("size > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "size", F.coalesce("comp", "id").alias("comp"))
@@ -261,9 +248,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("band", "id", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("band", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id", "comp", "part").join(texts, "id")
     swept = rows.groupBy("band", "x", "y").applyInArrow(_sweep(shingle, threshold), "a bigint, b bigint").distinct()
-    links.append(verify(swept))
-    if links[-1].limit(1).count():
-        comps = components(reduce(DataFrame.union, links))
+    more = verify(swept)
+    if more.limit(1).count():
+        comps = merged(comps, more)
 
     found = member.join(comps.withColumnsRenamed({"node": "rep", "comp": "least"}), "rep", "left").select("_id", F.coalesce("least", "rep").alias("component"))
     own = meta.select(F.col("_id").alias("_own"), "n")
