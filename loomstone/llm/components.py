@@ -37,7 +37,7 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps after more links: components of the components that these join, which are far fewer."""
     ca, cb = comps.withColumnsRenamed({"node": "a", "comp": "ca"}), comps.withColumnsRenamed({"node": "b", "comp": "cb"})
     between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = components(between).withColumnsRenamed({"node": "comp", "comp": "least"})
+    top = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("least"))
     old = comps.join(top, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
     new = top.select(F.col("comp").alias("node"), F.col("least").alias("comp")).join(comps.select("node"), "node", "left_anti")
     return materialize(old.unionByName(new), "labels")
