@@ -424,7 +424,7 @@ def _(t):
 
 @query("task_enqueue_anti", "SELECT file_id, 1 AS priority, 'PENDING' AS status FROM files WHERE file_type IN ('doc', 'image') AND status = 'METADATA_ONLY' AND is_deleted = 0 AND file_id NOT IN (SELECT file_id FROM tasks WHERE status IN ('PENDING', 'RUNNING') AND priority = 0)", "files", "tasks")
 def _(t):
-    return tasks.enqueue(t.tasks.where("priority = 0"), t.files)
+    return tasks.enqueue(t.tasks, t.files)
 
 
 @query("task_recover", "SELECT task_id, CASE WHEN status = 'RUNNING' THEN 'PENDING' ELSE status END AS status FROM tasks", "tasks")
