@@ -99,6 +99,11 @@ def _(t):
     return t.raw("documents").select("doc_id", toks.alias("toks")).select("doc_id", F.size("toks").alias("n_tokens"), F.array_join(F.slice("toks", 1, 12), " ").alias("head"))
 
 
+@query("tokenize_terms_all", f"SELECT doc_id, i AS part, toks[i] AS token FROM (SELECT doc_id, toks, unnest(generate_series(1, len(toks))) AS i FROM (SELECT doc_id, {_TOK.format('text')} AS toks FROM documents))")
+def _(t):
+    return t.raw("documents").select("doc_id", F.posexplode(ft.tokens(F.col("text"))).alias("i", "token")).select("doc_id", (F.col("i") + 1).cast("long").alias("part"), "token")
+
+
 @query("est_tokens", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) + length(regexp_replace(text, '[A-Za-z0-9_\\s]', '', 'g')) AS n FROM documents")
 def _(t):
     return t.raw("documents").select("doc_id", ft.estimate_tokens(F.col("text")).alias("n"))

@@ -23,3 +23,17 @@ def test_enqueue_fixture(spark, priority):
     files = spark.createDataFrame([(k, "doc", "METADATA_ONLY", 0) for k in range(4)], "file_id bigint, file_type string, status string, is_deleted int")
     queue = spark.createDataFrame([(0, "PENDING", priority), (1, "RUNNING", priority), (2, "SUCCESS", priority)], "file_id bigint, status string, priority int")
     assert sorted(r["file_id"] for r in tasks.enqueue(queue, files).collect()) == [2, 3]
+
+
+def test_tokenizer_returns_every_token(spark):
+    t = Tables(spark, SF)
+    got = {}
+    for r in registry.queries()["tokenize_terms_all"](spark, SF).collect():
+        got.setdefault(r["doc_id"], []).append((r["part"], r["token"]))
+    counts = {r["doc_id"]: r["n_tokens"] for r in registry.queries()["tokenize_terms"](spark, SF).collect() if r["n_tokens"]}
+    assert {k: len(v) for k, v in got.items()} == counts and max(counts.values()) > 12
+    plain = {r["doc_id"]: r["text"] for r in t.raw("documents").collect() if r["text"] and r["text"].isascii()}
+    assert any(counts.get(k, 0) > 12 for k in plain)
+    for k, text in plain.items():
+        want = "".join(c.lower() if c.isalnum() else " " for c in text).split()
+        assert [x for _, x in sorted(got.get(k, []))] == want
