@@ -2,13 +2,15 @@ r"""Secret scans: base patterns, and by grammar inference formats learned from l
 
 The patterns give base spans: assign (whole match, keyword included), access and hex. A frequency
 prefix tree over the labelled credentials is folded into a probabilistic automaton: red and blue states
-merge where their outgoing frequencies agree within a Hoeffding bound, recursively. Every candidate
-token of the texts is scored by its log likelihood under the automaton, per symbol, against a bigram
-model of ordinary tokens; candidates above the limit that overlap no base span are added as `format`.
+merge where their outgoing frequencies agree within a Hoeffding bound, recursively. Runs of token
+characters are read from their start, from after each separator in them and from wherever a learned
+prefix occurs, to a separator or the run's end, and scored by the log likelihood under the automaton, per
+symbol, against a bigram model of ordinary tokens. From the left, the longest part above the limit that
+overlaps no base span is added as `format`; parts with a learned prefix come before others.
 
-Symbols are the first LITERAL characters as they are, and classes of characters after them, so prefixes
-of issuers and the shape of what follows both count. Null or empty text has no spans. Each row stands
-alone; repeated ids and extra columns do no harm."""
+Symbols are the first LITERAL characters as they are where many samples agree on them, and classes of
+characters elsewhere, so prefixes of issuers and the shape of what follows both count. Null or empty text
+has no spans. Each row stands alone; repeated ids and extra columns do no harm."""
 
 from __future__ import annotations
 
@@ -17,7 +19,7 @@ import math
 import random
 import re
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ KINDS = ("assign", "access", "hex", "format")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 HAS_DIGIT, HAS_LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+SEPARATOR = re.compile(r"[^A-Za-z0-9]")
 LITERAL, END = 4, "$"
 
 
@@ -45,19 +48,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def symbols(token: str) -> list[str]:
-    return [c if i < LITERAL else "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for i, c in enumerate(token)] + [END]
+def prefixes(samples: list[str]) -> set[str]:
+    """Beginnings of up to LITERAL characters, and theirs, that more samples share than random characters would."""
+    known, groups = set(), {"": samples}
+    for k in range(1, LITERAL + 1):
+        longer = defaultdict(list)
+        for group in groups.values():
+            found = Counter(x[:k] for x in group if len(x) >= k)
+            for x in group:
+                if found[x[:k]] >= max(math.sqrt(len(group)), len(group) / 20):
+                    longer[x[:k]].append(x)
+        known |= longer.keys()
+        groups = longer
+    return known
+
+
+def symbol(c: str) -> str:
+    return "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c
+
+
+def symbols(token: str, known: set[str]) -> list[str]:
+    """Characters of a known prefix, marked, then classes and END."""
+    k = 0
+    while k < min(LITERAL, len(token)) and token[: k + 1] in known:
+        k += 1
+    return ["'" + c for c in token[:k]] + [symbol(c) for c in token[k:]] + [END]
 
 
 class Grammar:
     """A probabilistic automaton: next state and frequency for each state and symbol."""
 
     def __init__(self, samples: list[str], alpha: float = 0.05) -> None:
+        self.known = prefixes(samples)
+        whole = [x for x in self.known if not any(y != x and y.startswith(x) for y in self.known)]
+        self.start = re.compile("(?=" + "|".join(map(re.escape, sorted(whole))) + ")") if whole else None
         self.next: list[dict[str, int]] = [{}]
         self.freq: list[dict[str, int]] = [defaultdict(int)]
         for token in samples:
             v = 0
-            for c in symbols(token):
+            for c in symbols(token, self.known):
                 self.freq[v][c] += 1
                 if c not in self.next[v]:
                     self.next.append({})
@@ -66,6 +95,7 @@ class Grammar:
                 v = self.next[v][c]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
+        self.cost = [{c: math.log(f / sum(x.values())) for c, f in x.items()} for x in self.freq]
 
     def _differ(self, n1: int, f1: int, n2: int, f2: int) -> bool:
         return n1 and n2 and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -100,6 +130,8 @@ class Grammar:
                         self.next[a][c] = self.next[b][c]
 
     def _merge(self) -> None:
+        # States inside prefixes stay apart, or what may follow a prefix could stand without one.
+        inner = {v for v, x in enumerate(self.next) if any(len(c) > 1 for c in x)}
         red = [0]
         while True:
             blue = sorted({(q, p, c) for p in red for c, q in self.next[p].items() if q not in red and c != END})
@@ -107,7 +139,7 @@ class Grammar:
                 break
             q, p, c = blue[0]
             for r in red:
-                if self._compatible(r, q):
+                if not {r, q} & inner and self._compatible(r, q):
                     self.next[p][c] = r
                     self._fold(r, q)
                     break
@@ -117,7 +149,7 @@ class Grammar:
 
     def score(self, token: str) -> float:
         """Log probability of a symbol, on average; what was never seen costs as much as one in a million."""
-        v, total, syms = 0, 0.0, symbols(token)
+        v, total, syms = 0, 0.0, symbols(token, self.known)
         for c in syms:
             n = sum(self.freq[v].values())
             f = self.freq[v].get(c, 0)
@@ -133,17 +165,22 @@ class Grammar:
 class Ordinary:
     """A bigram model of ordinary tokens' symbols."""
 
-    def __init__(self, samples: list[str]) -> None:
+    def __init__(self, samples: list[str], known: set[str]) -> None:
+        self.known = known
         self.pair: dict[tuple[str, str], int] = defaultdict(int)
         self.one: dict[str, int] = defaultdict(int)
         for token in samples:
-            for a, b in zip(["^", *symbols(token)], symbols(token), strict=False):
+            s = symbols(token, known)
+            for a, b in zip(["^", *s], s, strict=False):
                 self.pair[a, b] += 1
                 self.one[a] += 1
 
+    def cost(self, a: str, b: str) -> float:
+        return math.log((self.pair.get((a, b), 0) + 0.1) / (self.one.get(a, 0) + 7))
+
     def score(self, token: str) -> float:
-        s = symbols(token)
-        return sum(math.log((self.pair.get((a, b), 0) + 0.1) / (self.one.get(a, 0) + 7)) for a, b in zip(["^", *s], s, strict=False)) / len(s)
+        s = symbols(token, self.known)
+        return sum(self.cost(a, b) for a, b in zip(["^", *s], s, strict=False)) / len(s)
 
 
 def labelled(n: int = 60, seed: int = 7) -> tuple[list[str], list[str]]:
@@ -166,20 +203,70 @@ def labelled(n: int = 60, seed: int = 7) -> tuple[list[str], list[str]]:
 
 def train(credentials: list[str] | None = None, ordinary: list[str] | None = None) -> tuple[Grammar, Ordinary]:
     a, b = labelled()
-    return Grammar(credentials or a), Ordinary(ordinary or b)
+    grammar = Grammar(credentials or a)
+    return grammar, Ordinary(ordinary or b, grammar.known)
+
+
+def longest(run: str, a: int, stop: int, models: tuple[Grammar, Ordinary], limit: float, ahead: dict) -> int:
+    """The last end up to stop, before a separator or at the run's end, of a part from a that scores above the limit;
+    0 if there is none. What was never seen ends the search: no longer part has a likelihood worth naming.
+
+    ahead: of states at places of the run, how much an end further on can add at most; it keeps long runs with many
+    starts from being read again and again, and changes no result."""
+    grammar, ordinary = models
+    v, total, last, best, k, top, trail = 0, 0.0, "^", 0, 0, -math.inf, []
+    digit = letter = False
+    for i in range(a, stop + 1):
+        c = run[i] if i < len(run) else ""
+        if i - a >= 16 and digit and letter and not c.isalnum() and run[i - 1] != "." and END in grammar.cost[v]:
+            value = total + grammar.cost[v][END] - ordinary.cost(last, END) - limit
+            best = i if value > 0 else best
+            trail.append((None, value))
+        if i - a > LITERAL:
+            key = i, v, last
+            if key in ahead and total + ahead[key] <= 0:
+                top = total + ahead[key]
+                break
+            trail.append((key, total))
+        if k == i - a < LITERAL and run[a : i + 1] in grammar.known:
+            k, s = k + 1, "'" + c
+        else:
+            s = symbol(c)
+        if i == stop or s not in grammar.cost[v]:
+            break
+        total += grammar.cost[v][s] - ordinary.cost(last, s) - limit
+        digit, letter = digit or c.isdigit(), letter or c.isalpha()
+        v, last = grammar.next[v][s], s
+    for key, value in reversed(trail):
+        if key is None:
+            top = max(top, value)
+        else:
+            ahead[key] = top - value
+    return best
 
 
 def format_spans(text: str, grammar: Grammar, ordinary: Ordinary, limit: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        token = m[0].rstrip(".")
-        if len(token) < 16 or not HAS_DIGIT.search(token) or not HAS_LETTER.search(token):
-            continue
-        a, b = m.start(), m.start() + len(token)
-        if any(x < b and a < y for x, y, _ in taken):
+        run, ahead = m[0], {}
+        if not HAS_DIGIT.search(run) or not HAS_LETTER.search(run):
             continue
-        if grammar.score(token) - ordinary.score(token) > limit:
-            out.append((a, b, 3))
+        held = [(a - m.start(), b - m.start()) for a, b, _ in taken if a < m.end() and m.start() < b]
+        learned = [x.start() for x in grammar.start.finditer(run)] if grammar.start else []
+        # Parts that begin as a learned format does come before others, which might only lead up to one.
+        for starts in (learned, [0, *(x.end() for x in SEPARATOR.finditer(run))]):
+            blocks, free = sorted(held, reverse=True), 0
+            for i in starts:
+                while blocks and blocks[-1][0] <= i:
+                    free = max(free, blocks.pop()[1])
+                stop = blocks[-1][0] if blocks else len(run)
+                if i < free or stop - i < 16:
+                    continue
+                b = longest(run, i, stop, (grammar, ordinary), limit, ahead)
+                if b:
+                    held.append((i, b))
+                    out.append((m.start() + i, m.start() + b, 3))
+                    free = b
     return out
 
 

@@ -151,3 +151,20 @@ def test_learned_formats():
     good, plain = secrets_scan.labelled(40, seed=11)
     hit = lambda x: grammar.score(x) - ordinary.score(x) > 0.5
     assert sum(map(hit, good)) > 0.85 * len(good) and sum(map(hit, plain)) < 0.02 * len(plain)
+
+
+def test_formats_inside_runs_and_after_random_characters():
+    models = secrets_scan.train()
+    good, _ = secrets_scan.labelled(40, seed=23)
+    forms = [[x for x in good[40 * k : 40 * k + 40] if secrets_scan.HAS_DIGIT.search(x)] for k in range(11)]
+    for around in ("%s", "GITHUB_PAT=%s", "?key=%s&n=1", "auth=%s", "/%s", "/x/%s/tail-of-path", "end %s.", "x%%3D%s"):
+        for form in forms:
+            found = [secrets_scan.format_spans(t := around % x, *models, 0.5, secrets_scan.base_spans(t)) == [(t.index(x), t.index(x) + len(x), 3)] for x in form]
+            assert sum(found) > 0.9 * len(form), (around, form[0])
+    two = f"a={good[0]}/b={good[-1]}"
+    assert [two[a:b] for a, b, _ in secrets_scan.format_spans(two, *models, 0.5, [])] == [good[0], good[-1]]
+    blob = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(5000))
+    assert secrets_scan.format_spans(blob, *models, 0.5, []) == []
+    run, ahead = "glpat-" * 300 + "1" + "-eyJa1B2" * 100, {}
+    starts = [x.start() for x in models[0].start.finditer(run)]
+    assert [secrets_scan.longest(run, i, len(run), models, 0.5, ahead) for i in starts] == [secrets_scan.longest(run, i, len(run), models, 0.5, {}) for i in starts]
