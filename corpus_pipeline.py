@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 4096."""
-    return packing.pack(docs)
+    """Token pieces, ids included, with their places in sequences of 4096."""
+    return packing.pack(docs, with_ids=True)
 
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SIZE, END_ID = 4096, 1
+SIZE, END_ID, BLOCK_TOKENS = 4096, 1, 4_000_000
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a worker's table; when full it starts anew. Only speed depends on it.
 CACHE_WORDS = 400_000
@@ -219,24 +219,27 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces (with length) and sequence_id and offset."""
     spark = pieces.sparkSession
     # At most size rows, each a length and a count.
+    # With token ids, a block has about BLOCK_TOKENS of them, as a task holds a block in memory.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.sparkContext.broadcast(Plan(histogram, size).rows())
-    blocks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // 100_000)
+    blocks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // 100_000, sum(k * n for k, n in histogram.items()) // BLOCK_TOKENS if "ids" in pieces.columns else 0)
     dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
     # Before each block: how many pieces of a length the blocks before it have. A length has a row a block at most.
     earlier = W.partitionBy("length").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy("_block", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(F.col("_block").alias("_block2"), "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    counts = counts.select("_block", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    # Counts come as rows of their block: with token ids on the left, a cogroup had groups with an empty right side.
+    both = dealt.withColumn("_base", F.lit(None).cast("bigint")).unionByName(counts, allowMissingColumns=True)
     columns = pieces.columns
     schema = pa.schema([*_fields(pieces), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
-    def run(table: pa.Table, own: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema.empty_table()
+    def run(table: pa.Table) -> pa.Table:
+        counted = pc.is_valid(table.column("_base"))
+        own, table = table.filter(counted).select(["length", "_base"]), table.filter(pc.invert(counted))
         slots = plan.value
         length = np.asarray(table.column("length").combine_chunks())
         base = np.zeros(size + 1, np.int64)
-        base[np.asarray(own.column("length").combine_chunks())] = np.asarray(own.column("base").combine_chunks())
+        base[np.asarray(own.column("length").combine_chunks())] = np.asarray(own.column("_base").combine_chunks())
         # The same order however often the task is run.
         order = np.asarray(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")]))
         values, first, n = np.unique(length[order], return_index=True, return_counts=True)
@@ -250,7 +253,7 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         return out.cast(schema)
 
     ddl = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("_block").cogroup(counts.groupBy("_block2")).applyInArrow(run, ddl)
+    return both.groupBy("_block").applyInArrow(run, ddl)
 
 
 def _fields(df: DataFrame) -> list[pa.Field]:
@@ -259,12 +262,12 @@ def _fields(df: DataFrame) -> list[pa.Field]:
     return list(to_arrow_schema(df.schema))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Tokens are made once and kept in the shared folder: the histogram and the places are read from there."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """Pieces with their token ids and places. Tokens are made once and kept in the shared folder: the histogram and the places are read from there."""
     return place(materialize(tokenize(docs, id_col, text_col, size, path, with_ids), "pieces"), size)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents")).drop("ids")

@@ -40,3 +40,11 @@ def test_stages_keep_columns(spark):
     docs = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_tokens_come_out(spark):
+    out = corpus_pipeline.run(spark, SF).toPandas()
+    assert len(out) and all(len(r.ids) == r.length and zlib.crc32(np.asarray(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in out.itertuples())
+    for _, rows in out.groupby("sequence_id"):
+        rows = rows.sort_values("offset")
+        assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= packing.SIZE
