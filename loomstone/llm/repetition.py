@@ -21,8 +21,9 @@ from .words import NOT_SPACE, bounds, byte_class, hashes
 #: `[#*$%&|<>]`
 SYMBOLS = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A repeat counts from so many words; of a text, so much may be covered, and one repeat may be so long.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST, MAX_LONGEST_SHARE = 8, 0.3, 40, 0.2
+#: A repeat counts from so many words; of a text, so much may be covered, and one repeat may be so long. A share of
+#: over half of MAX_COVERED would leave the longest repeat nothing to decide: its two copies are covered already.
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST, MAX_LONGEST_SHARE = 8, 0.3, 40, 0.0
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:

@@ -168,3 +168,11 @@ def test_formats_inside_runs_and_after_random_characters():
     run, ahead = "glpat-" * 300 + "1" + "-eyJa1B2" * 100, {}
     starts = [x.start() for x in models[0].start.finditer(run)]
     assert [secrets_scan.longest(run, i, len(run), models, 0.5, ahead) for i in starts] == [secrets_scan.longest(run, i, len(run), models, 0.5, {}) for i in starts]
+
+
+def test_longest_repeat_alone_rejects(spark):
+    once = [f"w{i}" for i in range(1800)]
+    rows = [(1, " ".join(once + once[:100])), (2, " ".join(once + once[:40])), (3, " ".join(once))]
+    got = {r["_id"]: r for r in repetition.rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not got[1]["base_failed"] and got[1]["n_covered"] < 0.3 * got[1]["n_words"] and got[1]["longest_repeat"] == 100
+    assert [got[k]["kept"] for k in (1, 2, 3)] == [False, True, True]
