@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship  # noqa: F401
 
@@ -22,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share. Where the session names none, local mode (tests) gets a
+    temporary one; on a cluster that would lose data, so it is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jdir.get() if jdir.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
         at = "file://" + tempfile.mkdtemp(prefix="loomstone-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -46,6 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def packed(docs: DataFrame, **named: str) -> DataFrame:
+    """The whole row as one column, row, beside copies of the named ones: so no name in docs, whatever it is,
+    meets one that an operator uses. `select("row.*")` brings the columns back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[docs[f"`{c}`"].alias(k) for k, c in named.items()])
+
+
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[name].dataType)
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string array; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -1,15 +1,20 @@
 """Line dedup, in DataFrame functions only: explode normalised lines, hash, count distinct
 documents per hash, drop lines over the threshold, reassemble by position.
 
-Null or empty text is one empty line, whose key is empty and never dropped. A document is a doc_id:
-rows that share one count once, and each row is cleaned on its own. Rows with a null id count as one
-document. Other columns, whatever their names, pass through."""
+Edge cases. Null or empty text: one empty line, whose key is empty and never dropped. Very long texts:
+whole; a line is a row, and a text is put together again from positions in linear time. A document is a
+doc_id: rows that share one count once, and each row is cleaned on its own; equal rows get equal results.
+Rows with a null id count as one document. Ties: a line in exactly min_docs documents goes, in all of
+them. An empty table gives no rows. Other columns, whatever their names, pass through: they travel inside
+one column, so none can meet a name used here."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, packed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: `[\x20\x09-\x0D]`
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,48 +32,48 @@ def key_hash(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """A row for each line whose key is long enough: row identity (_id, _rk), position, key hash."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_rk"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
-    return rows.where(F.char_length(F.btrim("_line", F.lit(BLANKS))) >= min_chars).select("_id", "_rk", "_pos", key_hash(F.col("_line")).alias("_h"))
+    """A row for each line whose key is long enough: row identity (id, rk), position, key hash."""
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("rk"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.where(F.char_length(F.btrim("line", F.lit(BLANKS))) >= min_chars).select("id", "rk", "pos", key_hash(F.col("line")).alias("h"))
 
 
-def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def frequent(lines: DataFrame, min_docs: int = 10) -> DataFrame:
     """Hashes of the keys found in min_docs documents or more. Pairs are made distinct on (hash, id), so
     that a line in a third of all documents is spread over all tasks, and then counted with a partial sum."""
-    pairs = _lines(docs, id_col, text_col, min_chars).select("_h", "_id").distinct()
-    return pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs).select("_h")
+    return lines.select("h", "id").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """docs with _lines (before), _dropped (count) and _kept (text of the other lines) added."""
+    """For each row: row (all of docs' columns), n_lines (before), n_dropped and kept, the text of the other lines."""
+    # Hashed once, and read twice from the shared folder: to count, and to find the rows that hold a frequent line.
+    lines = materialize(_lines(docs, id_col, text_col, min_chars), "lines")
     # The further key makes Spark exchange the counted hashes again, so that it can split a very common line's rows.
-    often = frequent(docs, id_col, text_col, min_docs, min_chars).withColumn("_h2", F.xxhash64("_h"))
-    hits = _lines(docs, id_col, text_col, min_chars).withColumn("_h2", F.xxhash64("_h")).join(often, ["_h", "_h2"], "left_semi")
-    drops = hits.groupBy("_id", "_rk").agg(F.collect_set("_pos").alias("_drop"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.withColumns({"_split": F.split(text, "\n", -1), "_did": F.col(id_col), "_drk": F.xxhash64(text)})
-    out = whole.join(drops, F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_drk") == F.col("_rk")), "left")
-    n, drop = F.size("_split"), F.coalesce("_drop", F.array().cast("array<int>"))
+    often = frequent(lines, min_docs).withColumn("h2", F.xxhash64("h"))
+    hits = lines.withColumn("h2", F.xxhash64("h")).join(often, ["h", "h2"], "left_semi")
+    drops = hits.groupBy("id", "rk").agg(F.collect_set("pos").alias("drop")).withColumnsRenamed({"id": "did", "rk": "drk"})
+    whole = packed(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    whole = whole.select("row", "id", "text", F.xxhash64("text").alias("rk"))
+    out = whole.join(drops, F.col("id").eqNullSafe(F.col("did")) & (F.col("rk") == F.col("drk")), "left").withColumn("split", F.split("text", "\n", -1))
+    n, drop = F.size("split"), F.coalesce("drop", F.array().cast("array<int>"))
     # Positions left, found by a hash set, so that very long texts stay linear.
     left = F.array_except(F.sequence(F.lit(0), n - 1), drop)
-    kept = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_split"), i)), "\n"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], n.cast("long").alias("_lines"), F.size(drop).cast("long").alias("_dropped"), kept.alias("_kept"))
+    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("split"), i)), "\n"))
+    return out.select("row", n.cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
-def clean(docs: DataFrame, **kw) -> DataFrame:
-    """docs with the frequent lines gone from text, and n_chars, where there, set anew."""
-    out = dedup_lines(docs, **kw).withColumn("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(docs.columns)
+def clean(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """docs with the frequent lines gone from text, and n_chars, where there, set anew. A null text becomes empty."""
+    new = {text_col: F.col("kept")} | ({"n_chars": F.char_length("kept").cast("long")} if "n_chars" in docs.columns else {})
+    out = dedup_lines(docs, text_col=text_col, **kw)
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_CHUNK = 1 << 17
+#: Bytes; longer words are hashed one by one.
+_LONG = 64
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -47,20 +50,6 @@ def bounds(data: np.ndarray, offs: np.ndarray, cls: np.ndarray) -> tuple[np.ndar
     return s, e, counts
 
 
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        m = max(n, _CHUNK * 2)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-                p = np.full(m, base, np.uint64)
-                p[0] = 1
-                _POW[k] = np.cumprod(p, dtype=np.uint64)
-    return _POW[0], _POW[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -72,29 +61,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each word's bytes modulo 2**64, mixed; the same for equal words everywhere."""
-    out = np.empty(len(starts), np.uint64)
-    i, n = 0, len(starts)
-    with np.errstate(over="ignore"):
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, side="right")))
-            a, b = int(starts[i]), int(ends[j - 1])
-            up, down = _powers(b - a + 1)
-            prefix = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=prefix[1:])
-            s, e = starts[i:j] - a, ends[i:j] - a
-            out[i:j] = (prefix[e] - prefix[s]) * down[s]
-            i = j
-    return mix(out)
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number; past the end they are 0."""
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", room, strides=(1,))
+
 
+#: How much of eight bytes counts where 0 to 8 of them are a word's.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-def windows(wh: np.ndarray, size: int) -> np.ndarray:
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes, the same for equal words everywhere: eight bytes at a time go
+    through a bijection that mixes all bits, so structure in the words doesn't meet structure in the hash.
+    Words of up to eight bytes and equal length never share one; long words are hashed by BLAKE2."""
+    size = (ends - starts).astype(np.int64)
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64((0xA0761D6478BD642F * (seed + 1)) & _MASK))
+        view, k = lanes(data), 0
+        live = np.flatnonzero((size > 0) & (size <= _LONG))
+        while len(live):
+            left = np.minimum(size[live] - k, 8)
+            out[live] = mix(out[live] ^ (view[starts[live] + k] & _KEPT[left]))
+            k += 8
+            live = live[size[live] > k]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words only: words are grouped by hash, and each is then
+    compared with its group's first by its bytes. Should a group hold different words, all go by a table."""
+    first, ids = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)[1:]
+    size, rep = ends - starts, first[ids]
+    same, view, k = size == size[rep], lanes(data), 0
+    live = np.flatnonzero(same & (rep != np.arange(len(rep))))
+    while len(live) and k <= _LONG:
+        kept = _KEPT[np.minimum(size[live] - k, 8)]
+        equal = (view[starts[live] + k] & kept) == (view[starts[rep[live]] + k] & kept)
+        same[live[~equal]] = False
+        k += 8
+        live = live[equal & (size[live] > k)]
+    raw = data.tobytes() if len(live) or not same.all() else b""
+    for i in live.tolist():
+        same[i] = raw[starts[i] : ends[i]] == raw[starts[rep[i]] : ends[rep[i]]]
+    if same.all():
+        return ids.astype(np.int64)
+    table: dict[bytes, int] = {}
+    return np.array([table.setdefault(raw[a:b], len(table)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
+def windows(wh: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Rabin-Karp hash of size consecutive word hashes, for each start (also across texts)."""
     n = len(wh) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base, out = np.uint64(0xD6E8FEB86659FD93), np.zeros(n, np.uint64)
+    base, out = np.uint64(base), np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
             out *= base

@@ -54,22 +54,40 @@ def test_line_dedup(spark, docs, empty):
     rows = [(i, t) for i, t in enumerate(texts())] + [(1000 + i, f"own {i}\n  Shared LINE\t\nÉté") for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     for least in (3, 4, 6):
-        got = sorted(tuple(r) for r in line_dedup.dedup_lines(df, min_docs=least).select("doc_id", "_lines", "_dropped", "_kept").collect())
+        got = sorted(tuple(r) for r in line_dedup.dedup_lines(df, min_docs=least).select("row.doc_id", "n_lines", "n_dropped", "kept").collect())
         assert got == plain_line_dedup(rows, least)
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.clean(docs).columns == docs.columns
 
 
+def test_line_dedup_names(spark):
+    """Columns named like any used inside come back as they were."""
+    names = "_id _rk _drop _kept _split _did _drk row id text2 rk pos line h h2 did drk drop split kept n n_lines n_dropped n_chars".split()
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, f"own {i}\nshared", *[f"{n}-{i}" for n in names]) for i in range(12)]
+    got = sorted(tuple(r) for r in line_dedup.clean(spark.createDataFrame(rows, schema).drop("n_chars")).collect())
+    assert got == sorted((i, f"own {i}", *x[:-1]) for i, _, *x in rows)
+
+
+def test_line_dedup_very_long_text_and_ties(spark):
+    long = "\n".join(f"line {i % 40000}" for i in range(120000))
+    rows = [(1, long), (2, "line 7\nown"), (2, "line 7\nown"), (3, "line 8")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(df, min_docs=2).select("row.doc_id", "n_lines", "n_dropped", "kept").collect())
+    assert got == plain_line_dedup(rows, 2)
+
+
 def test_line_dedup_counts_ids_and_takes_nulls(spark):
     rows = [(1, "a\nb")] * 5 + [(2, "a"), (None, "a\nc"), (None, "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((r["doc_id"] or -1, r["_kept"]) for r in line_dedup.dedup_lines(df, min_docs=3).collect())
+    got = sorted((r["doc_id"] or -1, r["kept"]) for r in line_dedup.dedup_lines(df, min_docs=3).select("row.doc_id", "kept").collect())
     assert got == sorted([(1, "b")] * 5 + [(2, ""), (-1, "c"), (-1, "c")])
 
 
 def test_line_dedup_is_native(docs):
-    plan = line_dedup.dedup_lines(docs.drop("_id"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    for plan in (line_dedup._lines(docs, "doc_id", "text", 1), line_dedup.dedup_lines(docs)):
+        told = plan._jdf.queryExecution().toString()
+        assert "Python" not in told and "Pandas" not in told and "Arrow" not in told
 
 
 def test_window_dedup(spark, docs, empty):
