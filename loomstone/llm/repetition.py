@@ -2,9 +2,14 @@
 sequences of a text, their spans are united, and the covered fraction and the longest repeat are limited.
 
 Suffix arrays of many texts are built at once by prefix doubling in numpy: a rank holds the text's
-number, so sequences are equal only within one text. Base rules (word count, repeated three-word
-windows) come first. Null or empty text has no words: base_failed. Each row stands alone; repeated ids
-and extra columns do no harm."""
+number, so sequences are equal only within one text. Words are numbered by their bytes, so no hash decides
+what is equal. Base rules (word count, repeated three-word windows) come first.
+
+Edge cases. Null or empty text: no words, base_failed, not kept. Very long texts: whole, alone in a slice.
+Ties: a share of exactly max_covered and a repeat of exactly max_longest words pass; exactly half of the
+words in repeated windows passes. Each row stands alone, so repeated rows get equal verdicts, and null or
+repeated ids do no harm. An empty table gives no rows. `keep` passes other columns on, whatever their
+names; `rules` returns the id as _id and no others."""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_slice
-from .words import NOT_SPACE, bounds, byte_class, hashes
+from .words import NOT_SPACE, bounds, byte_class, exact_ids
 
 #: `[#*$%&|<>]`
 SYMBOLS = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -47,7 +52,9 @@ def suffix_array(symbols: np.ndarray, text: np.ndarray, last: np.ndarray) -> tup
     at = np.arange(n)
     by_word = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
     rank = _ranks(text.astype(np.int64) * (n + 1) + by_word)
-    levels, step = [rank], 1
+    # Kept for the prefixes' lengths; small numbers, as a long text that repeats itself has many levels.
+    small = np.int32 if n < 1 << 31 else np.int64
+    levels, step = [rank.astype(small)], 1
     while True:
         size = np.bincount(rank, minlength=n)
         active = np.flatnonzero(size[rank] > 1)
@@ -61,7 +68,7 @@ def suffix_array(symbols: np.ndarray, text: np.ndarray, last: np.ndarray) -> tup
         new = rank.copy()
         new[active] = rank[active] + within - base
         rank = new
-        levels.append(rank)
+        levels.append(rank.astype(small))
         step *= 2
     sa = np.empty(n, np.int64)
     sa[rank] = at
@@ -139,7 +146,7 @@ def measure(data: np.ndarray, offs: np.ndarray, min_repeat: int, max_covered: fl
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     chars = np.concatenate(([0], np.cumsum(points[e] - points[s])))
     marks = np.concatenate(([0], np.cumsum(SYMBOLS[data])))
-    symbols = hashes(data, s, e)
+    symbols = exact_ids(data, s, e)
     raw = data.tobytes()
     again = repeat_words(symbols, counts)
     covered, longest = repeats(symbols, counts, min_repeat)
@@ -167,11 +174,11 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     return source.mapInArrow(by_slice(work, schema, "_text"), ddl)
 
 
-def keep(docs: DataFrame, **kw) -> DataFrame:
+def keep(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that pass, with their columns as they are."""
     limits = {"min_repeat": MIN_REPEAT, "max_covered": MAX_COVERED, "max_longest": MAX_LONGEST, "max_share": MAX_LONGEST_SHARE} | kw
     schema = pa.schema([("kept", pa.bool_())])
-    verdicts = by_slice(lambda part, data, offs: {"kept": measure(data, offs, **limits)["kept"]}, schema)
+    verdicts = by_slice(lambda part, data, offs: {"kept": measure(data, offs, **limits)["kept"]}, schema, text_col)
 
     def run(batches):
         for batch in batches:
