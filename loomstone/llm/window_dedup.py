@@ -1,16 +1,23 @@
-"""Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark; repeated
+"""Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted over the cluster; repeated
 windows merge into maximal removal intervals.
 
-A word goes if a window over it starts with the same words in a document with a smaller id. Documents
-are dealt into blocks of about BLOCK_BYTES of text by a hash of their id. A block sends, for each shard
-of the hash space, its distinct hashes (sorted, so as differences of six bytes) and the smallest id of
-each; so a window found in a third of all documents is one entry of each block. A shard answers with a
-bit for each entry: whether a smaller id has it elsewhere. The block hashes its texts again and marks
-words. Only packed hashes and bits cross the network besides the texts, once.
+A word goes if a window over it starts with the same words in a document with a smaller id. Rows are dealt
+into blocks of about BLOCK_BYTES of text. A block sends, for each shard of the hash space, its distinct
+hashes (80 bits: sorted, so the first 64 as differences of six bytes) and the smallest id of each; so a
+window found in a third of all documents is one entry of each block. A shard answers with a bit for each
+entry: whether a smaller id has it elsewhere. The block hashes its texts again and marks words. Only packed
+hashes and bits cross the network besides the texts, once.
 
-Null text has no words. Rows that share an id are one document: windows of one don't remove words of
-another, and each row is judged on its own. Null ids come after all others, as one document. Other
-columns pass through `clean`."""
+Scale. A shard has about SHARD_BYTES of entries, so their number grows with the input, and so do messages;
+an empty one isn't sent, so there is never more than one for each distinct window of a block: the worst is
+a row a window, which is linear. With 64 bits for each of n windows, n**2 / 2**65 pairs would be taken as
+equal wrongly; 80 bits leave 3e-5 expected pairs at 30 GB. Within a block the same 80 bits are compared.
+
+Edge cases. Null or empty text: no words. Very long texts: whole, a text is never cut into blocks. Ties: rows
+that share an id are one document, whose windows don't remove words of one another; each row is judged on
+its own, so repeated rows get equal results. Null ids come after all others, as one document; they and a
+very common id are dealt over all blocks by their texts. An empty table gives no rows. Ids may be of any
+type that has an order. Other columns, whatever their names, pass through `clean`."""
 
 from __future__ import annotations
 
@@ -18,20 +25,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
-from .common import slices, text_buffers
+from .common import arrow_type, packed, slices, text_buffers
 from .words import NOT_SPACE, bounds, cover, hashes, windows
 
 WINDOW = 13
-#: Of text in a block; its arrays take about 12 times as much in a worker.
-BLOCK_BYTES = 6 << 20
-_NULL_ID = np.iinfo(np.int64).max
+#: Of text in a block, whose arrays take about 12 times as much in a worker; and of entries in a shard (6 times).
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 32 << 20
+#: Of entries for each byte of text, about: ten for each word.
+ENTRY_SHARE = 1.7
+_MORE = 0xC2B2AE3D27D4EB4F
 
 
-def _doc_windows(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends of words, words per text, starts of whole windows (as word numbers), hashes of these."""
+def _doc_windows(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """starts, ends of words, words per text, starts of whole windows (as word numbers), their hashes: 64 bits and 16 more."""
     ss, es, cs, hs = [], [], [], []
     for i, j in slices(offs):
         s, e, c = bounds(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_SPACE)
@@ -42,29 +53,53 @@ def _doc_windows(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     s, e, c = (np.concatenate(x) if x else none for x in (ss, es, cs))
     wh = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-    h = windows(wh, size)
+    h, more = windows(wh, size), (windows(wh, size, _MORE) >> np.uint64(48)).astype(np.uint16)
     text = np.repeat(np.arange(len(c)), c)
     at = np.flatnonzero(text[: len(h)] == text[size - 1 :]) if len(h) else none
-    return s, e, c, at, h[at]
+    return s, e, c, at, h[at], more[at]
+
+
+def _sorted(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (h, more), and which places begin a new pair. That two with equal h differ in more is next to never."""
+    by = np.argsort(h, kind="stable")
+    for _ in range(2):
+        a, b = h[by], more[by]
+        new = np.ones(len(by), bool)
+        new[1:] = a[1:] != a[:-1]
+        odd = ~new[1:] & (b[1:] != b[:-1])
+        if not odd.any():
+            break
+        by = np.lexsort((more, h))
+        new[1:] |= b[1:] != b[:-1]
+    return by, new
+
+
+def ranks(ids: pa.Array) -> np.ndarray:
+    """0 for the smallest id, 1 for the next, the last for nulls; equal ids have equal ranks."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    return np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense")).astype(np.int64) - 1
+
+
+def _whole(col) -> pa.Array:
+    if isinstance(col, pa.ChunkedArray):
+        return pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+    return col
 
 
 def _block(ids: pa.Array, texts: pa.Array, size: int) -> dict:
     data, offs = text_buffers(texts)
-    doc = np.asarray(ids.cast(pa.int64()).fill_null(int(_NULL_ID)), np.int64)
-    s, e, c, at, h = _doc_windows(data, offs, size)
+    rank = ranks(ids)
+    s, e, c, at, h, more = _doc_windows(data, offs, size)
     first = np.concatenate(([0], np.cumsum(c)))
     row = np.searchsorted(first, at, side="right") - 1
-    # Rows in order of id, so that the smallest row number of a hash is that of its smallest id.
-    order = np.argsort(doc, kind="stable")
-    place = np.empty(len(doc), np.int64)
-    place[order] = np.arange(len(doc))
-    by = np.argsort(h, kind="stable")
-    hs = h[by]
-    new = np.ones(len(hs), bool)
-    new[1:] = hs[1:] != hs[:-1]
+    by, new = _sorted(h, more)
     group = np.flatnonzero(new)
-    least = np.minimum.reduceat(place[row[by]], group) if len(group) else group
-    return {"data": data, "offs": offs, "doc": doc, "s": s, "e": e, "c": c, "first": first, "at": at, "row": row, "by": by, "new": new, "hash": hs[group], "least": least, "order": order}
+    own = rank[row[by]] if len(by) else by
+    least = np.minimum.reduceat(own, group) if len(group) else group
+    holder = np.zeros(int(rank.max()) + 1 if len(rank) else 0, np.int64)
+    holder[rank] = np.arange(len(rank))
+    return {"data": data, "s": s, "e": e, "c": c, "first": first, "at": at, "by": by, "new": new, "own": own, "hash": h[by][group], "more": more[by][group], "least": least, "holder": holder}
 
 
 def _pack(hs: np.ndarray) -> bytes:
@@ -91,42 +126,42 @@ def _cuts(hs: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(hs, edges), [len(hs)])).astype(np.int64)
 
 
-_SENT = "shard int, block int, hashes binary, docs binary, ids binary"
-_BITS = "block int, shard int, bits binary"
-
-
-def _send(size: int, shards: int):
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
-
+def _send(size: int, shards: int, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
-        b = _block(table.column("_id"), table.column("_text"), size)
-        cut, ids = _cuts(b["hash"], shards), b["doc"][b["order"]]
-        out = []
-        for k in range(shards):
+        ids = _whole(table.column("id"))
+        b = _block(ids, table.column("text"), size)
+        cut, block = _cuts(b["hash"], shards), table.column("block")[0].as_py()
+        cols, holders, ends = [[], [], []], [], [0]
+        full = np.flatnonzero(np.diff(cut))
+        for k in full.tolist():
             x, y = cut[k], cut[k + 1]
-            if y > x:
-                used, place = np.unique(b["least"][x:y], return_inverse=True)
-                small = place.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                out.append({"shard": k, "block": table.column("_block")[0].as_py(), "hashes": _pack(b["hash"][x:y]), "docs": small.tobytes(), "ids": ids[used].tobytes()})
-        return pa.Table.from_pylist(out, schema)
+            used, place = np.unique(b["least"][x:y], return_inverse=True)
+            small = place.astype(np.uint16 if len(used) < 65536 else np.uint32)
+            for col, raw in zip(cols, (_pack(b["hash"][x:y]), b["more"][x:y].tobytes(), small.tobytes()), strict=True):
+                col.append(raw)
+            holders.append(b["holder"][used])
+            ends.append(ends[-1] + len(used))
+        own = ids.take(pa.array(np.concatenate(holders) if holders else np.zeros(0, np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own.cast(id_type))
+        return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "hashes": pa.array(cols[0], pa.binary()), "more": pa.array(cols[1], pa.binary()), "docs": pa.array(cols[2], pa.binary()), "ids": lists})
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """Of one shard: for each block's entries, whether a smaller id has the hash in another block."""
-    hs, least, lengths = [], [], []
-    for h, d, i in zip(*(table.column(c) for c in ("hashes", "docs", "ids")), strict=True):
-        h = _unpack(h.as_py())
-        d = d.as_py()
+    ids = _whole(table.column("ids"))
+    rank, begin = ranks(ids.flatten()), 0
+    hs, more, least, lengths = [], [], [], []
+    for h, m, d, n in zip(*(table.column(c) for c in ("hashes", "more", "docs")), pc.list_value_length(ids).to_pylist(), strict=True):
+        h, d = _unpack(h.as_py()), d.as_py()
         hs.append(h)
-        least.append(np.frombuffer(i.as_py(), np.int64)[np.frombuffer(d, np.uint16 if len(d) == 2 * len(h) else np.uint32)])
+        more.append(np.frombuffer(m.as_py(), np.uint16))
+        least.append(rank[begin : begin + n][np.frombuffer(d, np.uint16 if len(d) == 2 * len(h) else np.uint32)])
         lengths.append(len(h))
+        begin += n
     h, least = np.concatenate(hs), np.concatenate(least)
-    order = np.argsort(h, kind="stable")
-    ordered = h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    order, new = _sorted(h, np.concatenate(more))
     group = np.flatnonzero(new)
     smallest = np.minimum.reduceat(least[order], group)
     later = np.empty(len(h), bool)
@@ -139,15 +174,14 @@ def _mark(size: int, shards: int, with_text: bool, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        b = _block(left.column("_id"), left.column("_text"), size)
+        b = _block(_whole(left.column("id")), left.column("text"), size)
         cut = _cuts(b["hash"], shards)
         elsewhere = np.zeros(len(b["hash"]), bool)
         for k, raw in zip(right.column("shard").to_pylist(), right.column("bits"), strict=True):
             n = cut[k + 1] - cut[k]
             elsewhere[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(raw.as_py(), np.uint8), count=n).astype(bool)
         entry = np.cumsum(b["new"]) - 1
-        own = b["doc"][b["row"][b["by"]]]
-        again = elsewhere[entry] | (own > b["doc"][b["order"]][b["least"][entry]]) if len(entry) else np.zeros(0, bool)
+        again = elsewhere[entry] | (b["own"] > b["least"][entry]) if len(entry) else np.zeros(0, bool)
         gone = cover(b["at"][b["by"][again]], size, len(b["s"]))
         raw, out = b["data"].tobytes(), []
         sums = np.concatenate(([0], np.cumsum(gone)))
@@ -159,38 +193,59 @@ def _mark(size: int, shards: int, with_text: bool, schema: pa.Schema):
                 live = ~gone[x:y]
                 s, e = s[live], e[live]
             out.append(b" ".join([raw[p:q] for p, q in zip(s.tolist(), e.tolist(), strict=True)]))
-        cols = {"_id": left.column("_id"), "_row": left.column("_row"), "n_words": pa.array(b["c"], pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+        cols = {"n_words": pa.array(b["c"], pa.int64()), "n_removed": pa.array(removed, pa.int64())}
         if with_text:
             cols["kept"] = pa.array([x.decode() for x in out], pa.string())
         else:
             cols["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
-        return pa.table({f.name: cols[f.name] for f in schema}).cast(schema)
+        return pa.table({f.name: cols[f.name] if f.name in cols else left.column(f.name) for f in schema}).cast(schema)
 
     return run
 
 
-def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, with_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each row: _id, _row (hash of the text), n_words, n_removed and the words kept (or their SHA-256)."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(least, -(-total // block_bytes))
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_row"))
-    source = source.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
-    sent = source.groupBy("_block").applyInArrow(_send(size, blocks), _SENT)
-    bits = sent.groupBy("shard").applyInArrow(_answer, _BITS)
-    kept = ("kept" if with_text else "kept_sha256", pa.string())
-    schema = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), kept])
-    ddl = f"_id bigint, _row bigint, n_words bigint, n_removed bigint, {kept[0]} string"
-    return source.groupBy("_block").cogroup(bits.groupBy("block")).applyInArrow(_mark(size, blocks, with_text, schema), ddl)
+def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, with_text: bool = True, with_row: bool = False, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """For each row: id, n_words, n_removed and the words kept (or their SHA-256), and if asked for row, all of docs' columns."""
+    source, blocks, shards = deal(docs, id_col, text_col, with_row, block_bytes, shard_bytes)
+    bits = messages(source, size, shards).groupBy("shard").applyInArrow(_answer, "block int, shard int, bits binary")
+    told = ["id", "row"] if with_row else ["id"]
+    kept = "kept" if with_text else "kept_sha256"
+    schema = pa.schema([*((c, arrow_type(source, c)) for c in told), ("n_words", pa.int64()), ("n_removed", pa.int64()), (kept, pa.string())])
+    kinds = source.select(told).schema.add("n_words", LongType()).add("n_removed", LongType()).add(kept, StringType())
+    return source.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_mark(size, shards, with_text, schema), kinds)
+
+
+def deal(docs: DataFrame, id_col: str, text_col: str, with_row: bool, block_bytes: int, shard_bytes: int) -> tuple[DataFrame, int, int]:
+    """Rows with their block, and how many blocks and shards there are."""
+    source = packed(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, shards = max(least, -(-total // block_bytes)), max(least, -(-int(ENTRY_SHARE * total) // shard_bytes))
+    # An id may lie in several blocks: ids are compared by value everywhere.
+    source = source.select(*(["row"] if with_row else []), "id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    return source, blocks, shards
+
+
+def messages(source: DataFrame, size: int, shards: int) -> DataFrame:
+    kind = dict(source.dtypes)["id"]
+    ddl = f"shard int, block int, hashes binary, more binary, docs binary, ids array<{kind}>"
+    return source.select("id", "text", "block").groupBy("block").applyInArrow(_send(size, shards, arrow_type(source, "id")), ddl)
+
+
+def clean(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """docs whose texts are the words kept, joined by blanks, where any word goes; others stay as they are. n_chars, where there, is set anew."""
+    out = dedup_windows(docs, text_col=text_col, with_row=True, **kw)
+    cut = F.col("n_removed") > 0
+    new = {text_col: F.when(cut, F.col("kept")).otherwise(F.col(f"row.`{text_col}`"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     out = dedup_windows(table(spark, sf_dir, "documents"), with_text=False)
-    return out.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def brute(docs: list[tuple], size: int = WINDOW) -> list[tuple]:

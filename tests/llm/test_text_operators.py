@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.llm import decontaminate, line_dedup, repetition, secrets_scan, window_dedup
 
@@ -92,18 +93,55 @@ def test_line_dedup_is_native(docs):
 
 def test_window_dedup(spark, docs, empty):
     rows = list(enumerate(texts()))
-    got = sorted((r["_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in window_dedup.dedup_windows(docs, size=5).collect())
+    got = sorted((r["id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in window_dedup.dedup_windows(docs, size=5).collect())
     assert got == sorted(window_dedup.brute(rows, 5))
-    small = window_dedup.dedup_windows(docs, size=5, with_text=False, block_bytes=2000)
-    assert sorted((r["_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in small.collect()) == got
+    small = window_dedup.dedup_windows(docs, size=5, with_text=False, block_bytes=2000, shard_bytes=3000)
+    assert sorted((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in small.collect()) == got
+    named = window_dedup.dedup_windows(docs.withColumn("doc_id", F.format_string("d%04d", "doc_id")), size=5, with_text=False)
+    assert sorted((int(r["id"][1:]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in named.collect()) == got
     assert window_dedup.dedup_windows(empty).count() == 0
 
 
 def test_window_dedup_judges_ids_not_rows(spark):
     passage = " ".join(f"w{i}" for i in range(15))
-    df = spark.createDataFrame([(1, passage), (1, passage), (2, "x " + passage), (None, passage)], "doc_id bigint, text string")
-    got = sorted((r["_id"] is None, r["_id"], r["n_removed"]) for r in window_dedup.dedup_windows(df).collect())
-    assert got == [(False, 1, 0), (False, 1, 0), (False, 2, 15), (True, None, 15)]
+    df = spark.createDataFrame([(1, passage), (1, passage), (1, passage + " y"), (2, "x " + passage), (None, passage), (None, passage + " n")], "doc_id bigint, text string")
+    for size in (None, 40):
+        kw = {"block_bytes": size, "shard_bytes": size} if size else {}
+        got = sorted((r["id"] is None, r["id"] or 0, r["n_words"], r["n_removed"]) for r in window_dedup.dedup_windows(df, **kw).collect())
+        assert got == [(False, 1, 15, 0), (False, 1, 15, 0), (False, 1, 16, 0), (False, 2, 16, 15), (True, 0, 15, 15), (True, 0, 16, 15)]
+    again = spark.createDataFrame([(None, passage), (None, passage)], "doc_id bigint, text string")
+    assert all(r["n_removed"] == 0 for r in window_dedup.dedup_windows(again).collect())
+
+
+def test_window_dedup_clean_and_names(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    names = "row id block shard hashes more docs ids bits n_words n_removed kept kept_sha256".split()
+    schema = "doc_id bigint, text string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(1, passage, 5, *names), (2, "a\n" + passage + " b", 6, *names), (3, "as\nit is", 7, *names), (4, None, None, *names)]
+    got = sorted(tuple(r) for r in window_dedup.clean(spark.createDataFrame(rows, schema)).collect())
+    assert got == [rows[0], (2, "a b", 3, *names), *rows[2:]]
+
+
+def test_window_dedup_takes_long_words_apart_and_whole_long_texts(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"w{i}" for i in range(12))
+    long = " ".join(f"u{i}" for i in range(300000))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}"), (4, long), (5, "x " + long), (6, " ".join(f"u{i}" for i in range(250000, 250013)))]
+    got = sorted((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in window_dedup.dedup_windows(spark.createDataFrame(rows, "doc_id bigint, text string"), with_text=False).collect())
+    assert got == sorted(window_dedup.brute(rows)) and [x[2] for x in got] == [0, 0, 13, 0, 300000, 13]
+
+
+def test_window_messages_grow_with_the_input(spark):
+    """Ten times the text: no more than about ten times the messages, and never more than distinct windows."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.randrange(100000)}" for _ in range(50))) for i in range(3000)]
+    sizes = []
+    for n in (300, 3000):
+        source, blocks, shards = window_dedup.deal(spark.createDataFrame(rows[:n], "doc_id bigint, text string"), "doc_id", "text", False, 2000, 10000)
+        sent = window_dedup.messages(source, 13, shards).select(F.octet_length("more").alias("b")).agg(F.count("b"), F.sum("b")).head()
+        assert sent[1] == 2 * 38 * n and sent[0] <= min(blocks * shards, sent[1] // 2)
+        sizes.append(sent[0])
+    assert sizes[1] < 38 * 3000
 
 
 def test_hash_packing_round_trip():
