@@ -62,13 +62,15 @@ def arrow_type(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
+def whole(col: pa.Array | pa.ChunkedArray) -> pa.Array:
+    if isinstance(col, pa.ChunkedArray):
+        return pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+    return col
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string array; null counts as empty."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-        if isinstance(col, pa.ChunkedArray):
-            col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.large_string())
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    col = pc.fill_null(whole(col).cast(pa.large_string()), "")
     _, offs, data = col.buffers()
     n = len(col)
     if n == 0:

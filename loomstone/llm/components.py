@@ -25,8 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         for _ in range(ROUNDS):
             near = edges.join(step.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
             step = step.join(near, "node").select("node", "old", F.least("comp", "least").alias("comp"))
-            jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-            step = step.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp"))
+            # The further key makes Spark exchange both sides, so that it can split a component with very many nodes.
+            jump = step.select(F.col("node").alias("comp"), F.xxhash64("node").alias("c2"), F.col("comp").alias("next"))
+            step = step.withColumn("c2", F.xxhash64("comp")).join(jump, ["comp", "c2"]).select("node", "old", F.least("comp", "next").alias("comp"))
         step = materialize(step, "labels")
         labels = step.select("node", "comp")
         if not step.where("old <> comp").limit(1).count():
@@ -38,6 +39,6 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     ca, cb = comps.withColumnsRenamed({"node": "a", "comp": "ca"}), comps.withColumnsRenamed({"node": "b", "comp": "cb"})
     between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     top = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("least"))
-    old = comps.join(top, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    old = comps.withColumn("c2", F.xxhash64("comp")).join(top.withColumn("c2", F.xxhash64("comp")), ["comp", "c2"], "left").select("node", F.coalesce("least", "comp").alias("comp"))
     new = top.select(F.col("comp").alias("node"), F.col("least").alias("comp")).join(comps.select("node"), "node", "left_anti")
     return materialize(old.unionByName(new), "labels")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from .common import arrow_type, packed, slices, text_buffers
+from .common import arrow_type, packed, slices, text_buffers, whole
 from .words import NOT_SPACE, bounds, cover, hashes, windows
 
 WINDOW = 13
@@ -81,12 +81,6 @@ def ranks(ids: pa.Array) -> np.ndarray:
     return np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense")).astype(np.int64) - 1
 
 
-def _whole(col) -> pa.Array:
-    if isinstance(col, pa.ChunkedArray):
-        return pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
-    return col
-
-
 def _block(ids: pa.Array, texts: pa.Array, size: int) -> dict:
     data, offs = text_buffers(texts)
     rank = ranks(ids)
@@ -128,7 +122,7 @@ def _cuts(hs: np.ndarray, shards: int) -> np.ndarray:
 
 def _send(size: int, shards: int, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
-        ids = _whole(table.column("id"))
+        ids = whole(table.column("id"))
         b = _block(ids, table.column("text"), size)
         cut, block = _cuts(b["hash"], shards), table.column("block")[0].as_py()
         cols, holders, ends = [[], [], []], [], [0]
@@ -150,7 +144,7 @@ def _send(size: int, shards: int, id_type: pa.DataType):
 
 def _answer(table: pa.Table) -> pa.Table:
     """Of one shard: for each block's entries, whether a smaller id has the hash in another block."""
-    ids = _whole(table.column("ids"))
+    ids = whole(table.column("ids"))
     rank, begin = ranks(ids.flatten()), 0
     hs, more, least, lengths = [], [], [], []
     for h, m, d, n in zip(*(table.column(c) for c in ("hashes", "more", "docs")), pc.list_value_length(ids).to_pylist(), strict=True):
@@ -174,7 +168,7 @@ def _mark(size: int, shards: int, with_text: bool, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        b = _block(_whole(left.column("id")), left.column("text"), size)
+        b = _block(whole(left.column("id")), left.column("text"), size)
         cut = _cuts(b["hash"], shards)
         elsewhere = np.zeros(len(b["hash"]), bool)
         for k, raw in zip(right.column("shard").to_pylist(), right.column("bits"), strict=True):

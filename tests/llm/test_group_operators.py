@@ -28,28 +28,55 @@ def near_texts(seed=2):
     return out
 
 
+def near_rows(df, **kw):
+    return sorted((r["id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, **kw).collect())
+
+
 def test_near_dedup(spark):
     rows = list(enumerate(near_texts()))
-    df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id bigint, text string, n int, sig string").repartition(4)
-    got = sorted((r["_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, shingle=4, threshold=(80, 100)).collect())
-    assert got == sorted(x[:3] for x in near_dedup.brute(rows))
+    names = "row id sig band pivot comp a b n bytes node k1".split()
+    df = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names)).repartition(4)
+    assert near_rows(df, shingle=4, threshold=(80, 100)) == sorted(x[:3] for x in near_dedup.brute(rows))
     kept = near_dedup.keep(df, shingle=4, threshold=(80, 100))
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(x[0] for x in near_dedup.brute(rows) if x[3])
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted((i, t, *names) for (i, t), x in zip(rows, near_dedup.brute(rows), strict=True) if x[3])
 
 
-def test_near_dedup_blocks(spark, monkeypatch):
+def test_near_dedup_bands_large_buckets_again(spark, monkeypatch):
+    """Blocks of four: most buckets are large and mixed. Ids are strings here."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rows = list(enumerate(near_texts(5)))
-    got = sorted((r["_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=4).collect())
-    assert got == sorted(x[:3] for x in near_dedup.brute(rows))
+    df = spark.createDataFrame([(f"d{i:04}", t) for i, t in rows], "doc_id string, text string")
+    assert near_rows(df, shingle=4) == sorted((f"d{i:04}", n, f"d{c:04}") for i, n, c, _ in near_dedup.brute(rows))
+
+
+def test_near_dedup_template(spark):
+    """Pages that share half of their words come apart without being compared all with all."""
+    r = random.Random(8)
+    template = " ".join(f"t{i}" for i in range(60))
+    rows = [(i, template + " " + " ".join(f"o{r.randrange(10**6)}" for _ in range(50))) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + " end") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert near_rows(df) == sorted(x[:3] for x in near_dedup.brute(rows, 5, (4, 5)))
 
 
 def test_near_dedup_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
-    df = spark.createDataFrame([(7, text), (7, text), (3, text.upper()), (None, text), (9, None)], "doc_id bigint, text string")
-    got = sorted((r["_id"] or -1, r["component_id"]) for r in near_dedup.near_groups(df).collect())
-    assert got == [(-1, None), (3, 3), (7, 3), (7, 3), (9, 9)]
+    df = spark.createDataFrame([(7, text), (7, text), (3, text.upper()), (None, text), (9, None), (7, "  ")], "doc_id bigint, text string")
+    got = sorted((r["id"] or -1, r["component_id"]) for r in near_dedup.near_groups(df).collect())
+    assert got == [(-1, None), (3, 3), (7, 3), (7, 3), (7, 3), (9, 9)]
     assert near_dedup.near_groups(df.where("false")).count() == 0
+    assert sorted((r["doc_id"] or -1) for r in near_dedup.keep(df).collect()) == [-1, 3, 9]
+
+
+def test_near_dedup_ties_long_words_and_long_texts(spark):
+    """A pair of exactly 0.8 is linked; words with equal polynomial hashes are different; whole long texts count."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    base = [f"w{i}" for i in range(13)]  # 10 shingles of four
+    long = [f"u{i}" for i in range(200000)]
+    rows = [(1, word), (2, other), (3, word), (4, " ".join(base[:12])), (5, " ".join([*base[:11], "x", "y"])), (6, " ".join(base[:11] + ["z"])), (7, " ".join(long)), (8, " ".join(long[:170000])), (9, " ".join(long[:120000]))]
+    assert near_rows(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=4, threshold=(80, 100)) == [x[:3] for x in near_dedup.brute(rows)]
+    assert [x[2] for x in near_dedup.brute(rows)] == [1, 2, 1, 4, 5, 4, 7, 7, 9]
 
 
 def test_bayesian_bounds():
