@@ -7,9 +7,14 @@ written to the shared folder by the tasks that hold the rows, each under a name
 only the names that tasks return are read.
 
 Of records with equal payloads of least bytes or more, those with the smallest id are responses, others
-revisit that id; shorter payloads are all responses. Null payloads are empty. Rows that share an id and a
-payload are written each; null ids come after all others and are written as such. Other columns aren't
-written."""
+revisit that id; shorter payloads are all responses.
+
+Edge cases. Null or empty payload: an empty response. Very long payloads: whole, one record; a package closes
+after the record that fills it. Ties and repeated rows: rows that share an id and a payload are written each,
+with the same record type. A null id comes after all others and is written as such; if only null ids share a
+payload, all of them are responses. An empty table gives no packages and no records. Ids may be of any type
+that text can be cast to. Other columns aren't written, so their names don't matter. Packages stay in the
+shared folder, as the reader may come later; `remove` deletes them."""
 
 from __future__ import annotations
 
@@ -18,6 +23,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,11 +129,13 @@ def record(kind: str, page_id, url: str, payload: bytes, digest: str, length: in
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", "WARC-Date: 2024-01-01T00:00:00Z",
-        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {length}",
+        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {quote(str(page_id))}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page-ID: {quote(str(refers_to))}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 1, mtime=0)
 
 
@@ -241,7 +249,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     """Writes packages; returns a row for each: package (its place) and n (records). Done when this returns."""
     spark = pages.sparkSession
     html = F.coalesce(F.col(payload_col), F.lit(""))
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\r\n]", "").alias("url"), html.alias("html"))
+    pages = pages.select(*[pages[f"`{c}`"] for c in dict.fromkeys((id_col, url_col, payload_col))])
+    source = pages.select(F.col(id_col).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\r\n]", "").alias("url"), html.alias("html"))
     digest = F.sha2(F.col("html").cast("binary"), 256)
     # The large column stays out of the search for equal payloads.
     keys = source.select("page_id", digest.alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= least)
@@ -251,9 +260,23 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     rows = source.withColumn("digest", digest)
     rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
     folder = shared_path(spark, "warc")
+    rows = rows.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
     return materialize(rows.mapInArrow(_writer(folder, package_bytes), "package string, n bigint"), "packages")
 
 
+def remove(packages: DataFrame) -> None:
+    """Deletes the files of packages, in tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, path = open_store(uri)
+                store.delete_file(path)
+            yield batch
+
+    packages.select("package").mapInArrow(run, "package string").write.format("noop").mode("overwrite").save()
+
+
 def _reader(with_payload: bool, schema: pa.Schema):
     def run(batches):
         for batch in batches:
@@ -263,8 +286,8 @@ def _reader(with_payload: bool, schema: pa.Schema):
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"a record of {uri} has another payload than its digest says")
-                    number = lambda x: int(x) if x else None
-                    row = {"page_id": number(headers["x-page-id"]), "url": headers["warc-target-uri"], "payload_bytes": len(payload) if kind == "response" else int(headers["x-payload-length"]), "payload_digest": digest, "record_type": kind, "refers_to": number(headers.get("x-refers-to-page-id"))}
+                    told = lambda x: None if x is None else unquote(x)
+                    row = {"page_id": told(headers.get("x-page-id")), "url": headers["warc-target-uri"], "payload_bytes": len(payload) if kind == "response" else int(headers["x-payload-length"]), "payload_digest": digest, "record_type": kind, "refers_to": told(headers.get("x-refers-to-page-id"))}
                     if with_payload:
                         row["payload"] = payload.decode() if kind == "response" else None
                     rows.append(row)
@@ -279,14 +302,22 @@ def _reader(with_payload: bool, schema: pa.Schema):
     return run
 
 
-def read(packages: DataFrame, with_payload: bool = True) -> DataFrame:
+#: Packages that a task reads at most, where there are many more than tasks.
+PER_TASK = 8
+
+
+def read(packages: DataFrame, with_payload: bool = True, id_type: str = "bigint") -> DataFrame:
     """The records of packages (column package): page_id, url, payload_bytes, payload_digest, record_type, refers_to
-    and payload (null for revisits). Packages are dealt over the tasks."""
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-    ddl = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    and payload (null for revisits). The tiny rows of names are dealt over tasks by number, so that a session
+    that joins small partitions can't put all packages into one."""
+    fields = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
+    ddl = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
     if with_payload:
         fields, ddl = [*fields, ("payload", pa.string())], ddl + ", payload string"
-    return packages.select("package").repartition(F.col("package")).mapInArrow(_reader(with_payload, pa.schema(fields)), ddl)
+    n, least = packages.count(), int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = packages.select("package").repartition(max(1, min(n, max(least, -(-n // PER_TASK)))))
+    found = dealt.mapInArrow(_reader(with_payload, pa.schema(fields)), ddl)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -116,6 +116,27 @@ def test_warc_round_trip(spark):
     assert zip_warc.read(zip_warc.write(pages.where("false"))).count() == 0
 
 
+def test_warc_ids_names_and_tasks(spark):
+    """String ids, extra columns with names used inside, very long payloads; and packages are read by several tasks."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"p {i}\n:%é", None, ("x" * 3_000_000 if i < 2 else f"{i % 30} " * 60), "d", "r", "n") for i in range(60)] + [("", "u", "y", "d", "r", "n"), (None, "u", "z" * 200, "d", "r", "n")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, digest string, refers_to string, n string").repartition(3)
+    packages = zip_warc.write(pages, package_bytes=400)
+    assert packages.count() > 8
+    found = zip_warc.read(packages, id_type="string")
+    got = {r["page_id"]: r for r in found.collect()}
+    assert set(got) == {r[0] for r in rows} and got["p 1\n:%é"]["refers_to"] == "p 0\n:%é" and got["p 0\n:%é"]["payload"] == "x" * 3_000_000
+    first = {}
+    for k, _, html, *_ in sorted(rows, key=lambda r: r[0] or "~"):
+        own = got[k]
+        assert own["refers_to"] == (first.setdefault(html, k) if len(html) >= 100 and first.setdefault(html, k) != k else None)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    zip_warc.remove(packages)
+    with pytest.raises(Exception):
+        found.collect()
+
+
 def test_packages_are_zip_files(tmp_path):
     for zip64 in (None, True):
         at = tmp_path / f"{zip64}.wacz"
