@@ -8,9 +8,14 @@ distance to a codeword is the sum over bits of the hinge loss of the margin agai
 each weighed by the classifier's accuracy on rows kept aside. The score is the share of the nearest
 codeword in exp(-distance); `ambiguous` marks scores under AMBIGUOUS.
 
-At most MAX_ROWS rows per language are learned from, those with the smallest hashes of their ids. Null
-text, and text without a letter, is `und` with score 0. With one language only, all other texts are that
-language with score 1; with none, `und`. Each row stands alone; repeated ids and extra columns do no harm."""
+At most MAX_ROWS rows of each language are learned from, and MAX_TOTAL of all (though one of each language
+at least): those with the smallest hashes of id and text, found by a threshold that the languages' counts
+give, so no task sorts a language. A row's features take 2**BITS / 8 bytes at most.
+
+Edge cases. Null text, and text without a letter (so empty text, too): `und` with score 0. Very long texts:
+whole. With one language only, all other texts are that language with score 1; with none, `und`. Ties: of
+equally near codewords the first language in order. Repeated rows are learned once. An empty table gives no
+rows. Each row stands alone; extra columns, whatever their names, do no harm."""
 
 from __future__ import annotations
 
@@ -19,14 +24,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ngrams import Indicators, dual_coordinate_descent, texts_of
+from .common import arrow_type
+from .ngrams import Indicators, dual_coordinate_descent, texts_of, unpack
 from .quality_nbsvm import featurize, fold
 
-#: Rows of each language, and languages, that are learned at most; more languages than that is an error.
-MAX_ROWS, MAX_LANGUAGES, BITS, COST, AMBIGUOUS = 600, 400, 16, 1.0, 0.6
+#: Rows of each language, and of all, that are learned at most.
+MAX_ROWS, MAX_TOTAL, BITS, COST, AMBIGUOUS = 600, 24_000, 16, 1.0, 0.6
+#: Languages of which a table is sent to every task; more go by a shuffle.
+FEW = 10_000
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
 
@@ -37,6 +44,11 @@ def code_matrix(k: int, seed: int = 3) -> np.ndarray:
         cols = [[1 if i in left else -1 for i in range(k)] for n in range(1, k) for left in combinations(range(k), n) if 0 in left]
         return np.array(cols).T
     rng, best, size = np.random.default_rng(seed), None, 10 * int(np.ceil(np.log2(k)))
+    if k > 1000:  # distances of so many are good by their mere number; all pairs of them would be too many
+        while True:
+            m = rng.choice([-1, 1], (k, 2 * size))
+            if len(np.unique(m, axis=0)) == k and (np.abs(m.sum(0)) < k).all():
+                return m
     for _ in range(200):
         m = rng.choice([-1, 1], (k, size))
         if (np.abs(m.sum(0)) == k).any():
@@ -50,23 +62,24 @@ def code_matrix(k: int, seed: int = 3) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, rows: list[np.ndarray], langs: list[str], bits: int) -> None:
+    def __init__(self, rows: list[bytes], langs: list[str], bits: int) -> None:
         self.langs = sorted(set(langs))
         if len(self.langs) < 2:
             return
         self.code = code_matrix(len(self.langs))
-        number = np.array([self.langs.index(x) for x in langs])
-        scale = [1 / np.sqrt(max(1, len(r))) for r in rows]
+        place = {x: i for i, x in enumerate(self.langs)}
+        number = np.array([place[x] for x in langs])
         aside = np.arange(len(rows)) % 5 == 0
         n, dim = self.code.shape[1], 1 << bits
         self.w, self.b, self.trust = np.zeros((dim, n)), np.zeros(n), np.ones(n)
         pick = lambda x, keep: [v for v, ok in zip(x, keep, strict=True) if ok]
         for k in range(n):
             y = self.code[number, k].astype(float)
-            w, b = dual_coordinate_descent(pick(rows, ~aside), pick(scale, ~aside), y[~aside], dim, np.full((~aside).sum(), COST), epochs=8)
-            right = [t * (w[r].sum() * s + b) > 0 for r, s, t in zip(pick(rows, aside), pick(scale, aside), y[aside], strict=True)]
+            w, b = dual_coordinate_descent(pick(rows, ~aside), y[~aside], dim, np.full((~aside).sum(), COST), epochs=8)
+            tested = [unpack(r) for r in pick(rows, aside)]
+            right = [t * (w[r].sum() / np.sqrt(max(1, len(r))) + b) > 0 for r, t in zip(tested, y[aside], strict=True)]
             self.trust[k] = max(2 * (sum(right) + 1) / (len(right) + 2) - 1, 0.01)
-            self.w[:, k], self.b[k] = dual_coordinate_descent(rows, scale, y, dim, np.full(len(rows), COST), epochs=8)
+            self.w[:, k], self.b[k] = dual_coordinate_descent(rows, y, dim, np.full(len(rows), COST), epochs=8)
         self.w = self.w.astype(np.float32)
 
     def predict(self, grams: np.ndarray) -> tuple[str, float]:
@@ -78,23 +91,25 @@ class Model:
         return self.langs[int(loss.argmin())], float(p.max() / p.sum())
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, bits: int = BITS) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS, max_total: int = MAX_TOTAL, bits: int = BITS) -> Model:
     """docs: the rows to learn from."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = sorted(r[0] for r in known.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # The smallest hashes of each language, first within salted parts of it, so that no task sorts all of one.
-    keyed = known.select(F.xxhash64(F.col(id_col).cast("string")).alias("_k"), F.col(lang_col).alias("_lang"))
-    parts = keyed.withColumn("_part", F.pmod("_k", F.lit(64)))
-    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("_k"))
-    few = parts.withColumn("_r", rank("_lang", "_part")).where(F.col("_r") <= max_rows).withColumn("_r", rank("_lang")).where(F.col("_r") <= max_rows)
-    limit = few.groupBy("_lang").agg(F.max("_k").alias("_most"))
-    # A row for each language, MAX_LANGUAGES at most.
-    chosen = known.select(F.xxhash64(F.col(id_col).cast("string")).alias("_k"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(limit), "_lang").where("_k <= _most")
-    found = featurize(chosen.withColumn("_pair", F.struct("_k", "_lang")), "_pair", "_text", bits).select("_id._k", "_id._lang", "grams").collect()
-    found = sorted(found, key=lambda r: (r["_k"], r["_lang"], bytes(r["grams"])))
-    return Model([np.frombuffer(r["grams"], np.int32) for r in found], [r["_lang"] for r in found], bits)
+    known = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{lang_col}`"].cast("string").alias("lang")).dropna(subset=["text", "lang"])
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    each = max(1, min(max_rows, max_total // max(1, len(counts))))
+    # A share of the hash space that holds as many as wanted, with room to spare.
+    share = {k: min(1.0, (each + 6 * each**0.5 + 10) / n) for k, n in counts.items()}
+    most = docs.sparkSession.createDataFrame([(k, min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63))) for k, x in share.items()], "lang string, most bigint")
+    chosen = known.withColumn("k", F.xxhash64(F.col("id").cast("string"), "text")).join(F.broadcast(most) if len(counts) <= FEW else most, "lang").where("k <= most")
+    chosen = chosen.dropDuplicates(["k", "lang"]).select(F.struct("k", "lang").alias("pair"), "text")
+    found = featurize(chosen, "pair", "text", bits).select("key.k", "key.lang", "grams").collect()
+    used: dict[str, int] = {}
+    rows, langs = [], []
+    for r in sorted(found, key=lambda r: (r["k"], r["lang"])):
+        used[r["lang"]] = used.get(r["lang"], 0) + 1
+        if used[r["lang"]] <= each:
+            rows.append(bytes(r["grams"]))
+            langs.append(r["lang"])
+    return Model(rows, langs, bits)
 
 
 def has_letter(data: np.ndarray) -> bool:
@@ -102,20 +117,18 @@ def has_letter(data: np.ndarray) -> bool:
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """For each row: _id, lang_pred, score and ambiguous."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    """For each row: id, lang_pred, score and ambiguous."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = to_arrow_type(source.schema["_id"].dataType)
+    source = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
+    kind = arrow_type(source, "id")
 
     def run(batches):
         own, of = sent.value, Indicators(bits)
         for batch in batches:
             got = [own.predict(of(x)) if has_letter(x) else ("und", 0.0) for x in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64()), pa.array([x < AMBIGUOUS for _, x in got], pa.bool_())], names=["_id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64()), pa.array([x < AMBIGUOUS for _, x in got], pa.bool_())], names=["id", "lang_pred", "score", "ambiguous"])
 
-    return source.mapInArrow(run, f"_id {dict(source.dtypes)['_id']}, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, lang_pred string, score double, ambiguous boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -123,4 +136,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, train(docs.where(fold(F.col("doc_id"), 3) != 1)))
-    return out.select(F.col("_id").alias("doc_id"), (fold(F.col("_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return out.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -1,26 +1,23 @@
-"""Indicators of byte n-grams of whole texts, as distinct numbers below 2**bits."""
+"""Indicators of n-grams of whole texts, as distinct numbers below a power of two, and linear models of them."""
 
 from __future__ import annotations
 
-from operator import eq
-
 import numpy as np
 import pyarrow as pa
 
 from .common import slices, text_buffers
+from .words import LOWER, NOT_SPACE, bounds, hashes, windows
 
 ORDERS = (1, 2, 3, 4)
-#: Shares of doubled words, and features that stand for each: one among thousands would weigh too little.
-DOUBLED, COPIES = (0.05, 0.1, 0.2, 0.4, 0.8), 32
 
 
 class Indicators:
-    """Distinct n-gram numbers of one text at a time, by a table of flags that is cleared after each."""
+    """Distinct n-gram numbers of one text at a time, by a table of flags that is cleared after each: byte n-grams
+    below 2**bits and, with words, words and pairs of them in as many numbers above."""
 
-    def __init__(self, bits: int, orders: tuple[int, ...] = ORDERS, doubled: bool = False) -> None:
-        """doubled: also indicators of how large a share of the word pairs is one word twice."""
-        self.bits, self.orders, self.doubled = bits, orders, doubled
-        self.flags = np.zeros(1 << bits, bool)
+    def __init__(self, bits: int, orders: tuple[int, ...] = ORDERS, words: bool = False) -> None:
+        self.bits, self.orders, self.words = bits, orders, words
+        self.flags = np.zeros(2 << bits if words else 1 << bits, bool)
 
     def __call__(self, data: np.ndarray) -> np.ndarray:
         shift, code = np.uint32(32 - self.bits), np.zeros(len(data), np.uint32)
@@ -31,17 +28,32 @@ class Indicators:
                 code = code[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(n)
                 if n in self.orders:
                     self.flags[(code * np.uint32(0x9E3779B1)) >> shift] = True
-        if self.doubled:
-            w = data.tobytes().split()
-            twice = sum(map(eq, w, w[1:]))
-            for k, least in enumerate(DOUBLED):
-                if twice > least * len(w):
-                    self.flags[k * COPIES : (k + 1) * COPIES] = True
+        if self.words:
+            low = LOWER[data]
+            s, e, _ = bounds(low, np.array([0, len(low)]), NOT_SPACE)
+            wh = hashes(low, s, e)
+            for h in (wh, windows(wh, 2)):
+                self.flags[(1 << self.bits) + (h >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         found = np.flatnonzero(self.flags)
         self.flags[found] = False
         return found
 
 
+def pack(found: np.ndarray, dim: int) -> bytes:
+    """Numbers below dim in at most dim / 8 bytes and a few: as they are, or as bits where that is shorter."""
+    if 32 * len(found) < dim:
+        return b"n" + found.astype("<i4").tobytes()
+    flags = np.zeros(dim, bool)
+    flags[found] = True
+    return b"b" + np.packbits(flags).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"n":
+        return np.frombuffer(raw, "<i4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1)))
+
+
 def texts_of(col: pa.Array):
     """The bytes of each text; long columns are cut into slices first."""
     data, offs = text_buffers(col)
@@ -50,18 +62,22 @@ def texts_of(col: pa.Array):
             yield data[offs[k] : offs[k + 1]]
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], scale: list[float], y: np.ndarray, dim: int, cost: np.ndarray, epochs: int = 12, seed: int = 5, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Linear hinge-loss model w, b of rows given by the numbers of their features, each worth scale (times weight).
+def dual_coordinate_descent(rows: list[bytes], y: np.ndarray, dim: int, cost: np.ndarray, epochs: int = 12, seed: int = 5, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Linear hinge-loss model w, b of packed rows, whose features are worth 1 (times weight) over the root of their number.
 
     A dual variable at a time is moved to its optimum within [0, cost]; the bias is a feature of value 1."""
     rng, w, b = np.random.default_rng(seed), np.zeros(dim), 0.0
     alpha = np.zeros(len(rows))
-    each = [s if weight is None else s * weight[r] for r, s in zip(rows, scale, strict=True)]
-    norm = [float(np.sum(np.square(v))) + 1 if weight is not None else s * s * len(r) + 1 for r, s, v in zip(rows, scale, each, strict=True)]
+    norm = np.zeros(len(rows))
+    for i, raw in enumerate(rows):
+        r = unpack(raw)
+        norm[i] = 1 + (len(r) if weight is None else np.square(weight[r]).sum()) / max(1, len(r))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], each[i]
-            dot = float(w[r] @ v) if weight is not None else float(w[r].sum()) * v
+            r = unpack(rows[i])
+            s = 1 / np.sqrt(max(1, len(r)))
+            v = s if weight is None else s * weight[r]
+            dot = float(w[r].sum()) * s if weight is None else float(w[r] @ v)
             grad = y[i] * (dot + b) - 1
             new = min(max(alpha[i] - grad / norm[i], 0.0), cost[i])
             if new != alpha[i]:

@@ -242,7 +242,7 @@ def test_language(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language_ecoc.train(df.where("doc_id < 160"))
     odd = [(900, None, None), (901, "12 -- 34", None), (902, "", "en")]
-    got = {r["_id"]: r for r in language_ecoc.identify(spark.createDataFrame(rows + odd, df.schema), model).collect()}
+    got = {r["id"]: r for r in language_ecoc.identify(spark.createDataFrame(rows + odd, df.schema), model).collect()}
     assert sum(got[i]["lang_pred"] == lang for i, _, lang in rows[160:]) >= 76
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k, _, _ in odd)
     assert all(0 <= r["score"] <= 1 for r in got.values())
@@ -253,9 +253,9 @@ def test_language(spark):
 
 
 def test_codes_are_far_apart():
-    for k in (2, 3, 4, 5, 12, 40):
+    for k in (2, 3, 4, 5, 12, 40, 1200):
         m = language_ecoc.code_matrix(k)
-        d = min(int((m[i] != m[j]).sum()) for i in range(k) for j in range(i))
+        d = min(int((m[:i] != m[i]).sum(1).min()) for i in range(1, k))
         assert d >= (1 if k == 2 else 2) and len({tuple(c) for c in m.T}) == m.shape[1]
 
 
@@ -267,9 +267,51 @@ def test_quality(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t, _ in rows] + [(5000, None, "x"), (5001, "", "x")], "doc_id bigint, text string, score string")
     labels = spark.createDataFrame([(k, y) for k, _, y in rows if k % 3] + [(7, None), (None, 1), (99999, 0)], "doc_id bigint, quality int")
     model = quality_nbsvm.train(docs, labels)
-    got = {x["_id"]: x["score"] for x in quality_nbsvm.score(docs, model).collect()}
+    got = {x["id"]: x["score"] for x in quality_nbsvm.score(docs, model).collect()}
     held = [(got[k] >= 0.3) == bool(y) for k, _, y in rows if k % 3 == 0]
     assert sum(held) >= 0.97 * len(held) and all(0 <= x <= 1 for x in got.values())
     for only, low, high in ((labels.where("quality = 1"), 0.9, 1.0), (labels.where("false"), 0.4, 0.6)):
         scores = {x["score"] for x in quality_nbsvm.score(docs, quality_nbsvm.train(docs, only)).collect()}
         assert len(scores) == 1 and low <= scores.pop() <= high
+
+
+def test_packed_features():
+    from loomstone.llm.ngrams import Indicators, pack, unpack
+
+    of = Indicators(10, words=True)
+    for text in (b"", b"a", b"one two two", bytes(range(256)) * 40):
+        found = of(np.frombuffer(text, np.uint8))
+        raw = pack(found, 2 << 10)
+        assert unpack(raw).tolist() == found.tolist() and len(raw) <= (2 << 10) // 8 + 1
+    assert len(of(np.frombuffer(b"two two", np.uint8))) > len(of(np.frombuffer(b"two", np.uint8)))
+
+
+def test_classifiers_take_odd_tables(spark):
+    """Empty tables, many languages, very long texts, repeated rows, clashing names, string ids."""
+    r = random.Random(5)
+    names = "id key pair grams y k most lang_pred score".split()
+    rows = [(f"d{i}", prose(lang, r), lang, *names) for i in range(80) for lang in [list(LANGS)[i % 4]]]
+    rows += [("long", prose("de", r, 400_000), "de", *names)] + [rows[0]] * 50 + [(f"m{i}", f"zq{i} zq{i} zq{i}", f"x{i}", *names) for i in range(450)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    four = language_ecoc.train(df.where("lang not like 'x%'"))
+    got = {x["id"]: x["lang_pred"] for x in language_ecoc.identify(df, four).collect()}
+    assert got["long"] == "de" and sum(got[f"d{i}"] == list(LANGS)[i % 4] for i in range(80)) >= 78
+    many = language_ecoc.train(df, max_total=900)
+    assert len(many.langs) == 454
+    assert language_ecoc.identify(df.where("false"), four).count() == 0
+    labels = spark.createDataFrame([(x[0], i % 2, "t") for i, x in enumerate(rows[:81])], "doc_id string, quality int, text string")
+    model = quality_nbsvm.train(df, labels)
+    scores = quality_nbsvm.score(df, model).collect()
+    assert len(scores) == len(rows) and len({x["score"] for x in scores if x["id"] == "d0"}) == 1
+    assert quality_nbsvm.score(df.where("false"), quality_nbsvm.train(df.where("false"), labels)).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    """The two queries on rows they didn't learn from."""
+    sf = "/root/testdata/sf0.01"
+    labels = {x["doc_id"]: x["quality"] for x in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [x for x in quality_nbsvm.query(spark, sf).collect() if x["held_out"] and x["doc_id"] in labels]
+    assert sum(x["predicted"] == labels[x["doc_id"]] for x in held) > 0.9 * len(held) > 0
+    langs = {x["doc_id"]: x["lang"] for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    told = [x for x in language_ecoc.query(spark, sf).collect() if x["held_out"] and langs[x["doc_id"]] and x["lang_pred"] != "und"]
+    assert sum(x["lang_pred"] == langs[x["doc_id"]] for x in told) > 0.97 * len(told) > 0
