@@ -1,15 +1,21 @@
 """Benchmark decontamination: a generalised suffix automaton of the normalised items; documents are
 streamed through it, and the longest matching length is tracked at each word.
 
-Where the match is window words long or more, its last window words are a window of an item, and are
-hit; an item of fewer words is a window as a whole. The automaton is built on the driver from the
-benchmark, whose size is measured first: beyond MAX_WORDS the items are split into parts, each with an
-automaton of its own and a pass over the documents, and the passes are merged by document.
-
-Words are hashed by numpy, and only runs of words that all occur in the benchmark enter the automaton;
-there the words themselves are compared, so hashes decide nothing. Null or empty text has no words and
-is not contaminated; items without words have no windows; repeated items count each; a null item_id
-sorts as the empty string. Every row stands alone, so repeated ids and extra columns do no harm."""
+Where the match is window words long or more, its last window words are a window of an item, and are hit; an
+item of fewer words is a window as a whole. The automaton is built on the driver from the benchmark, whose
+size is measured first. Up to max_words one automaton and one pass do it. Beyond, a pass over all documents
+with the hashes of all windows (8 bytes for each word of the benchmark; FILTER_WORDS words in one set) finds
+those that may hold one, which are few; only they are written, and then go through one automaton after
+another. Both ways run the same scan.
+
+Words are hashed by numpy, and only runs of words that all occur in the benchmark enter an automaton; there
+the words themselves are compared, so hashes decide nothing.
+
+Edge cases. Null or empty text: no words, not contaminated. Very long texts: whole. Items without words have
+no windows; repeated items count each; a null item_id sorts as the empty string. Ties: a document with
+exactly num/den of its words hit is contaminated. Every row stands alone, so repeated rows, null and
+repeated ids do no harm. An empty table gives no rows, an empty benchmark no hits. Other columns, whatever
+their names, travel inside one column and pass through `clean`."""
 
 from __future__ import annotations
 
@@ -20,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import by_slice, materialize
-from .words import ALNUM, LOWER, bounds, hashes
+from .common import arrow_type, by_slice, materialize, packed
+from .words import ALNUM, LOWER, bounds, hashes, windows
 
 #: Words of the benchmark in one automaton: about 1 kB each in a worker, so at most 200 MB.
 MAX_WORDS = 200_000
+#: Words of the benchmark in one set of window hashes.
+FILTER_WORDS = 20_000_000
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -35,6 +44,33 @@ def item_words(text: str | None) -> list[bytes]:
     return [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([0, *map(len, words)])
+    return hashes(np.frombuffer(b"".join(words), np.uint8), ends[:-1], ends[1:])
+
+
+class Windows:
+    """Hashes of all windows of items, by their lengths."""
+
+    def __init__(self, items, window: int) -> None:
+        found: dict[int, list[np.ndarray]] = defaultdict(list)
+        for _, words in items:
+            if words:
+                m = min(window, len(words))
+                found[m].append(np.unique(windows(word_hashes(words), m)))
+        self.by_length = {m: np.unique(np.concatenate(x)) for m, x in found.items()}
+
+    def touched(self, wh: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which texts hold a window, as far as hashes tell."""
+        text, out = np.repeat(np.arange(len(counts)), counts), np.zeros(len(counts), bool)
+        for m, known in self.by_length.items():
+            h = windows(wh, m)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            begin = np.flatnonzero((known[at] == h) & (text[: len(h)] == text[m - 1 :])) if len(h) else np.zeros(0, np.int64)
+            out[text[begin]] = True
+        return out
+
+
 class Automaton:
     """Generalised suffix automaton over word ids, with the items of each state."""
 
@@ -67,11 +103,7 @@ class Automaton:
         for v in sorted(range(1, len(self.len)), key=self.len.__getitem__):
             self.short[v] = tuple(short.get(v, ())) + self.short[self.link[v]]
         self.least = min((min(len(ws), window) for ws in words if ws), default=0)
-        raw = list(self.vocab)
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.cumsum([len(w) for w in raw]) if raw else np.zeros(0, np.int64)
-        starts = ends - [len(w) for w in raw] if raw else ends
-        self.hashed = np.sort(hashes(flat, np.asarray(starts, np.int64), np.asarray(ends, np.int64))) if raw else np.zeros(0, np.uint64)
+        self.hashed = np.sort(word_hashes(list(self.vocab)))
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.len.append(length)
@@ -143,102 +175,113 @@ def _runs(ok: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def _scan(auto, id_col: str, text_col: str, schema: pa.Schema):
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+MEASURES = {"n_words": ("bigint", pa.int64()), "spans": ("array<struct<start:int,end:int>>", SPANS), "items": ("array<string>", pa.list_(pa.string())), "n_items": ("bigint", pa.int64()), "cut": ("string", pa.string())}
+
+
+def _scan(auto, schema: pa.Schema):
+    """Batches of row and text, and the measures of earlier automata, if any, to all of these."""
+
     def work(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> dict:
-        a = auto.value
+        a, raw = auto.value, data
         data = LOWER[data]
         s, e, counts = bounds(data, offs, ALNUM)
         first = np.concatenate(([0], np.cumsum(counts)))
-        hit, items = np.zeros(len(s), bool), [set() for _ in counts]
+        hit, items, n_items = np.zeros(len(s), bool), [set() for _ in counts], np.zeros(len(counts), np.int64)
+        if "spans" in part.schema.names:
+            for d, (spans, names) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)):
+                for x in spans:
+                    hit[first[d] + x["start"] : first[d] + x["end"]] = True
+                items[d] |= set(names)
+            n_items += np.asarray(part.column("n_items"))
         if a.least and len(s) >= a.least:
             h = hashes(data, s, e)
             at = np.minimum(np.searchsorted(a.hashed, h), len(a.hashed) - 1)
             lo, hi = _runs(a.hashed[at] == h, first[:-1])
             long = hi - lo >= a.least
+            new: dict[int, set[int]] = defaultdict(set)
             for i, j in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
                 spans, found = a.scan([data[s[k] : e[k]].tobytes() for k in range(i, j)])
-                if spans:
-                    for x, y in spans:
-                        hit[i + x : i + y] = True
-                    items[int(np.searchsorted(first, i, side="right")) - 1] |= found
-        spans = []
+                for x, y in spans:
+                    hit[i + x : i + y] = True
+                if found:
+                    new[int(np.searchsorted(first, i, side="right")) - 1] |= found
+            for d, found in new.items():
+                n_items[d] += len(found)
+                items[d] |= {a.names[k] for k in found}
+        spans, cut = [], []
         sums = np.concatenate(([0], np.cumsum(hit)))
-        n_hit = sums[first[1:]] - sums[first[:-1]]
-        for d in range(len(counts)):
-            if n_hit[d]:
+        for d, n in enumerate((sums[first[1:]] - sums[first[:-1]]).tolist()):
+            spans.append([])
+            cut.append(None)
+            if n:
                 x, y = _runs(hit[first[d] : first[d + 1]], np.zeros(0, np.int64))
-                spans.append([{"start": int(p), "end": int(q)} for p, q in zip(x, y, strict=True)])
-            else:
-                spans.append([])
-        return {
-            "_id": part.column(part.schema.get_field_index(id_col)),
-            "_rk": part.column(part.schema.get_field_index("_rk")),
-            "n_words": counts,
-            "spans": spans,
-            "items": [sorted({a.names[k] for k in x}) if x else [] for x in items],
-            "n_items": [len(x) for x in items],
-        }
+                spans[-1] = [{"start": p, "end": q} for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+                cut[-1] = _without(raw, offs[d], offs[d + 1], s[first[d] : first[d + 1]], e[first[d] : first[d + 1]], x, y)
+        return {"row": part.column("row"), "text": part.column("text"), "n_words": counts, "spans": spans, "items": [sorted(x) for x in items], "n_items": n_items, "cut": cut}
+
+    return by_slice(work, schema)
 
-    return by_slice(work, schema, text_col)
 
+def _without(raw: np.ndarray, lo: int, hi: int, s: np.ndarray, e: np.ndarray, x: np.ndarray, y: np.ndarray) -> str:
+    """The text at lo to hi without words x to y of each span, nor what stands between these; a blank takes their place."""
+    out, at = [], lo
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+        out.append(raw[at : s[p]].tobytes())
+        at = e[q - 1]
+    return b" ".join([*out, raw[at:hi].tobytes()]).decode()
 
-def _items(benchmark: DataFrame, item_id: str, item_text: str):
-    text = F.coalesce(F.col(item_text), F.lit(""))
-    return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), text.alias("text"), (F.length(text).cast("long") + 1).alias("size"))
 
+def _maybe(sets: list, schema: pa.Schema):
+    def work(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> dict:
+        low = LOWER[data]
+        s, e, counts = bounds(low, offs, ALNUM)
+        wh = hashes(low, s, e)
+        found = np.zeros(len(counts), bool)
+        for own in sets:
+            found |= own.value.touched(wh, counts)
+        return {"row": part.column("row"), "text": part.column("text"), "n_words": counts, "maybe": found}
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_words: int = MAX_WORDS) -> DataFrame:
-    """For each row: _id, _rk, n_words, n_items, items (ids of items with an occurring window) and spans (hit words, end exclusive)."""
+    return by_slice(work, schema)
+
+
+def report(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_words: int = MAX_WORDS) -> DataFrame:
+    """For each row: row (all of docs' columns), n_words, n_items, items (ids of items with an occurring window), spans
+    (hit words, end exclusive) and cut, the text without these words (null where there are none)."""
     spark = docs.sparkSession
-    rows = _items(benchmark, item_id, item_text)
+    text = F.coalesce(benchmark[f"`{item_text}`"], F.lit(""))
     # A word and what parts it are two characters at least.
+    rows = benchmark.select(F.coalesce(benchmark[f"`{item_id}`"].cast("string"), F.lit("")).alias("id"), text.alias("text"), (F.length(text).cast("long") + 1).alias("size"))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     parts = max(1, -(-total // (2 * max_words)))
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_rk"))
-    id_type = dict(source.dtypes)["_id"]
-    ddl = f"_id {id_type}, _rk bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>, n_items bigint"
-    passes = []
-    for part in range(parts):
-        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        items = sorted((r["id"], r["text"]) for r in own.select("id", "text").toLocalIterator())
-        auto = spark.sparkContext.broadcast(Automaton([(k, item_words(t)) for k, t in items], window))
-        schema = pa.schema([("_id", _arrow(source, "_id")), ("_rk", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("n_items", pa.int64())])
-        found = source.mapInArrow(_scan(auto, "_id", "_text", schema), ddl)
-        passes.append(found if parts == 1 else materialize(found, "decontaminate"))
-    if parts == 1:
-        return passes[0]
-    # Rows that share an id and a text are alike in every pass: one of each is enough, joined back to all.
-    out = passes[0].groupBy("_id", "_rk", "n_words").count().drop("count")
-    key = ["_id", "_rk"]
-    for k, p in enumerate(passes):
-        one = p.where(F.size("spans") > 0).groupBy(key).agg(F.first("spans").alias(f"s{k}"), F.first("items").alias(f"i{k}"), F.first("n_items").alias(f"n{k}"))
-        one = one.withColumnsRenamed({"_id": "_id2", "_rk": "_rk2"})
-        out = out.join(one, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_rk").eqNullSafe(F.col("_rk2")), "left").drop("_id2", "_rk2")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.flatten(F.array(*[F.coalesce(f"s{k}", none) for k in range(parts)]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(f"i{k}", F.array().cast("array<string>")) for k in range(parts)]))))
-    n_items = sum((F.coalesce(f"n{k}", F.lit(0)) for k in range(parts)), F.lit(0).cast("long"))
-    merged = out.select("_id", "_rk", "n_words", _union(spans).alias("spans"), items.alias("items"), n_items.alias("n_items"))
-    each = passes[0].select(F.col("_id").alias("_a"), F.col("_rk").alias("_b"))
-    return each.join(merged, F.col("_a").eqNullSafe(F.col("_id")) & F.col("_b").eqNullSafe(F.col("_rk"))).drop("_a", "_b")
 
+    def items(k: int, n: int) -> list[tuple[str, list[bytes]]]:
+        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+        return [(i, item_words(t)) for i, t in sorted((r["id"], r["text"]) for r in own.select("id", "text").toLocalIterator())]
 
-def _union(spans):
-    """Spans put together where they overlap or touch."""
-    kind = "array<struct<start:int,end:int>>"
+    source = packed(docs, text=text_col)
+    fields = [("row", arrow_type(source, "row")), ("text", pa.string())]
+    schema = pa.schema([*fields, *((c, x) for c, (_, x) in MEASURES.items())])
+    types = _with(source, ", ".join(f"{c} {kind}" for c, (kind, _) in MEASURES.items()))
 
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), longer).otherwise(F.concat(acc, F.array(x)))
-
-    return F.when(F.size(spans) == 0, spans).otherwise(F.aggregate(F.array_sort(spans), F.array().cast(kind), add))
+    def scan(df: DataFrame, k: int) -> DataFrame:
+        return df.mapInArrow(_scan(spark.sparkContext.broadcast(Automaton(items(k, parts), window)), schema), types)
 
+    if parts == 1:
+        return scan(source, 0).drop("text")
+    n = max(1, -(-total // (2 * FILTER_WORDS)))
+    sets = [spark.sparkContext.broadcast(Windows(items(k, n), window)) for k in range(n)]
+    flagged = source.mapInArrow(_maybe(sets, pa.schema([*fields, ("n_words", pa.int64()), ("maybe", pa.bool_())])), _with(source, "n_words bigint, maybe boolean"))
+    some = materialize(flagged.where("maybe").select("row", "text"), "decontaminate")
+    for k in range(parts):
+        some = materialize(scan(some, k), "decontaminate")
+    none = {"spans": F.array(), "items": F.array(), "n_items": F.lit(0), "cut": F.lit(None)}
+    rest = flagged.where(~F.col("maybe")).select("row", "n_words", *[c.cast(MEASURES[k][0]).alias(k) for k, c in none.items()])
+    return rest.unionByName(some.drop("text"))
 
-def _arrow(df: DataFrame, name: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(df.schema[name].dataType)
+def _with(df: DataFrame, ddl: str) -> StructType:
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
 def verdict(found: DataFrame, num: int = 1, den: int = 20) -> DataFrame:
@@ -247,72 +290,21 @@ def verdict(found: DataFrame, num: int = 1, den: int = 20) -> DataFrame:
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (den * F.col("n_hit") >= num * F.col("n_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, num: int = 1, den: int = 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", num: int = 1, den: int = 20, **kw) -> DataFrame:
     """docs without contaminated rows; from the others' text the hit words are cut, with what stands
-    between them. One pass: spans are found and cut in the same task."""
-    spark = docs.sparkSession
-    rows = _items(benchmark, "item_id", "text")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
-    if total > 2 * MAX_WORDS:
-        found = verdict(report(docs, benchmark, window=window), num, den).where(F.size("spans") > 0).dropDuplicates(["_id", "_rk"]).select("_id", "_rk", "spans", "contaminated")
-        joined = docs.withColumn("_k", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_k").eqNullSafe(F.col("_rk")), "left").where(~F.coalesce("contaminated", F.lit(False)))
-        return _cut(joined, docs)
-    items = sorted((r["id"], r["text"]) for r in rows.select("id", "text").toLocalIterator())
-    auto = spark.sparkContext.broadcast(Automaton([(k, item_words(t)) for k, t in items], window))
-    schema = pa.schema([("_id", pa.int64()), ("_rk", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string())), ("n_items", pa.int64())])
-    inner = _scan(auto, "_rk", "text", schema)
-    names, out = docs.columns, docs.schema
-
-    def run(batches):
-        for batch in batches:
-            whole = batch.append_column("_rk", pa.array(range(batch.num_rows), pa.int64())) if "_rk" not in batch.schema.names else batch
-            spans = [x for b in inner(iter([whole])) for x in zip(b.column("n_words").to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            keep, texts = [], batch.column(names.index("text")).to_pylist()
-            for i, (n, sp) in enumerate(spans):
-                hit = sum(x["end"] - x["start"] for x in sp)
-                keep.append(not (hit and den * hit >= num * n))
-                if hit and keep[-1]:
-                    texts[i] = cut_words(texts[i], [(x["start"], x["end"]) for x in sp])
-            cols = [pa.array(texts, batch.schema.field(k).type) if c == "text" else batch.column(k) for k, c in enumerate(names)]
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                old = cols[k].to_pylist()
-                cols[k] = pa.array([len(t) if t is not None and sp else o for t, o, (_, sp) in zip(texts, old, spans, strict=True)], batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, out)
-
-
-def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without words start to end of each span, and without what stands between these; a blank takes their place."""
-    raw = text.encode()
-    data = LOWER[np.frombuffer(raw, np.uint8)]
-    s, e, _ = bounds(data, np.array([0, len(data)]), ALNUM)
-    out, at = [], 0
-    for a, b in spans:
-        out.append(raw[at : s[a]])
-        at = int(e[b - 1])
-    return b" ".join([*out, raw[at:]]).decode()
-
-
-def _cut(joined: DataFrame, docs: DataFrame) -> DataFrame:
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
-        return pd.Series([t if t is None or sp is None or not len(sp) else cut_words(t, [(x["start"], x["end"]) for x in sp]) for t, sp in zip(text, spans, strict=True)])
-
-    out = joined.withColumn("text", cut("text", "spans"))
+    between them, and n_chars, where there, is set anew for these."""
+    found = verdict(report(docs, benchmark, text_col, **kw), num, den).where(~F.col("contaminated"))
+    new = {text_col: F.coalesce("cut", F.col(f"row.`{text_col}`"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cut").cast(dict(docs.dtypes)["n_chars"]))
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    found = verdict(report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-    return found.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    found = verdict(report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def brute(docs: list[tuple], items: list[tuple], window: int = 13) -> list[tuple]:

@@ -160,20 +160,28 @@ def test_decontaminate(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     for limit in (decontaminate.MAX_WORDS, 40):
         found = decontaminate.verdict(decontaminate.report(df, bench, max_words=limit))
-        got = sorted((r["_id"], r["n_words"], r["n_hit"], r["n_items"], hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) for r in found.collect())
+        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) for r in found.select("row.doc_id", "*").collect())
         assert got == sorted(decontaminate.brute(rows, ITEMS))
-    assert decontaminate.report(empty.drop("_id"), bench).count() == 0
+        assert decontaminate.report(empty, bench, max_words=limit).count() == 0
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.verdict(decontaminate.report(df, none)).where("contaminated").count() == 0
 
 
 def test_decontaminate_clean(spark):
+    """One automaton and several; columns named like those used inside; a very long text; a tie."""
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     filler = " ".join(f"f{i}" for i in range(400))
-    rows = [(1, filler + " " + ITEMS[1][1] + " tail", 5), (2, "clean text", 10), (3, ITEMS[1][1], 3), (4, None, None)]
-    got = {r["doc_id"]: r for r in decontaminate.clean(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), bench).collect()}
-    assert set(got) == {1, 2, 4} and got[2]["text"] == "clean text" and got[4]["text"] is None
-    assert got[1]["text"] == filler + "   tail" and got[1]["n_chars"] == len(got[1]["text"])
+    long = " ".join(f"g{i}" for i in range(300000))
+    names = "_id _rk _k row spans items cut maybe n_words contaminated".split()
+    rows = [(1, filler + " " + ITEMS[1][1] + " tail", 5), (2, "clean text", 10), (3, ITEMS[1][1], 3), (4, None, None), (5, long + " " + ITEMS[1][1] + "; " + long, 1), (6, "mu mu mu " + " ".join(["z"] * 57), 1), (7, "mu mu mu " + " ".join(["z"] * 58), 1)]
+    df = spark.createDataFrame([(*x, *names) for x in rows], "doc_id bigint, text string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    for limit in (decontaminate.MAX_WORDS, 40):
+        kept = decontaminate.clean(df, bench, max_words=limit)
+        got = {r["doc_id"]: r for r in kept.collect()}
+        assert kept.columns == df.columns and all(tuple(r)[3:] == tuple(names) for r in got.values())
+        assert set(got) == {1, 2, 4, 5, 7} and got[2]["text"] == "clean text" and got[4]["text"] is None
+        assert got[1]["text"] == filler + "   tail" and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["n_chars"] == 10
+        assert got[5]["text"] == long + "  ; " + long and got[7]["text"] == "  " + " ".join(["z"] * 58)
 
 
 def test_repetition(spark, docs, empty):
