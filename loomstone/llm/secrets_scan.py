@@ -1,30 +1,41 @@
 r"""Secret scans: base patterns, and by grammar inference formats learned from labelled credentials.
 
-The patterns give base spans: assign (whole match, keyword included), access and hex. A frequency
-prefix tree over the labelled credentials is folded into a probabilistic automaton: red and blue states
-merge where their outgoing frequencies agree within a Hoeffding bound, recursively. Runs of token
-characters are read from their start, from after each separator in them and from wherever a learned
-prefix occurs, to a separator or the run's end, and scored by the log likelihood under the automaton, per
-symbol, against a bigram model of ordinary tokens. From the left, the longest part above the limit that
-overlaps no base span is added as `format`; parts with a learned prefix come before others.
+The patterns give base spans: assign (whole match, keyword included), access and hex. A frequency prefix
+tree over labelled credentials is folded into a probabilistic automaton: red and blue states merge where
+their outgoing frequencies agree within a Hoeffding bound, recursively. Every run of token characters is a
+candidate, whatever its length and characters: it is read from its start, from after each separator in it
+and from wherever a learned prefix occurs, to a separator or the run's end, and scored by the log likelihood
+under the automaton against a bigram model of ordinary tokens. From the left, the longest part that is above
+limit for each symbol and above EVIDENCE in all is a `format` span; parts with a learned prefix come before
+others. What is found once for a run is looked up for its repetitions.
 
 Symbols are the first LITERAL characters as they are where many samples agree on them, and classes of
-characters elsewhere, so prefixes of issuers and the shape of what follows both count. Null or empty text
-has no spans. Each row stands alone; repeated ids and extra columns do no harm."""
+characters elsewhere, so prefixes of issuers and the shape of what follows both count.
+
+Labels. A caller gives credentials and ordinary tokens; without, the table gives them: what the base
+patterns find in it is labelled credential, other runs ordinary. They come from at most about MAX_ROWS rows
+with a base span and as many of all rows (smallest hashes of the text), and are at most MAX_SAMPLES and
+MAX_ORDINARY different tokens of up to MAX_TOKEN characters. So formats that no base span shows aren't learned.
+
+Edge cases. Null or empty text: no spans. Very long texts and runs: whole. Ties: base spans of different
+kinds may overlap and all stay; a format span that lies inside a base span adds nothing and is left out.
+Without any labelled credential there are base spans only. Each row stands alone, so repeated rows get equal
+spans, and null or repeated ids do no harm. An empty table gives no rows. Extra columns, whatever their
+names, do no harm."""
 
 from __future__ import annotations
 
 import hashlib
 import math
-import random
 import re
-import string
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_type, materialize
+
 # The patterns, least lengths and kinds of the base scan.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -32,10 +43,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGNED = 8
 KINDS = ("assign", "access", "hex", "format")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-HAS_DIGIT, HAS_LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]+")
 SEPARATOR = re.compile(r"[^A-Za-z0-9]")
 LITERAL, END = 4, "$"
+#: Log likelihood ratios that a part must exceed: for each symbol, and in all (one ordinary token in 160,000).
+LIMIT, EVIDENCE = 0.5, 12.0
+#: What is learned from at most.
+MAX_ROWS, MAX_SAMPLES, MAX_ORDINARY, MAX_TOKEN = 2000, 600, 6000, 256
+#: Runs of up to so many characters are kept with what was found in them, so many of them; only speed depends on it.
+CACHED, CACHE = 64, 400_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -132,12 +148,12 @@ class Grammar:
     def _merge(self) -> None:
         # States inside prefixes stay apart, or what may follow a prefix could stand without one.
         inner = {v for v, x in enumerate(self.next) if any(len(c) > 1 for c in x)}
-        red = [0]
+        red, known = [0], {0}
         while True:
-            blue = sorted({(q, p, c) for p in red for c, q in self.next[p].items() if q not in red and c != END})
+            blue = min(((q, p, c) for p in red for c, q in self.next[p].items() if q not in known and c != END), default=None)
             if not blue:
                 break
-            q, p, c = blue[0]
+            q, p, c = blue
             for r in red:
                 if not {r, q} & inner and self._compatible(r, q):
                     self.next[p][c] = r
@@ -145,22 +161,9 @@ class Grammar:
                     break
             else:
                 red.append(q)
+                known.add(q)
         self.states = red
 
-    def score(self, token: str) -> float:
-        """Log probability of a symbol, on average; what was never seen costs as much as one in a million."""
-        v, total, syms = 0, 0.0, symbols(token, self.known)
-        for c in syms:
-            n = sum(self.freq[v].values())
-            f = self.freq[v].get(c, 0)
-            if not f:
-                return -math.inf if n == 0 else (total + len(syms) * math.log(1e-6)) / len(syms)
-            total += math.log(f / n)
-            if c == END:
-                break
-            v = self.next[v][c]
-        return total / len(syms)
-
 
 class Ordinary:
     """A bigram model of ordinary tokens' symbols."""
@@ -178,49 +181,65 @@ class Ordinary:
     def cost(self, a: str, b: str) -> float:
         return math.log((self.pair.get((a, b), 0) + 0.1) / (self.one.get(a, 0) + 7))
 
-    def score(self, token: str) -> float:
-        s = symbols(token, self.known)
-        return sum(self.cost(a, b) for a, b in zip(["^", *s], s, strict=False)) / len(s)
 
+def values(text: str) -> tuple[list[str], list[str]]:
+    """What the patterns label in a text: credentials, and the other runs."""
+    base = base_spans(text)
+    own = [text[a:b] for a, b, k in base if k] + [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGNED]
+    other, free = [], 0
+    blocks = base[::-1]
+    for m in CANDIDATE.finditer(text):
+        while blocks and blocks[-1][0] < m.end():
+            free = max(free, blocks.pop()[1])
+        if m.start() >= free:
+            other.append(m[0])
+    return own, other
+
+
+def labelled(docs: DataFrame, text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[list[str], list[str]]:
+    """Credentials and ordinary tokens that the table itself labels."""
+    rows = docs.select(docs[f"`{text_col}`"].alias("text")).where("text is not null").withColumn("k", F.xxhash64("text"))
+    # The patterns, for the JVM's regular expressions; a row too many does no harm.
+    shows = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]") | F.col("text").rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
+    n, total = rows.agg(F.count_if(shows), F.count(F.lit(1))).head()
+    up_to = lambda n: F.col("k") <= min((1 << 63) - 1, int(min(1.0, max_rows / max(n, 1)) * (1 << 64)) - (1 << 63))
+    sample = rows.where(up_to(total) | (up_to(n) & shows)).select("text")
+    schema = pa.schema([("token", pa.string()), ("credential", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            found: dict[str, bool] = {}
+            for text in batch.column(0):
+                own, other = values(text.as_py())
+                found.update((x, found.get(x, False)) for x in other)
+                found.update((x, True) for x in own)
+            short = {x: y for x, y in found.items() if len(x) <= MAX_TOKEN}
+            yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.bool_())], schema=schema)
 
-def labelled(n: int = 60, seed: int = 7) -> tuple[list[str], list[str]]:
-    """Made-up credentials in publicly documented formats, and ordinary tokens; used where no labelled ones are given."""
-    r = random.Random(seed)
-    mixed, upper = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
-    draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
-    forms = [
-        lambda: "ghp_" + draw(mixed, 36), lambda: "gho_" + draw(mixed, 36), lambda: "glpat-" + draw(mixed + "_-", 20), lambda: "sk_live_" + draw(mixed, 24), lambda: "sk_test_" + draw(mixed, 24),
-        lambda: f"xoxb-{draw(string.digits, 12)}-{draw(string.digits, 12)}-{draw(mixed, 24)}", lambda: "AIza" + draw(mixed + "_-", 35), lambda: "npm_" + draw(mixed, 36), lambda: "ASIA" + draw(upper, 16),
-        lambda: f"eyJ{draw(mixed, 33)}.eyJ{draw(mixed, 60)}.{draw(mixed + '_-', 43)}", lambda: f"SG.{draw(mixed + '_-', 22)}.{draw(mixed + '_-', 43)}",
-    ]
-    word = lambda: draw(string.ascii_lowercase, r.randint(2, 9))
-    plain = [
-        lambda: "-".join(word() for _ in range(4)), lambda: f"{word()}.{word()}.com/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}_{word()}_{word()}{r.randint(1, 99)}", lambda: draw(string.digits, r.randint(16, 20)),
-        lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{word()}{word()}", lambda: f"{word()}{word()}{word()}{r.randint(0, 9)}", lambda: f"/{word()}/{word()}/{word()}{r.randint(1, 99)}.html", lambda: f"{word().upper()}_{word().upper()}_{word().upper()}_{r.randint(1, 99)}",
-    ]
-    return [f() for f in forms for _ in range(n)], [f() for f in plain for _ in range(n)]
+    tokens = materialize(sample.mapInArrow(run, "token string, credential boolean").groupBy("token").agg(F.max("credential").alias("credential")), "tokens")
+    some = lambda which, k: sorted(r["token"] for r in tokens.where(which).orderBy(F.xxhash64("token"), "token").limit(k).collect())
+    return some("credential", MAX_SAMPLES), some("not credential", MAX_ORDINARY)
 
 
-def train(credentials: list[str] | None = None, ordinary: list[str] | None = None) -> tuple[Grammar, Ordinary]:
-    a, b = labelled()
-    grammar = Grammar(credentials or a)
-    return grammar, Ordinary(ordinary or b, grammar.known)
+def train(credentials: list[str], ordinary: list[str]) -> tuple[Grammar, Ordinary]:
+    grammar = Grammar(credentials)
+    return grammar, Ordinary(ordinary, grammar.known)
 
 
 def longest(run: str, a: int, stop: int, models: tuple[Grammar, Ordinary], limit: float, ahead: dict) -> int:
-    """The last end up to stop, before a separator or at the run's end, of a part from a that scores above the limit;
+    """The last end up to stop, before a separator or at the run's end, of a part from a that scores above the limits;
     0 if there is none. What was never seen ends the search: no longer part has a likelihood worth naming.
 
     ahead: of states at places of the run, how much an end further on can add at most; it keeps long runs with many
     starts from being read again and again, and changes no result."""
     grammar, ordinary = models
     v, total, last, best, k, top, trail = 0, 0.0, "^", 0, 0, -math.inf, []
-    digit = letter = False
     for i in range(a, stop + 1):
         c = run[i] if i < len(run) else ""
-        if i - a >= 16 and digit and letter and not c.isalnum() and run[i - 1] != "." and END in grammar.cost[v]:
+        if i > a and not c.isalnum() and run[i - 1] != "." and END in grammar.cost[v]:
             value = total + grammar.cost[v][END] - ordinary.cost(last, END) - limit
-            best = i if value > 0 else best
+            if value > 0 and value + limit * (i - a + 1) > EVIDENCE:
+                best = i
             trail.append((None, value))
         if i - a > LITERAL:
             key = i, v, last
@@ -235,7 +254,6 @@ def longest(run: str, a: int, stop: int, models: tuple[Grammar, Ordinary], limit
         if i == stop or s not in grammar.cost[v]:
             break
         total += grammar.cost[v][s] - ordinary.cost(last, s) - limit
-        digit, letter = digit or c.isdigit(), letter or c.isalpha()
         v, last = grammar.next[v][s], s
     for key, value in reversed(trail):
         if key is None:
@@ -245,14 +263,24 @@ def longest(run: str, a: int, stop: int, models: tuple[Grammar, Ordinary], limit
     return best
 
 
-def format_spans(text: str, grammar: Grammar, ordinary: Ordinary, limit: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run, ahead = m[0], {}
-        if not HAS_DIGIT.search(run) or not HAS_LETTER.search(run):
-            continue
-        held = [(a - m.start(), b - m.start()) for a, b, _ in taken if a < m.end() and m.start() < b]
-        learned = [x.start() for x in grammar.start.finditer(run)] if grammar.start else []
+class Runs(dict):
+    """The format spans inside runs of token characters, found when first asked for."""
+
+    def __init__(self, grammar: Grammar, ordinary: Ordinary, limit: float = LIMIT) -> None:
+        super().__init__()
+        self.models, self.limit = (grammar, ordinary), limit
+
+    def __missing__(self, run: str) -> tuple[tuple[int, int], ...]:
+        found = tuple(sorted(self.find(run)))
+        if len(run) <= CACHED:
+            if len(self) >= CACHE:
+                self.clear()
+            self[run] = found
+        return found
+
+    def find(self, run: str) -> list[tuple[int, int]]:
+        start, ahead, held = self.models[0].start, {}, []
+        learned = [x.start() for x in start.finditer(run)] if start else []
         # Parts that begin as a learned format does come before others, which might only lead up to one.
         for starts in (learned, [0, *(x.end() for x in SEPARATOR.finditer(run))]):
             blocks, free = sorted(held, reverse=True), 0
@@ -260,41 +288,53 @@ def format_spans(text: str, grammar: Grammar, ordinary: Ordinary, limit: float,
                 while blocks and blocks[-1][0] <= i:
                     free = max(free, blocks.pop()[1])
                 stop = blocks[-1][0] if blocks else len(run)
-                if i < free or stop - i < 16:
-                    continue
-                b = longest(run, i, stop, (grammar, ordinary), limit, ahead)
-                if b:
+                if free <= i < stop and (b := longest(run, i, stop, self.models, self.limit, ahead)):
                     held.append((i, b))
-                    out.append((m.start() + i, m.start() + b, 3))
                     free = b
-    return out
+        return held
+
+    def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Format spans of a text, but for those inside one of base, which are in order of their starts."""
+        if not any(map(self.__getitem__, set(CANDIDATE.findall(text)))):
+            return []
+        out, i, reach = [], 0, -1
+        for m in CANDIDATE.finditer(text):
+            for a, b in self[m[0]]:
+                a, b = a + m.start(), b + m.start()
+                while i < len(base) and base[i][0] <= a:
+                    reach = max(reach, base[i][1])
+                    i += 1
+                if b > reach:
+                    out.append((a, b, 3))
+        return out
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], x[2])))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", credentials: list[str] | None = None, ordinary: list[str] | None = None, limit: float = 0.5) -> DataFrame:
-    """For each row: _id and all spans, as (start, end, kind) in code points, end exclusive."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    models = docs.sparkSession.sparkContext.broadcast(train(credentials, ordinary))
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", credentials: list[str] | None = None, ordinary: list[str] | None = None, limit: float = LIMIT) -> DataFrame:
+    """For each row: id and all spans, as (start, end, kind) in code points, end exclusive."""
+    if credentials is None or ordinary is None:
+        own, other = labelled(docs, text_col)
+        credentials, ordinary = own if credentials is None else credentials, other if ordinary is None else ordinary
+    models = docs.sparkSession.sparkContext.broadcast(train(credentials, ordinary) if credentials else None)
+    source = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
-    schema = pa.schema([("_id", to_arrow_type(source.schema["_id"].dataType)), ("spans", pa.list_(span))])
+    schema = pa.schema([("id", arrow_type(source, "id")), ("spans", pa.list_(span))])
 
     def run(batches):
-        grammar, plain = models.value
+        runs = None if models.value is None else Runs(*models.value, limit)
         for batch in batches:
             found = []
             for text in batch.column(1):
                 t = text.as_py() or ""
                 base = base_spans(t)
-                both = sorted(base + format_spans(t, grammar, plain, limit, base), key=lambda x: (x[0], x[2]))
+                both = sorted(base + runs.spans(t, base), key=lambda x: (x[0], x[2])) if runs is not None else base
                 found.append([{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in both])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), pa.array(found, schema[1].type)], schema=schema)
 
-    return source.mapInArrow(run, f"_id {dict(source.dtypes)['_id']}, spans array<struct<start:bigint,end:bigint,kind:string>>")
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, spans array<struct<start:bigint,end:bigint,kind:string>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -304,7 +344,36 @@ def query(spark, sf_dir: str) -> DataFrame:
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda x: x["kind"] != "format")
-    return found.select(F.col("_id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def brute_formats(text: str, models: tuple[Grammar, Ordinary], limit: float = LIMIT) -> list[tuple[int, int]]:
+    """Format spans from every part of every run, each scored on its own, for tests."""
+    grammar, ordinary = models
+
+    def ratio(part: str) -> float:
+        v, total, last, syms = 0, 0.0, "^", symbols(part, grammar.known)
+        for s in syms:
+            if s not in grammar.cost[v]:
+                return -math.inf
+            total += grammar.cost[v][s] - ordinary.cost(last, s)
+            v, last = grammar.next[v].get(s, -1), s
+        return total if total > limit * len(syms) and total > EVIDENCE else -math.inf
+
+    out = []
+    for m in CANDIDATE.finditer(text):
+        run, held = m[0], []
+        learned = [i for i in range(len(run)) if grammar.start and grammar.start.match(run, i)]
+        for starts in (learned, [i for i in range(len(run)) if i == 0 or not run[i - 1].isalnum()]):
+            for i in starts:
+                if any(a <= i < b for a, b in held):
+                    continue
+                stop = min([a for a, _ in held if a > i], default=len(run))
+                ends = [j for j in range(i + 1, stop + 1) if (j == len(run) or not run[j].isalnum()) and run[j - 1] != "." and ratio(run[i:j]) > -math.inf]
+                if ends:
+                    held.append((i, ends[-1]))
+        out += [(m.start() + a, m.start() + b) for a, b in sorted(held)]
+    return out
 
 
 def brute(doc_id, text: str | None) -> tuple:
