@@ -8,9 +8,11 @@
    the similarity reaches the threshold, given m equal of n, is that of at most m successes in n + 1
    trials; below MISS the pair is dropped.
 4. Survivors are verified exactly on the full sets, from the texts.
-5. Members of buckets of more than BLOCK that are still in several components are banded again, by FINE
-   bands of more hashes, and go through 2 to 4 once more. A pair of the threshold shares a fine band as
-   surely as a band, texts that only share a template rarely do, so the large buckets come apart.
+5. Of a bucket that is still in several components, the members outside its largest one have to meet all
+   others. Where that would copy members more than COPIES times, as in large buckets of texts that share a
+   template, the members are banded again, by FINE bands of more hashes, and go through 2 to 4 once more. A
+   pair of the threshold shares a fine band as surely as a band, texts that only share a template rarely do,
+   so such buckets come apart.
 6. What is still mixed after that is swept: members outside a bucket's largest component are compared with
    all others, in blocks inside tasks, by the same batches and then on the full sets, until they are in one
    component. Only links leave a task. So the pivots lose no link that the bands propose.
@@ -48,6 +50,8 @@ FINE = 75, 8
 MISS, BATCH = 1e-6, 20
 #: Members of a bucket, and bytes of their texts, in a block; a sweep compares two blocks in one task.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Copies of a member that a sweep may send on average; a bucket that would send more is banded again first.
+COPIES = 16
 
 _MORE = 0xC2B2AE3D27D4EB4F
 
@@ -274,20 +278,22 @@ def _labelled(rows: DataFrame, comps: DataFrame, col: str = "id", name: str = "c
 
 def _mixed(shared: DataFrame, comps: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (band, id, comp, bytes) of buckets of three or more, and of those in several components a row
-    (band, size, bytes, main, outside); of buckets with the same members one is enough."""
+    (band, main, parts, outer_parts, copies): blocks of all and of those outside main, and copies of a member in a
+    sweep. Of buckets with the same members one is enough."""
     members = _labelled(shared.where("size > 2").select("band", "id"), comps).join(nodes.select("id", "bytes"), "id")
     same = [F.sum(F.expr("cast(xxhash64(id) as decimal(20, 0))")).alias("s1"), F.expr("bit_xor(xxhash64(id, 1))").alias("s2")]
     by_comp = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), *same)
     mixed = by_comp.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("s1").alias("s1"), F.expr("bit_xor(s2)").alias("s2")).where("comps > 1")
     least = mixed.groupBy("size", "s1", "s2").agg(F.min(F.struct("band", "bytes", "main", "most")).alias("m"))
-    return members, least.select("m.band", "size", "m.bytes", "m.main", (F.col("size") - F.col("m.most")).alias("outside"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(n * F.col("bytes") / F.col("size") / BLOCK_BYTES), F.lit(1)).cast("int")
+    plan = least.select("m.*", "size").withColumn("outside", F.col("size") - F.col("most")).withColumns({"parts": blocks(F.col("size")), "outer_parts": blocks(F.col("outside"))})
+    copies = F.col("outer_parts") + F.col("outside") * F.col("parts") / F.col("size")
+    return members, plan.select("band", "main", "parts", "outer_parts", copies.alias("copies"))
 
 
 def _sweep_rows(members: DataFrame, mixed: DataFrame) -> DataFrame:
     """A row for each member, block of its own and block of members outside the largest component that it meets."""
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1))
-    share = F.col("bytes") / F.col("size")
-    plan = mixed.select("band", F.xxhash64("band").alias("b2"), "main", F.greatest(blocks(F.col("size")), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts"), F.greatest(blocks(F.col("outside")), F.ceil(share * F.col("outside") / BLOCK_BYTES)).cast("int").alias("outer_parts"))
+    plan = mixed.withColumn("b2", F.xxhash64("band")).drop("copies")
     rows = members.drop("bytes").withColumn("b2", F.xxhash64("band")).join(plan, ["band", "b2"]).withColumn("key", F.xxhash64("id"))
     rows = rows.withColumns({"outside": F.col("comp") != F.col("main"), "x": F.pmod("key", F.col("parts")).cast("int"), "y": F.pmod(F.xxhash64("key"), F.col("outer_parts")).cast("int")})
     left = rows.select("band", "id", "comp", "key", F.col("outside").cast("int").alias("side"), "x", F.explode(F.sequence(F.lit(0), F.col("outer_parts") - 1)).alias("y"))
@@ -329,8 +335,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comps = components(verify(likely(star)))
 
     members, mixed = _mixed(shared, comps, nodes)
-    too_large = (F.col("size") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)
     mixed = materialize(mixed, "mixed")
+    too_large = F.col("copies") > COPIES
     sweeps = [_sweep_rows(members, mixed.where(~too_large))]
     if mixed.where(too_large).limit(1).count():
         large = mixed.where(too_large).select("band", F.xxhash64("band").alias("b2"))

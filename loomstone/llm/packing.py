@@ -8,12 +8,18 @@ lengths are available, so a plan has few patterns, each with a count. Pieces the
 their rank within their length; ranks are counted in blocks of a hash of the id, so a length that a third
 of all pieces have is spread over many tasks.
 
-Null text is empty: its one piece is the end token. Rows that share an id (or have none) are packed each
-on its own. Token ids are those of the tokenizer file: words are cut and looked up here, unseen words and
-texts with characters outside SIMPLE are given to the tokenizers library."""
+Edge cases. Null or empty text: one piece, the end token. Very long texts: whole, in pieces of SIZE; only they
+are cut. Ties: pieces of equal length are ranked by block, id, piece number and CRC, so a rerun places them
+alike; repeated rows, and rows without an id, are packed each on its own. An empty table gives no rows. Only
+the id and the text are read, and the result has its own columns, so no name can clash.
+
+Token ids are those of the tokenizer file. Where its settings are those below, words are cut and looked up
+here; unseen words, and texts with characters outside SIMPLE, are given to the tokenizers library, as are all
+texts of a file with other settings."""
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -32,7 +38,16 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a worker's table; when full it starts anew. Only speed depends on it.
 CACHE_WORDS = 400_000
 
-# The tokenizer file's own way to cut normalised text, for lower-cased texts of SIMPLE characters only.
+# The settings of a tokenizer file for which words are cut here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: What SPLITTER's pattern cuts from lower-cased texts of SIMPLE characters.
 CUT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-zß-öø-ÿ0-9]+")
 #: ASCII, and the Latin-1 letters that are composed, have simple lower case, and are letters for both libraries.
 SIMPLE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -71,15 +86,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.words = Words(self.tokenizer.model)
+        with open(path) as f:
+            said = json.load(f)
+        model = said["model"]
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix"))
+        #: Whether words may be cut here; if not, all texts go to the library.
+        self.own = plain and said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == SPLITTER and not said["post_processor"]
         #: Strings that the library takes out of a text before it normalises it.
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.probe()
-
-    def probe(self) -> None:
-        """Whether words cut here give the library's ids; if not (another tokenizer file), all texts go to the library."""
-        self.own = True
-        text = "The QUICK brown fox's 42 jumps, it'll don't_a__b -- naïve Ünï ça!! x9y %%% a|b\n\tEnd."
-        self.own = self.encode(text) == self.library(text)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

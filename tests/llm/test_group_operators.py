@@ -42,21 +42,28 @@ def test_near_dedup(spark):
 
 
 def test_near_dedup_bands_large_buckets_again(spark, monkeypatch):
-    """Blocks of four: most buckets are large and mixed. Ids are strings here."""
+    """Blocks of four, with and without fine bands: most buckets are large and mixed. Ids are strings here."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rows = list(enumerate(near_texts(5)))
     df = spark.createDataFrame([(f"d{i:04}", t) for i, t in rows], "doc_id string, text string")
-    assert near_rows(df, shingle=4) == sorted((f"d{i:04}", n, f"d{c:04}") for i, n, c, _ in near_dedup.brute(rows))
+    for copies in (0, 1000):
+        monkeypatch.setattr(near_dedup, "COPIES", copies)
+        assert near_rows(df, shingle=4) == sorted((f"d{i:04}", n, f"d{c:04}") for i, n, c, _ in near_dedup.brute(rows))
 
 
-def test_near_dedup_template(spark):
-    """Pages that share half of their words come apart without being compared all with all."""
+def test_near_dedup_template(spark, monkeypatch):
+    """Pages that share half of their words come apart by fine bands: hardly any of them are left to sweep."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "COPIES", 4)
+    swept, plain = [], near_dedup._sweep_rows
+    monkeypatch.setattr(near_dedup, "_sweep_rows", lambda *x: swept.append(plain(*x)) or swept[-1])
     r = random.Random(8)
     template = " ".join(f"t{i}" for i in range(60))
     rows = [(i, template + " " + " ".join(f"o{r.randrange(10**6)}" for _ in range(50))) for i in range(1500)]
     rows += [(2000 + i, rows[i][1] + " end") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert near_rows(df) == sorted(x[:3] for x in near_dedup.brute(rows, 5, (4, 5)))
+    assert len(swept) == 2 and swept[1].count() < 20 * len(rows)
 
 
 def test_near_dedup_odd_rows(spark):
@@ -186,6 +193,38 @@ def test_tokens_are_the_library_s():
     assert all(enc.encode(t) == enc.library(t) for t in odd)
 
 
+def test_other_settings_go_to_the_library(tmp_path):
+    import json
+
+    for change in (lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="[a-z]+|[^a-z]"), lambda d: d.update(normalizer=None)):
+        with open(packing.default_tokenizer()) as f:
+            said = json.load(f)
+        change(said)
+        at = tmp_path / "other.json"
+        at.write_text(json.dumps(said))
+        enc = packing.Encoder(str(at))
+        assert not enc.own and enc.encode("The QUICK fox's 42") == enc.library("The QUICK fox's 42")
+
+
+def test_packing_query_against_the_library(spark):
+    """op5's rows on the smallest tables: pieces and CRCs by the library, gapless sequences, no more than first fit takes."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    enc, want = packing.encoder(packing.default_tokenizer()), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        raw = enc.library(r["text"] or "") + np.array([1], "<u4").tobytes()
+        for k, at in enumerate(range(0, len(raw) // 4, 4096)):
+            own = raw[4 * at : 4 * (at + 4096)]
+            want[r["doc_id"], k] = (at, len(own) // 4, zlib.crc32(own))
+    got = packing.query(spark, sf).toPandas()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want and len(got) == len(want)
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 4096
+    assert got.sequence_id.nunique() <= first_fit(got.length.tolist(), 4096)
+
+
 def first_fit(lengths, size):
     """Sequences that first fit takes, longest pieces first."""
     room = []
