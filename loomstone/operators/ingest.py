@@ -10,11 +10,12 @@ META = ["filename", "dir_path", "extension", "file_type", "size_bytes", "mtime_n
 
 
 def upsert(known: DataFrame, scanned: DataFrame, fold_case: bool = False) -> DataFrame:
-    """The next snapshot, with op: insert, revive, update or keep.
+    """The next snapshot, with op: insert, revive, update or keep, and index_op: what the keyword index has to do,
+    insert (new and revived files), replace (another name or folder) or nothing (null).
 
     New paths get ids after the largest. A deleted path comes back under its id, as new. A path whose size
-    or modified time differs is set back to METADATA_ONLY only if it was AI_DONE. fold_case: paths that
-    differ in case are one."""
+    or modified time differs is set back to METADATA_ONLY only if it was AI_DONE. Content hashes stay until a
+    file is processed. fold_case: paths that differ in case are one, and are spelled as scanned."""
     key = F.lower("path") if fold_case else F.col("path")
     a = known.withColumn("_key", key)
     b = scanned.select(key.alias("_key"), F.col("path").alias("s_path"), *[F.col(c).alias(f"s_{c}") for c in META])
@@ -22,16 +23,18 @@ def upsert(known: DataFrame, scanned: DataFrame, fold_case: bool = False) -> Dat
     new, seen = F.col("file_id").isNull(), F.col("s_path").isNotNull()
     revived = ~new & seen & (F.col("is_deleted") == 1)
     changed = (F.col("size_bytes") != F.col("s_size_bytes")) | (F.col("mtime_ns") != F.col("s_mtime_ns"))
+    renamed = (F.col("filename") != F.col("s_filename")) | (F.col("dir_path") != F.col("s_dir_path"))
     op = F.when(new, "insert").when(revived, "revive").when(seen & changed, "update").otherwise("keep")
+    index_op = F.when(new | revived, "insert").when(seen & renamed, "replace")
     status = F.when(new | revived | (seen & changed & (F.col("status") == "AI_DONE")), "METADATA_ONLY").otherwise(F.col("status"))
-    out = both.select("file_id", F.coalesce("path", "s_path").alias("path"), *[F.coalesce(f"s_{c}", c).alias(c) for c in META], F.when(new | (seen & changed), F.lit(None).cast("string")).otherwise(F.col("content_hash")).alias("content_hash"), status.alias("status"), F.when(seen, 0).otherwise(F.col("is_deleted")).alias("is_deleted"), op.alias("op"))
+    out = both.select("file_id", F.coalesce("s_path", "path").alias("path"), *[F.coalesce(f"s_{c}", c).alias(c) for c in META], "content_hash", status.alias("status"), F.when(seen, 0).otherwise(F.col("is_deleted")).alias("is_deleted"), op.alias("op"), index_op.alias("index_op"))
     return assign_ids(out)
 
 
 def assign_ids(rows: DataFrame, id_col: str = "file_id", order: str = "path") -> DataFrame:
     """Ids after the largest for rows without one, in order: ranks within ranges of the order, offset by the
     counts of the ranges before, so no task holds all new rows."""
-    new = rows.where(F.col(id_col).isNull()).withColumn("_b", F.substring(F.md5(F.col(order)), 1, 3))
+    new = rows.where(F.col(id_col).isNull()).withColumn("_b", F.substring(F.md5(F.col(order).cast("string")), 1, 3))
     counts = new.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # 4096 rows at most
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     top = rows.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
@@ -65,30 +68,57 @@ def upsert_points(points: DataFrame, fresh: DataFrame, key: str = "vec_id") -> D
     return points.join(fresh.select(key), key, "left_anti").unionByName(fresh.dropDuplicates([key]))
 
 
-def completeness(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """ai_complete of each file: a document has chunks and all are embedded; an image has recognised text or a
-    caption, and whatever it has is embedded. Embedded is status 1."""
-    counts = chunks.groupBy("file_id").agg(*[F.sum((F.col("source_type") == s).cast("int")).alias(f"n_{s}") for s in ("doc_chunk", "ocr", "image_caption")], F.count(F.lit(1)).alias("n"), F.sum((F.col("embedding_status") == 1).cast("int")).alias("done"))
+def completeness(files: DataFrame, chunks: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
+    """ai_complete of each file: a document has document chunks and all of these are embedded; an image has been read
+    (a row in ocr, even if no text was found; without that table, this isn't asked) and has recognised text or a
+    caption, all embedded. Embedded is status 1."""
+    kinds = ("doc_chunk", "ocr", "image_caption")
+    is_done = (F.col("embedding_status") == 1).cast("int")
+    counts = chunks.groupBy("file_id").agg(*[F.sum((F.col("source_type") == s).cast("int")).alias(f"n_{s}") for s in kinds], *[F.sum(F.when(F.col("source_type") == s, is_done).otherwise(0)).alias(f"d_{s}") for s in kinds], F.count(F.lit(1)).alias("n"), F.sum(is_done).alias("done"))
     own = files.join(counts, "file_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
-    rule = F.when(F.col("file_type") == "doc", n("n_doc_chunk") > 0).when(F.col("file_type") == "image", n("n_ocr") + n("n_image_caption") > 0).otherwise(False)
-    return own.select("file_id", "file_type", n("n").alias("n"), n("done").alias("done"), (rule & (n("n") == n("done"))).alias("ai_complete"))
+    was_read = F.lit(True)
+    if ocr is not None:
+        own = own.join(ocr.select("file_id", F.lit(True).alias("_read")).distinct(), "file_id", "left")
+        was_read = F.col("_read").isNotNull()
+    image, embedded = n("n_ocr") + n("n_image_caption"), n("d_ocr") + n("d_image_caption")
+    rule = F.when(F.col("file_type") == "doc", (n("n_doc_chunk") > 0) & (n("n_doc_chunk") == n("d_doc_chunk"))).otherwise(was_read & (image > 0) & (image == embedded))
+    return own.select("file_id", "file_type", n("n").alias("n"), n("done").alias("done"), rule.alias("ai_complete"))
 
 
-def reuse_source(files: DataFrame) -> DataFrame:
-    """For each active file, the smallest other active file with its hash and type: (file_id, source_id).
+def reuse(files: DataFrame, fresh: DataFrame, complete: DataFrame) -> DataFrame:
+    """fresh (file_id, hash of its content now) to (file_id, hash, verdict, source_id): same_file if that is its
+    hash already and its results are complete; clone if the smallest other id of that hash and type, deleted or
+    not, has complete results; else none. complete: file_id and ai_complete.
+
     The two smallest ids of each content are enough, so equal files are never paired with one another."""
-    active = files.where("is_deleted = 0 AND content_hash IS NOT NULL")
-    two = active.groupBy("content_hash", "file_type").agg(F.min("file_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rest = active.join(two, ["content_hash", "file_type"]).withColumn("_h", F.xxhash64("content_hash"))
-    second = rest.where("file_id <> first").groupBy("content_hash", "file_type").agg(F.min("file_id").alias("second"))
-    out = rest.join(second, ["content_hash", "file_type"])
-    return out.select("file_id", F.when(F.col("file_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("source_id"))
+    good = complete.where("ai_complete").select("file_id").distinct()
+    known = files.where("content_hash IS NOT NULL").select("file_id", F.col("content_hash").alias("hash"), "file_type")
+    first = known.groupBy("hash", "file_type").agg(F.min("file_id").alias("first")).withColumn("h2", F.xxhash64("hash"))
+    # The further key makes Spark exchange both sides, so that it can split a content with very many files.
+    rest = known.withColumn("h2", F.xxhash64("hash")).join(first, ["hash", "h2", "file_type"]).where("file_id <> first")
+    second = rest.groupBy("hash", "file_type").agg(F.min("file_id").alias("second"))
+    two = first.join(second, ["hash", "file_type"], "left").select("hash", "h2", "file_type", "first", "second")
+    own = fresh.select("file_id", "hash").join(files.select("file_id", "file_type", F.col("content_hash").alias("old")), "file_id")
+    own = own.withColumn("h2", F.xxhash64("hash")).join(two, ["hash", "h2", "file_type"], "left")
+    own = own.withColumn("source_id", F.when(F.col("first") == F.col("file_id"), F.col("second")).otherwise(F.col("first")))
+    done = lambda col, name: own.join(good.select(F.col("file_id").alias(col), F.lit(True).alias(name)), col, "left")
+    own = done("file_id", "_own")
+    own = done("source_id", "_source")
+    verdict = F.when((F.col("old") == F.col("hash")) & F.col("_own"), "same_file").when(F.col("_source"), "clone").otherwise("none")
+    return own.select("file_id", "hash", verdict.alias("verdict"), F.when(verdict == "clone", F.col("source_id")).alias("source_id"))
 
 
 def clone_chunks(chunks: DataFrame, plan: DataFrame) -> DataFrame:
     """Chunks of source_id under file_id: key and point id new, text as it is."""
-    return plan.join(chunks.withColumnRenamed("file_id", "source_id"), "source_id").select("file_id", "source_id", "source_type", "chunk_index", "chunk_text")
+    return plan.select("file_id", "source_id").join(chunks.withColumnRenamed("file_id", "source_id"), "source_id").select("file_id", "source_id", "source_type", "chunk_index", "chunk_text", "embedding_status")
+
+
+def clone_points(points: DataFrame, plan: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Points of the source's embedded chunks under file_id, those that exist."""
+    embedded = chunks.where("embedding_status = 1").select(F.col("file_id").alias("source_id"), "source_type", "chunk_index")
+    own = points.withColumnRenamed("file_id", "source_id").join(embedded, ["source_id", "source_type", "chunk_index"], "left_semi")
+    return plan.select("file_id", "source_id").join(own, "source_id").drop("source_id")
 
 
 def stale_points(points: DataFrame, chunks: DataFrame) -> DataFrame:

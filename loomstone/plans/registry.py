@@ -412,6 +412,30 @@ def _(t):
     return tasks.claim(t.tasks).select("task_id", "file_id", "status", "attempt")
 
 
+_DUE = "due AS (SELECT task_id, file_id FROM tasks WHERE status = 'PENDING' ORDER BY priority, task_id LIMIT 8)"
+
+
+@query("task_claim_tasks")
+def _(t):
+    return tasks.claimed(t.tasks, t.files, 999)[0].select("task_id", "status", "attempt", "updated_at", "last_error")
+
+
+_SQL["task_claim_tasks"] = sql("", "tasks").rstrip() + f", {_DUE} SELECT t.task_id, CASE WHEN d.task_id IS NULL THEN status ELSE 'RUNNING' END AS status, CAST(attempt + CASE WHEN d.task_id IS NULL THEN 0 ELSE 1 END AS INT) AS attempt, CASE WHEN d.task_id IS NULL THEN updated_at ELSE 999 END AS updated_at, last_error FROM tasks t LEFT JOIN due d ON t.task_id = d.task_id"
+
+
+@query("task_claim_files")
+def _(t):
+    return tasks.claimed(t.tasks, t.files, 999)[1].select("file_id", "status")
+
+
+_SQL["task_claim_files"] = sql("", "tasks", "files").rstrip() + f", {_DUE} SELECT file_id, CASE WHEN file_id IN (SELECT file_id FROM due) THEN 'PROCESSING' ELSE status END AS status FROM files"
+
+
+@query("task_with_files", "SELECT task_id, t.file_id, path, file_type FROM tasks t JOIN files f ON t.file_id = f.file_id WHERE t.status = 'RUNNING'", "tasks", "files")
+def _(t):
+    return tasks.with_files(t.tasks, t.files, t.tasks.where("status = 'RUNNING'"))
+
+
 @query("task_failed_list", "SELECT task_id, t.file_id, coalesce(filename, '<deleted>') AS filename, attempt, updated_at FROM (SELECT * FROM tasks WHERE status = 'FAILED' ORDER BY updated_at DESC, task_id LIMIT 50) t LEFT JOIN files f ON t.file_id = f.file_id", "tasks", "files")
 def _(t):
     return tasks.failed(t.tasks, t.files)
@@ -422,12 +446,24 @@ def _(t):
     return tasks.retry(t.tasks, t.raw("lineitem").select((F.col("l_orderkey") + F.col("l_linenumber") - 1).alias("task_id")))
 
 
-@query("task_reindex_status", "SELECT w.task_id, CASE WHEN t.file_id IS NULL THEN 'NOT_FOUND' WHEN t.file_id IN (SELECT file_id FROM tasks WHERE status IN ('PENDING', 'RUNNING')) THEN 'ALREADY_ACTIVE' ELSE 'QUEUED' END AS result FROM (SELECT o_custkey AS task_id FROM orders) w LEFT JOIN tasks t ON w.task_id = t.task_id", "tasks")
+@query("task_retried", "SELECT t.task_id, CASE WHEN w.task_id IS NOT NULL AND attempt < max_attempts AND status = 'FAILED' THEN 'PENDING' ELSE status END AS status, CASE WHEN w.task_id IS NOT NULL AND attempt < max_attempts AND status = 'FAILED' THEN 999 ELSE updated_at END AS updated_at FROM tasks t LEFT JOIN (SELECT DISTINCT o_custkey AS task_id FROM orders) w ON t.task_id = w.task_id", "tasks")
+def _(t):
+    return tasks.retried(t.tasks, t.raw("orders").select(F.col("o_custkey").alias("task_id")), 999).select("task_id", "status", "updated_at")
+
+
+@query("task_reindex_status", "SELECT w.task_id, t.file_id, CASE WHEN t.file_id IS NULL THEN 'NOT_FOUND' WHEN t.file_id IN (SELECT file_id FROM tasks WHERE status IN ('PENDING', 'RUNNING')) THEN 'ALREADY_ACTIVE' ELSE 'QUEUED' END AS result FROM (SELECT o_custkey AS task_id FROM orders) w LEFT JOIN tasks t ON w.task_id = t.task_id", "tasks")
 def _(t):
     return tasks.reindex(t.tasks, t.raw("orders").select(F.col("o_custkey").alias("task_id")))
 
 
-@query("task_enqueue_anti", "SELECT file_id, 1 AS priority, 'PENDING' AS status FROM files WHERE file_type IN ('doc', 'image') AND status = 'METADATA_ONLY' AND is_deleted = 0 AND file_id NOT IN (SELECT file_id FROM tasks WHERE status IN ('PENDING', 'RUNNING') AND priority = 0)", "files", "tasks")
+@query("task_reindexed", "SELECT CASE WHEN fresh THEN NULL ELSE task_id END AS known_id, file_id, priority, status, attempt FROM (SELECT false AS fresh, task_id, file_id, priority, status, attempt FROM tasks UNION ALL SELECT true, NULL, file_id, 0, 'PENDING', 0 FROM (SELECT DISTINCT file_id FROM tasks WHERE task_id IN (SELECT o_custkey FROM orders) AND file_id NOT IN (SELECT file_id FROM tasks WHERE status IN ('PENDING', 'RUNNING'))))", "tasks")
+def _(t):
+    out = tasks.reindexed(t.tasks, t.raw("orders").select(F.col("o_custkey").alias("task_id")), 999).withColumn("fresh", F.col("updated_at") == 999)
+    known = t.tasks.select(F.col("task_id").alias("known_id"))
+    return out.join(known, out["task_id"] == known["known_id"], "left").select("known_id", "file_id", "priority", "status", "attempt")
+
+
+@query("task_enqueue_anti", "SELECT file_id, 1 AS priority, 'PENDING' AS status FROM files WHERE file_type IN ('doc', 'image') AND status = 'METADATA_ONLY' AND is_deleted = 0 AND file_id NOT IN (SELECT file_id FROM tasks WHERE status IN ('PENDING', 'RUNNING'))", "files", "tasks")
 def _(t):
     return tasks.enqueue(t.tasks, t.files)
 
@@ -437,10 +473,18 @@ def _(t):
     return tasks.recover(t.tasks).select("task_id", "status")
 
 
-@query("task_finish", "SELECT task_id, CASE WHEN task_id % 3 = 0 THEN 'SUCCESS' WHEN task_id % 3 = 1 THEN 'FAILED' ELSE status END AS status, CASE WHEN task_id % 3 = 1 THEN 'broken' END AS last_error FROM tasks", "tasks")
+@query("task_finish", "SELECT task_id, CASE WHEN task_id % 3 = 0 THEN 'SUCCESS' WHEN task_id % 3 = 1 THEN 'FAILED' ELSE status END AS status, CASE WHEN task_id % 3 = 1 THEN 'broken' ELSE last_error END AS last_error, CASE WHEN task_id % 3 < 2 THEN 999 ELSE updated_at END AS updated_at FROM tasks", "tasks")
 def _(t):
-    done = t.tasks.where("task_id % 3 < 2").select("task_id", F.when(F.col("task_id") % 3 == 1, "broken").alias("error"))
-    return tasks.finish(t.tasks, done).select("task_id", "status", "last_error")
+    return tasks.finish(t.tasks, _ends(t), 999).select("task_id", "status", "last_error", "updated_at")
+
+
+def _ends(t):
+    return t.tasks.where("task_id % 3 < 2").select("task_id", F.when(F.col("task_id") % 3 == 1, "broken").alias("error"))
+
+
+@query("task_finish_files", "SELECT f.file_id, coalesce(said, status) AS status FROM files f LEFT JOIN (SELECT file_id, arg_max(CASE WHEN task_id % 3 = 0 THEN 'AI_DONE' ELSE 'FAILED' END, task_id) AS said FROM tasks WHERE task_id % 3 < 2 GROUP BY file_id) t ON f.file_id = t.file_id", "tasks", "files")
+def _(t):
+    return tasks.finish_files(t.files, t.tasks, _ends(t)).select("file_id", "status")
 
 
 @query("job_latest", "SELECT file_id, arg_max(task_id, (updated_at, task_id)) AS task_id, arg_max(status, (updated_at, task_id)) AS status, max(updated_at) AS updated_at FROM tasks GROUP BY file_id", "tasks")
@@ -455,21 +499,22 @@ def _(t):
 
 # ---- snapshots
 
-_SCAN = "scanned AS (SELECT CASE WHEN file_id % 10 = 9 THEN '/new' || path ELSE path END AS path, filename, dir_path, extension, file_type, CASE WHEN file_id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, mtime_ns, ctime_ns FROM files WHERE file_id % 11 <> 0)"
+_SCAN = "scanned AS (SELECT CASE WHEN file_id % 10 = 9 THEN '/new' || path ELSE path END AS path, filename, CASE WHEN file_id % 15 = 0 THEN dir_path || '/x' ELSE dir_path END AS dir_path, extension, file_type, CASE WHEN file_id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, mtime_ns, ctime_ns FROM files WHERE file_id % 11 <> 0)"
 
 
 def _scanned(t):
     rows = t.files.where("file_id % 11 <> 0")
-    return rows.select(F.expr("CASE WHEN file_id % 10 = 9 THEN '/new' || path ELSE path END").alias("path"), "filename", "dir_path", "extension", "file_type", F.expr("CASE WHEN file_id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END").alias("size_bytes"), "mtime_ns", "ctime_ns")
+    return rows.select(F.expr("CASE WHEN file_id % 10 = 9 THEN '/new' || path ELSE path END").alias("path"), "filename", F.expr("CASE WHEN file_id % 15 = 0 THEN dir_path || '/x' ELSE dir_path END").alias("dir_path"), "extension", "file_type", F.expr("CASE WHEN file_id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END").alias("size_bytes"), "mtime_ns", "ctime_ns")
 
 
 @query("upsert_snapshot")
 def _(t):
     out = ingest.upsert(t.files, _scanned(t))
-    return out.select(F.when(F.col("op") == "insert", F.lit(None)).otherwise(F.col("file_id")).alias("known_id"), "path", "size_bytes", "status", "is_deleted", "op")
+    return out.select(F.when(F.col("op") == "insert", F.lit(None)).otherwise(F.col("file_id")).alias("known_id"), "path", "size_bytes", "content_hash", "status", "is_deleted", "op", "index_op")
 
 
-_SQL["upsert_snapshot"] = sql("", "files").rstrip() + f""", {_SCAN} SELECT f.file_id AS known_id, coalesce(f.path, s.path) AS path, coalesce(s.size_bytes, f.size_bytes) AS size_bytes,
+_SQL["upsert_snapshot"] = sql("", "files").rstrip() + f""", {_SCAN} SELECT f.file_id AS known_id, coalesce(f.path, s.path) AS path, coalesce(s.size_bytes, f.size_bytes) AS size_bytes, f.content_hash,
+CASE WHEN f.file_id IS NULL OR (s.path IS NOT NULL AND f.is_deleted = 1) THEN 'insert' WHEN s.path IS NOT NULL AND (s.filename <> f.filename OR s.dir_path <> f.dir_path) THEN 'replace' END AS index_op,
 CASE WHEN f.file_id IS NULL OR (s.path IS NOT NULL AND f.is_deleted = 1) OR (s.path IS NOT NULL AND (s.size_bytes <> f.size_bytes OR s.mtime_ns <> f.mtime_ns) AND f.status = 'AI_DONE') THEN 'METADATA_ONLY' ELSE f.status END AS status,
 CASE WHEN s.path IS NOT NULL THEN 0 ELSE f.is_deleted END AS is_deleted,
 CASE WHEN f.file_id IS NULL THEN 'insert' WHEN s.path IS NOT NULL AND f.is_deleted = 1 THEN 'revive' WHEN s.path IS NOT NULL AND (s.size_bytes <> f.size_bytes OR s.mtime_ns <> f.mtime_ns) THEN 'update' ELSE 'keep' END AS op
@@ -520,30 +565,59 @@ def _(t):
     return t.chunks.groupBy("file_id", "source_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("embedding_status") == 1).cast("long")).alias("done"))
 
 
-@query("ai_completeness", """SELECT f.file_id, file_type, coalesce(n, 0) AS n, coalesce(done, 0)::BIGINT AS done,
-(CASE WHEN file_type = 'doc' THEN coalesce(d, 0) > 0 WHEN file_type = 'image' THEN coalesce(i, 0) > 0 ELSE false END) AND coalesce(n, 0) = coalesce(done, 0) AS ai_complete
-FROM files f LEFT JOIN (SELECT file_id, count(*) AS n, count(*) FILTER (WHERE embedding_status = 1) AS done, count(*) FILTER (WHERE source_type = 'doc_chunk') AS d, count(*) FILTER (WHERE source_type <> 'doc_chunk') AS i FROM chunks GROUP BY file_id) c ON f.file_id = c.file_id""", "files", "chunks")
+_COMPLETE = """complete AS (SELECT f.file_id, file_type, coalesce(n, 0) AS n, coalesce(done, 0)::BIGINT AS done,
+CASE WHEN file_type = 'doc' THEN coalesce(d, 0) > 0 AND d = dd ELSE f.file_id IN (SELECT file_id FROM ocr) AND coalesce(i, 0) > 0 AND i = di END AS ai_complete
+FROM files f LEFT JOIN (SELECT file_id, count(*) AS n, count(*) FILTER (WHERE embedding_status = 1) AS done, count(*) FILTER (WHERE source_type = 'doc_chunk') AS d, count(*) FILTER (WHERE source_type = 'doc_chunk' AND embedding_status = 1) AS dd,
+count(*) FILTER (WHERE source_type <> 'doc_chunk') AS i, count(*) FILTER (WHERE source_type <> 'doc_chunk' AND embedding_status = 1) AS di FROM chunks GROUP BY file_id) c ON f.file_id = c.file_id)"""
+
+
+@query("ai_completeness")
 def _(t):
-    return ingest.completeness(t.files, t.chunks)
+    return ingest.completeness(t.files, t.chunks, t.ocr)
+
+
+_SQL["ai_completeness"] = sql("", "files", "chunks", "ocr").rstrip() + f", {_COMPLETE} SELECT * FROM complete"
+
+#: What is read of the files now: a tenth have changed, another tenth hold what their neighbour holds.
+_FRESH = "fresh AS (SELECT file_id, CASE WHEN file_id % 10 = 9 THEN 'changed' WHEN file_id % 10 = 4 THEN lead_hash ELSE content_hash END AS hash FROM (SELECT *, md5(file_id::VARCHAR) AS own, (SELECT content_hash FROM files y WHERE y.file_id = x.file_id + 8) AS lead_hash FROM files x) WHERE is_deleted = 0 AND file_type IN ('doc', 'image') AND CASE WHEN file_id % 10 = 4 THEN lead_hash ELSE '' END IS NOT NULL)"
+_REUSE = f"""{_COMPLETE}, {_FRESH}, source AS (SELECT r.file_id, min(x.file_id) AS source_id FROM fresh r JOIN files f ON f.file_id = r.file_id JOIN files x ON x.content_hash = r.hash AND x.file_type = f.file_type AND x.file_id <> f.file_id GROUP BY r.file_id),
+reuse AS (SELECT r.file_id, r.hash, CASE WHEN f.content_hash = r.hash AND c.ai_complete THEN 'same_file' WHEN o.ai_complete THEN 'clone' ELSE 'none' END AS verdict, source_id AS src
+FROM fresh r JOIN files f ON f.file_id = r.file_id LEFT JOIN complete c ON c.file_id = r.file_id LEFT JOIN source s ON s.file_id = r.file_id LEFT JOIN complete o ON o.file_id = s.source_id)"""
+
 
+def _fresh(t):
+    files = t.files
+    lead = files.select((F.col("file_id") - 8).alias("file_id"), F.col("content_hash").alias("lead_hash"))
+    hash_ = F.expr("CASE WHEN file_id % 10 = 9 THEN 'changed' WHEN file_id % 10 = 4 THEN lead_hash ELSE content_hash END")
+    return files.where("is_deleted = 0 AND file_type IN ('doc', 'image')").join(lead, "file_id", "left").select("file_id", hash_.alias("hash")).where("hash IS NOT NULL")
 
-_REUSE = "reuse AS (SELECT a.file_id, min(b.file_id) AS source_id FROM files a JOIN files b ON a.content_hash = b.content_hash AND a.file_type = b.file_type AND a.file_id <> b.file_id AND a.is_deleted = 0 AND b.is_deleted = 0 GROUP BY a.file_id)"
+
+def _reuse(t):
+    return ingest.reuse(t.files, _fresh(t), ingest.completeness(t.files, t.chunks, t.ocr))
 
 
 @query("hash_reuse_source")
 def _(t):
-    return ingest.reuse_source(t.files)
+    return _reuse(t)
 
 
-_SQL["hash_reuse_source"] = sql("", "files").rstrip() + f", {_REUSE} SELECT file_id, source_id FROM reuse"
+_SQL["hash_reuse_source"] = sql("", "files", "chunks", "ocr").rstrip() + f", {_REUSE} SELECT file_id, hash, verdict, CASE WHEN verdict = 'clone' THEN src END AS source_id FROM reuse WHERE hash IS NOT NULL"
 
 
 @query("clone_chunks")
 def _(t):
-    return ingest.clone_chunks(t.chunks, ingest.reuse_source(t.files))
+    return ingest.clone_chunks(t.chunks, _reuse(t).where("verdict = 'clone'"))
+
+
+_SQL["clone_chunks"] = sql("", "files", "chunks", "ocr").rstrip() + f", {_REUSE} SELECT r.file_id, src AS source_id, source_type, chunk_index, chunk_text, embedding_status FROM reuse r JOIN chunks c ON c.file_id = r.src WHERE verdict = 'clone'"
+
+
+@query("clone_points")
+def _(t):
+    return ingest.clone_points(t.points, _reuse(t).where("verdict = 'clone'"), t.chunks).select("file_id", "source_type", "chunk_index", "vec_id")
 
 
-_SQL["clone_chunks"] = sql("", "files", "chunks").rstrip() + f", {_REUSE} SELECT r.file_id, source_id, source_type, chunk_index, chunk_text FROM reuse r JOIN chunks c ON c.file_id = r.source_id"
+_SQL["clone_points"] = sql("", "files", "chunks", "ocr", "points").rstrip() + f", {_REUSE} SELECT r.file_id, p.source_type, p.chunk_index, p.vec_id FROM reuse r JOIN points p ON p.file_id = r.src WHERE verdict = 'clone' AND EXISTS (SELECT 1 FROM chunks c WHERE c.file_id = p.file_id AND c.source_type = p.source_type AND c.chunk_index = p.chunk_index AND c.embedding_status = 1)"
 
 
 @query("stale_points", "SELECT vec_id FROM points p WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.file_id = p.file_id AND c.source_type = p.source_type AND c.chunk_index = p.chunk_index)", "points", "chunks")
@@ -586,16 +660,22 @@ def _(t):
     return t.changes.groupBy("path").agg(events.coalesce_kinds(F.collect_set("kind")).alias("action"))
 
 
-@query("event_debounce_session", """, e AS (SELECT ts, path, kind FROM changes WHERE kind <> 'moved'),
-g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) >= 2000000 OR lag(ts) OVER (ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT ts FROM e)),
-s AS (SELECT ts, min(ts) OVER (PARTITION BY grp) AS start FROM (SELECT ts, sum(fresh) OVER (ORDER BY ts) AS grp FROM g)),
-b AS (SELECT start, path, bool_or(kind = 'deleted') AS d, bool_or(kind = 'created') AS c FROM e JOIN s USING (ts) GROUP BY start, path)
-SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS flush_start, path, CASE WHEN d THEN 'delete' ELSE 'change' END AS action FROM b WHERE NOT (d AND c)""", "changes")
+_WINDOWS = """e AS (SELECT event_id, epoch_us(ts) AS us, ts, path, kind, dest FROM changes),
+g AS (SELECT us, CASE WHEN lag(us) OVER (ORDER BY us) IS NULL OR us - lag(us) OVER (ORDER BY us) >= 2000000 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT us FROM e)),
+s AS (SELECT us, min(us) OVER (PARTITION BY grp) AS start FROM (SELECT us, sum(fresh) OVER (ORDER BY us) AS grp FROM g)),
+w AS (SELECT e.*, start FROM e JOIN s ON e.us = s.us),
+named AS (SELECT start, path AS p, us, event_id FROM w WHERE kind = 'moved' UNION ALL SELECT start, dest, us, event_id FROM w WHERE kind = 'moved'),
+pending AS (SELECT * FROM w WHERE kind <> 'moved' AND NOT EXISTS (SELECT 1 FROM named m WHERE m.start = w.start AND m.p = w.path AND (m.us > w.us OR (m.us = w.us AND m.event_id > w.event_id))))"""
+
+
+@query("event_debounce_session")
 def _(t):
-    return events.debounce(t.changes).select(F.date_format("flush_start", "yyyy-MM-dd HH:mm:ss").alias("flush_start"), "path", "action")
+    return events.debounce(t.changes).withColumn("flush_start", F.unix_micros("flush_start"))
 
 
-_SQL["event_debounce_session"] = _SQL["event_debounce_session"].replace(") , e AS", "), e AS")
+_SQL["event_debounce_session"] = sql("", "changes").rstrip() + f""", {_WINDOWS}, b AS (SELECT start, path, bool_or(kind = 'deleted') AS d, bool_or(kind = 'created') AS c FROM pending GROUP BY start, path)
+SELECT start AS flush_start, CASE WHEN d THEN 2 ELSE 1 END AS step, CASE WHEN d THEN 'delete' ELSE 'change' END AS action, path, NULL AS target FROM b WHERE NOT (d AND c)
+UNION ALL SELECT start, 3, 'rename', path, dest FROM w WHERE kind = 'moved'"""
 
 
 @query("event_path_sessions", """, g AS (SELECT path, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY path ORDER BY ts)) >= 600000000 OR lag(ts) OVER (PARTITION BY path ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM changes),
@@ -608,15 +688,18 @@ def _(t):
 _SQL["event_path_sessions"] = _SQL["event_path_sessions"].replace(") , g AS", "), g AS")
 
 
-@query("event_moves", "SELECT event_id, c.path, kind FROM changes c LEFT JOIN (SELECT path, max(ts) AS moved_at FROM (SELECT path, ts FROM changes WHERE kind = 'moved' UNION ALL SELECT dest, ts FROM changes WHERE kind = 'moved') GROUP BY path) m ON c.path = m.path WHERE kind <> 'moved' AND (moved_at IS NULL OR c.ts > moved_at)", "changes")
+@query("event_moves")
 def _(t):
-    return events.forget_moved(t.changes).select("event_id", "path", "kind")
+    return events.forget_moved(events.windows(t.changes)).select("event_id", "path", "kind")
+
+
+_SQL["event_moves"] = sql("", "changes").rstrip() + f", {_WINDOWS} SELECT event_id, path, kind FROM pending"
 
 
-@query("event_root_semi", "SELECT event_id FROM changes WHERE starts_with(path, '/watch/1') AND path = '/watch/1.txt' OR starts_with(path, '/watch/2.txt/')", "changes")
+@query("event_root_semi", "SELECT event_id FROM changes WHERE lower(path) = '/watch/1.txt' OR starts_with(lower(path), '/watch/1.txt/') OR lower(path) = '/watch/2.txt'", "changes")
 def _(t):
-    roots = t.spark.createDataFrame([("/watch/1.txt", True), ("/watch/2.txt/", True), ("/watch", False)], "root string, enabled boolean")
-    return events.covered(t.changes, roots).select("event_id")
+    roots = t.spark.createDataFrame([("/WATCH/1.txt", True), ("/watch/2.TXT/", True), ("/watch", False)], "root string, enabled boolean")
+    return events.covered(t.changes.withColumn("path", F.initcap("path")), roots).select("event_id")
 
 
 @query("usn_reason_decode", "SELECT usn, CASE WHEN reason & 512 <> 0 THEN 'delete' WHEN reason & 4096 <> 0 THEN 'old' WHEN reason & 8192 <> 0 THEN 'new' WHEN reason & 259 <> 0 THEN 'upsert' END AS kind FROM journal", "journal")
@@ -624,14 +707,15 @@ def _(t):
     return t.journal.select("usn", events.reason_class().alias("kind"))
 
 
-_REPLAY = """, c AS (SELECT *, CASE WHEN reason & 512 <> 0 THEN 'delete' WHEN reason & 4096 <> 0 THEN 'old' WHEN reason & 8192 <> 0 THEN 'new' ELSE 'upsert' END AS k FROM journal WHERE usn > {0}),
+_REPLAY = """, c AS (SELECT *, CASE WHEN reason & 512 <> 0 THEN 'delete' WHEN reason & 4096 <> 0 THEN 'old' WHEN reason & 8192 <> 0 THEN 'new' ELSE 'upsert' END AS k FROM journal WHERE usn > {0} AND path IS NOT NULL),
+lost AS (SELECT file_ref FROM journal WHERE usn > {0} AND path IS NULL AND reason & 8192 <> 0),
 l AS (SELECT file_ref, max(CASE WHEN k = 'delete' THEN p END) AS d, max(CASE WHEN k = 'old' THEN p END) AS o, max(CASE WHEN k = 'new' THEN p END) AS n, max(CASE WHEN k = 'upsert' THEN p END) AS u
 FROM (SELECT file_ref, k, arg_max(path, usn) AS p FROM c GROUP BY file_ref, k) GROUP BY file_ref)
 SELECT file_ref, 1 AS step, 'delete' AS action, d AS path, NULL AS target FROM l WHERE d IS NOT NULL AND (o IS NULL OR n IS NULL)
 UNION ALL SELECT file_ref, 2, 'rename', o, n FROM l WHERE o <> n
+UNION ALL SELECT file_ref, 2, CASE WHEN file_ref IN (SELECT file_ref FROM lost) THEN 'defer' ELSE 'delete' END, o, NULL FROM l WHERE o IS NOT NULL AND n IS NULL
 UNION ALL SELECT file_ref, 3, 'upsert', u, NULL FROM l WHERE u IS NOT NULL AND (o IS NULL OR n IS NULL)
-UNION ALL SELECT file_ref, 1, 'delete', o, NULL FROM l WHERE o IS NOT NULL AND n IS NULL
-UNION ALL SELECT file_ref, 4, 'defer', n, NULL FROM l WHERE n IS NOT NULL AND o IS NULL"""
+UNION ALL SELECT file_ref, 4, 'upsert', n, NULL FROM l WHERE n IS NOT NULL AND o IS NULL"""
 for _name, _cursor in (("journal_replay", 0), ("journal_replay_cursor", 800)):
 
     @query(_name)
@@ -641,9 +725,9 @@ for _name, _cursor in (("journal_replay", 0), ("journal_replay_cursor", 800)):
     _SQL[_name] = sql("", "journal").rstrip() + _REPLAY.format(_cursor)
 
 
-@query("rename_pairing", "SELECT coalesce(o.file_ref, n.file_ref) AS file_ref, o.path AS old_path, n.path AS new_path FROM (SELECT file_ref, arg_max(path, usn) AS path FROM journal WHERE reason = 4096 GROUP BY 1) o FULL JOIN (SELECT file_ref, arg_max(path, usn) AS path FROM journal WHERE reason = 8192 GROUP BY 1) n ON o.file_ref = n.file_ref", "journal")
+@query("rename_pairing", "SELECT coalesce(o.file_ref, n.file_ref) AS file_ref, o.path AS old_path, n.path AS new_path FROM (SELECT file_ref, arg_max(path, usn) AS path FROM journal WHERE reason = 4096 AND path IS NOT NULL GROUP BY 1) o FULL JOIN (SELECT file_ref, arg_max(path, usn) AS path FROM journal WHERE reason = 8192 AND path IS NOT NULL GROUP BY 1) n ON o.file_ref = n.file_ref", "journal")
 def _(t):
-    last = lambda bit, name: t.journal.where(F.col("reason") == bit).groupBy("file_ref").agg(F.max_by("path", "usn").alias(name))
+    last = lambda bit, name: t.journal.where((F.col("reason") == bit) & F.col("path").isNotNull()).groupBy("file_ref").agg(F.max_by("path", "usn").alias(name))
     return last(events.OLD_NAME, "old_path").join(last(events.NEW_NAME, "new_path"), "file_ref", "full")
 
 

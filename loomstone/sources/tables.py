@@ -24,6 +24,13 @@ EXIF = """
 doc_id AS file_id
 1704067200 + doc_id * 3600 + 43200 AS taken_epoch
 """
+OCR = """
+doc_id AS file_id
+substr(text, 1, 200) AS text
+'zh+en' AS lang
+doc_id % 100 / 100.0D AS confidence
+"""
+OCR_WHERE = " WHERE doc_id % 8 IN (0, 1) AND doc_id % 16 <> 1"
 POINTS = """
 vec_id * 7 % 1100 AS file_id
 CASE vec_id * 7 % 1100 % 5 WHEN 0 THEN 'ocr' WHEN 1 THEN 'image_caption' ELSE 'doc_chunk' END AS source_type
@@ -40,6 +47,7 @@ CASE WHEN o_orderstatus = 'O' THEN 'PENDING' WHEN o_orderstatus = 'F' THEN 'FAIL
 CAST(o_orderkey % 4 AS int) AS attempt
 3 AS max_attempts
 o_custkey AS updated_at
+CASE WHEN o_orderkey % 7 = 0 THEN 'earlier' END AS last_error
 """
 EVENTS = """
 event_id
@@ -52,7 +60,7 @@ CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'modified' WHEN 's
 JOURNAL = """
 event_id AS usn
 user_id AS file_ref
-'/' || 'watch/' || user_id || '-' || event_id % 50 AS path
+CASE WHEN event_id % 13 IN (5, 6) THEN NULL ELSE '/' || 'watch/' || user_id || '-' || event_id % 50 END AS path
 CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 256 WHEN 'signup' THEN 4096 WHEN 'purchase' THEN 8192 ELSE 512 END AS reason
 """
 
@@ -67,8 +75,9 @@ CTE = {
     "exif": _sql(EXIF, "documents", " WHERE doc_id % 3 = 0"),
     "chunks": """SELECT doc_id * 100000 + (i - 1) AS chunk_id, doc_id AS file_id,
   CASE doc_id % 5 WHEN 0 THEN 'ocr' WHEN 1 THEN 'image_caption' ELSE 'doc_chunk' END AS source_type,
-  CAST(i - 1 AS INT) AS chunk_index, l[i] AS chunk_text, CAST((doc_id + i) % 3 AS INT) AS embedding_status
+  CAST(i - 1 AS INT) AS chunk_index, l[i] AS chunk_text, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE CAST((doc_id + i) % 3 AS INT) END AS embedding_status
   FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE l[i] <> ''""",
+    "ocr": _sql(OCR, "documents", OCR_WHERE).replace("100.0D", "100.0::DOUBLE"),
     "points": _sql(POINTS, "embeddings"),
     "tasks": _sql(TASKS, "orders"),
     "changes": _sql(EVENTS, "events"),
@@ -104,9 +113,13 @@ class Tables:
     def chunks(self) -> DataFrame:
         lines = self.raw("documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n", -1)).alias("i", "chunk_text")).where("chunk_text <> ''")
         return lines.selectExpr(
-            "file_id * 100000 + i AS chunk_id", "file_id", "CASE file_id % 5 WHEN 0 THEN 'ocr' WHEN 1 THEN 'image_caption' ELSE 'doc_chunk' END AS source_type", "i AS chunk_index", "chunk_text", "CAST((file_id + i + 1) % 3 AS int) AS embedding_status"
+            "file_id * 100000 + i AS chunk_id", "file_id", "CASE file_id % 5 WHEN 0 THEN 'ocr' WHEN 1 THEN 'image_caption' ELSE 'doc_chunk' END AS source_type", "i AS chunk_index", "chunk_text", "CASE WHEN file_id % 3 = 0 THEN 1 ELSE CAST((file_id + i + 1) % 3 AS int) END AS embedding_status"
         )
 
+    @property
+    def ocr(self) -> DataFrame:
+        return self.raw("documents").where(OCR_WHERE.removeprefix(" WHERE ")).selectExpr(*OCR.strip().splitlines())
+
     @property
     def points(self) -> DataFrame:
         return self._of("embeddings", POINTS)
