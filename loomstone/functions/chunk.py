@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +17,17 @@ from .segment import DEFAULT, Segmenter
 
 MAX_TOKENS, OVERLAP = 256, 32
 WORD, OTHER = re.compile(r"[A-Za-z0-9_]+"), re.compile(r"[^A-Za-z0-9_\s]")
+PARAGRAPH = re.compile(r"\n\s*\n")
 SENTENCE_END = re.compile(r"(?<=[。！？!?.\n])")
+_IN_WORD = re.compile(r"[A-Za-z0-9_]{2}")
+
+
+class Piece(NamedTuple):
+    """A text with its size. whole: a chunk by itself, never put together with others."""
+
+    text: str
+    size: int
+    whole: bool = False
 
 
 def size(text: str) -> int:
@@ -21,33 +35,55 @@ def size(text: str) -> int:
     return len(WORD.findall(text)) + len(OTHER.findall(text))
 
 
-def by_window(text: str, window: int, overlap: int) -> Iterator[str]:
-    """Pieces of at most window characters that overlap, cut at a blank in the second half if there is one."""
-    at = 0
-    while len(text) - at > window:
-        blank = text.rfind(" ", at + window // 2, at + window)
-        end = at + window if blank < 0 else blank
-        yield text[at:end]
-        at = max(end - overlap, at + 1) if end - overlap > at else end
-    yield text[at:]
+def windows(text: str, width: int, overlap: int) -> list[str]:
+    """Spans of at most width characters that overlap, each but the last cut at its last blank, if its second half has one."""
+    blanks, spans, at = [m.start() for m in re.finditer(" ", text)], [], 0
+    while at + width < len(text):
+        k = bisect_left(blanks, at + width) - 1
+        end = blanks[k] if k >= 0 and blanks[k] >= at + width // 2 else at + width
+        spans.append(slice(at, end))
+        at = max(end - overlap, at) if end - overlap > at else end
+    return [text[s] for s in (*spans, slice(at, None)) if at < len(text) or s.stop is not None]
+
+
+def measured(text: str, limit: int, overlap: int) -> Iterator[Piece]:
+    """Paragraphs that fit, sentences of those that don't, windows of sentences that don't either; each measured once."""
+    for paragraph in filter(None, map(str.strip, PARAGRAPH.split(text))):
+        n = size(paragraph)
+        if n <= limit:
+            yield Piece(paragraph, n, True)
+            continue
+        for sentence in filter(None, map(str.strip, SENTENCE_END.split(paragraph))):
+            n = size(sentence)
+            yield from [Piece(sentence, n)] if n <= limit else [Piece(w, limit, True) for w in windows(sentence, limit, overlap)]
+        # Sentences of two paragraphs are never put together.
+        yield Piece("", 0, True)
+
+
+def added(held: Piece, more: Piece) -> Piece:
+    """Two texts with nothing between: a word at the seam counts once."""
+    seam = bool(_IN_WORD.fullmatch(held.text[-1:] + more.text[:1]))
+    return Piece(held.text + more.text, held.size + more.size - seam)
+
+
+def put_together(pieces: Iterator[Piece], limit: int, overlap: int) -> list[Piece]:
+    """As few runs of the pieces as fit, each after the first beginning with the end of the one before."""
+
+    def step(done: list[Piece], more: Piece) -> list[Piece]:
+        both = added(done[-1], more)
+        if not done[-1].text or both.size <= limit:
+            return [*done[:-1], both]
+        tail = done[-1].text[-overlap:]
+        return [*done, added(Piece(tail, size(tail)), more)]
+
+    return reduce(step, pieces, [Piece("", 0)])
 
 
 def chunks(text: str | None, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[str]:
-    out: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", (text or "").strip()):
-        held = ""
-        sentences = [paragraph.strip()] if size(paragraph) <= limit else [s.strip() for s in SENTENCE_END.split(paragraph)]
-        for s in filter(None, sentences):
-            if size(s) > limit:
-                out += [held, *by_window(s, limit, overlap)]
-                held = ""
-            elif held and size(held + s) > limit:
-                out.append(held)
-                held = held[-overlap:] + s
-            else:
-                held += s
-        out.append(held)
-    return [c.strip() for c in out if c.strip()]
+    out: list[Piece] = []
+    for whole, run in groupby(measured((text or "").strip(), limit, overlap), key=lambda p: p.whole):
+        out += run if whole else put_together(run, limit, overlap)
+    return [c for c in (p.text.strip() for p in out) if c]
 
 
 def chunk_udf(limit: int = MAX_TOKENS, overlap: int = OVERLAP):

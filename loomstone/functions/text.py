@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .segment import BREAKS, CLASSES, RESERVED
+
 # Letters with marks, and without.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -21,8 +23,9 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def split_terms(text: Column) -> Column:
-    """Blanks at the edges of camel case and between letters and digits."""
-    return F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", " ")
+    """Blanks where a term's parts meet: at the edges of camel case and between letters and digits."""
+    between = "|".join(f"(?<=[{CLASSES[a]}])(?=[{CLASSES[b]}])" for a, b in BREAKS)
+    return F.regexp_replace(text, between, " ")
 
 
 def paragraphs(text: Column) -> Column:
@@ -39,7 +42,7 @@ def snippet(text: Column, size: int = 80) -> Column:
 
 def clean_query(text: Column) -> Column:
     """Characters that a match expression reserves become blanks."""
-    return F.regexp_replace(text, r"""["'(){}\[\]*:^+\-~]""", " ")
+    return F.translate(text, RESERVED, " " * len(RESERVED))
 
 
 def local_iso(epoch: Column) -> Column:

@@ -1,11 +1,14 @@
 """BM25 keyword search over one or more text columns of a table.
 
-A term is a word, a prefix or a phrase; its count in a row is over all columns, the row's length too. Two
-ways give the same scores: `scan` counts terms row by row inside one pass (no shuffle: a sum of a few
-numbers for the statistics, a top-k for the result), `Index` keeps postings by term, for many queries."""
+A term is a word, a prefix or a phrase; its count in a row is over all columns, the row's length too. A column
+listed more than once counts as often, and is cut into words once. Two ways give the same scores: `scan` counts
+terms row by row inside one pass (no shuffle: a sum of a few numbers for the statistics, a top-k for the
+result), `Index` keeps postings in files that are sorted by term, so a query reads the parts with its terms."""
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import shared_path
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -62,11 +66,10 @@ def part(f: Column, length: Column, average: Column) -> Column:
 
 def scan(df: DataFrame, columns: list[str], query: Query, k: int | None = 200, key: str = "file_id") -> DataFrame:
     """df's matching rows with score, negative and smaller where better; the k best by (score, key)."""
-    toks = df
-    for i, c in enumerate(columns):
-        toks = toks.withColumn(f"_t{i}", tokens(F.col(c)))
-    own = range(len(columns))
-    counted = toks.select("*", sum((F.size(f"_t{i}") for i in own), F.lit(0)).alias("_len"), *[sum((count_in(F.col(f"_t{i}"), t) for i in own), F.lit(0)).alias(f"_f{j}") for j, t in enumerate(query.terms)])
+    own = Counter(columns)
+    toks = df.select("*", *[tokens(F.col(c)).alias(f"_t{i}") for i, c in enumerate(own)])
+    total = lambda of: sum((n * of(F.col(f"_t{i}")) for i, n in enumerate(own.values())), F.lit(0))
+    counted = toks.select("*", total(F.size).alias("_len"), *[total(lambda c, t=t: count_in(c, t)).alias(f"_f{j}") for j, t in enumerate(query.terms)])
     fs = [F.col(f"_f{j}") for j in range(len(query.terms))]
     # One row of a few numbers, so it can go to every task.
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((f > 0).cast("int")).alias(f"_d{j}") for j, f in enumerate(fs)])
@@ -77,30 +80,139 @@ def scan(df: DataFrame, columns: list[str], query: Query, k: int | None = 200, k
 
 
 class Index:
-    """Postings (term, key, tf) and lengths (key, len), derived from text columns and rebuilt from them."""
-
-    def __init__(self, df: DataFrame, columns: list[str], key: str) -> None:
-        self.key = key
-        toks = df.select(key, F.concat(*[tokens(F.col(c)) for c in columns]).alias("toks"))
-        self.lengths = toks.select(key, F.size("toks").alias("len"))
-        self.postings = toks.select(key, F.explode("toks").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+    """Postings (term, key, tf, at) and lengths (key, len) in a folder: tf over all columns, at the word's places,
+    of which each column has a range of its own.
+
+    Files are ranges of terms, and sorted by term within: a filter on term or on its beginning is pushed into the
+    scan, whose statistics leave out all files and row groups without it. Statistics (rows, average length) are
+    in a small file beside. `update` writes the next version and then moves the pointer to it, so readers see one
+    or the other; it takes ids out and puts rows in, and doesn't cut other rows into words again."""
+
+    #: Between the places of one column and of the next.
+    GAP = 1 << 24
+    #: Bytes of a file of postings, about, and what a posting takes.
+    FILE_BYTES, POSTING_BYTES = 128 << 20, 24
+
+    def __init__(self, spark, folder: str, columns: list[str], key: str, extra: tuple[str, ...] = ()) -> None:
+        """extra: further columns of the indexed rows that results carry."""
+        self.spark, self.folder, self.columns, self.key, self.extra = spark, folder.rstrip("/"), columns, key, tuple(extra)
+
+    # ---- versions
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def version(self) -> int:
+        """Of the versions whose statistics are written, the last; 0 if there is none."""
+        fs, root = self._fs(), self._path("")
+        if not fs.exists(root):
+            return 0
+        found = [f.getPath().getName() for f in fs.listStatus(root)]
+        return max((int(x.removeprefix("stats-")) for x in found if x.startswith("stats-") and fs.exists(self._path(f"{x}/_SUCCESS"))), default=0)
+
+    def _write(self, postings: DataFrame, lengths: DataFrame) -> None:
+        v = self.version() + 1
+        lengths.write.mode("overwrite").parquet(f"{self.folder}/lengths-{v}")
+        lengths = self.spark.read.parquet(f"{self.folder}/lengths-{v}")
+        n, average, total = lengths.agg(F.count(F.lit(1)), F.avg("len"), F.coalesce(F.sum("len"), F.lit(0))).head()
+        files = max(1, int(total * self.POSTING_BYTES / self.FILE_BYTES), min(8, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        postings.repartitionByRange(files, "term", self.key).sortWithinPartitions("term", self.key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/postings-{v}")
+        # Last, as it makes the version the one to read.
+        self.spark.createDataFrame([(n, average)], "n bigint, average double").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats-{v}")
+        for old in ("stats", "postings", "lengths"):
+            self._fs().delete(self._path(f"{old}-{v - 2}"), True)
+
+    # ---- writing
+
+    def _cut(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = Counter(self.columns)
+        toks = df.select(self.key, *self.extra, *[tokens(F.col(c)).alias(f"_t{i}") for i, c in enumerate(own)])
+        length = sum((n * F.size(f"_t{i}") for i, n in enumerate(own.values())), F.lit(0))
+        lengths = toks.select(self.key, *self.extra, length.alias("len"))
+        place = lambda i, n: lambda w, p: F.struct(w.alias("term"), (p + i * self.GAP).alias("p"), F.lit(n).alias("n"))
+        each = [F.transform(F.col(f"_t{i}"), place(i, n)) for i, n in enumerate(own.values())]
+        words = toks.select(self.key, F.explode(F.concat(*each)).alias("w")).select(self.key, "w.*")
+        postings = words.groupBy("term", self.key).agg(F.sum("n").cast("int").alias("tf"), F.array_sort(F.collect_list("p")).alias("at"))
+        return postings, lengths
+
+    def build(self, df: DataFrame) -> Index:
+        """All anew."""
+        self._write(*self._cut(df))
+        return self
+
+    def update(self, gone: DataFrame | None = None, fresh: DataFrame | None = None) -> Index:
+        """Rows of gone (key) are taken out, those of fresh put in, in place of any with their key."""
+        postings, lengths = self.postings, self.lengths
+        out = [x.select(self.key) for x in (gone, fresh) if x is not None]
+        if out:
+            ids = reduce(DataFrame.unionByName, out).distinct()
+            postings, lengths = (x.join(ids, self.key, "left_anti") for x in (postings, lengths))
+        if fresh is not None:
+            new_postings, new_lengths = self._cut(fresh)
+            postings, lengths = postings.unionByName(new_postings), lengths.unionByName(new_lengths)
+        self._write(postings, lengths)
+        return self
+
+    # ---- reading
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/postings-{self.version()}")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/lengths-{self.version()}")
 
     def statistics(self) -> DataFrame:
         """term, df: rows that hold it, and tf in all."""
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
-    def search(self, query: Query, k: int = 200) -> DataFrame:
-        """Single words and prefixes; the filter on term is pushed into the postings' scan."""
-        stats = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"))
-        term = F.col("term")
-        found = None
-        for j, t in enumerate(query.terms):
-            own = self.postings.where(term.startswith(t.words[0]) if t.prefix else term == t.words[0])
-            own = own.groupBy(self.key).agg(F.sum("tf").alias("f")).withColumn("j", F.lit(j))
-            found = own if found is None else found.unionByName(own)
+    def _hits(self, term: Term) -> DataFrame:
+        """key and f, how often a row holds the term."""
+        at = F.col("term")
+        of = lambda w: self.postings.where(at == w)
+        if len(term.words) == 1:
+            word = term.words[0]
+            own = self.postings.where(at.startswith(word)) if term.prefix else of(word)
+            return own.groupBy(self.key).agg(F.sum("tf").alias("f"))
+        # Places at which all words of the phrase stand one after the other, once for each listing of the column.
+        moved = lambda i: lambda p: p - i
+        starts = reduce(lambda a, b: a.join(b, self.key), [of(w).select(self.key, F.transform("at", moved(i)).alias(f"_p{i}")) for i, w in enumerate(term.words)])
+        both = reduce(F.array_intersect, [F.col(f"_p{i}") for i in range(len(term.words))])
+        times = F.create_map(*[x for i, n in enumerate(Counter(self.columns).values()) for x in (F.lit(i), F.lit(n))])
+        f = F.aggregate(both, F.lit(0), lambda s, p: s + times[F.floor(p / self.GAP).cast("int")])
+        return starts.select(self.key, f.alias("f")).where("f > 0")
+
+    def search(self, query: Query, k: int | None = 200) -> DataFrame:
+        """Matching rows (key, extra, score), as `scan` gives them."""
+        n, average = self.spark.read.parquet(f"{self.folder}/stats-{self.version()}").head()
+        found = reduce(DataFrame.unionByName, [self._hits(t).withColumn("j", F.lit(j)) for j, t in enumerate(query.terms)])
         df = found.groupBy("j").agg(F.count(F.lit(1)).alias("df"))  # a row a term
-        scored = found.join(F.broadcast(df), "j").join(self.lengths, self.key).crossJoin(F.broadcast(stats))
-        scored = scored.groupBy(self.key).agg((-F.sum(idf(F.col("n"), F.col("df")) * part(F.col("f"), F.col("len"), F.col("average")))).alias("score"), F.count(F.lit(1)).alias("terms"))
+        scored = found.join(F.broadcast(df), "j").join(self.lengths, self.key)
+        value = idf(F.lit(n), F.col("df")) * part(F.col("f"), F.col("len"), F.lit(average))
+        scored = scored.groupBy(self.key, *self.extra).agg((-F.sum(value)).alias("score"), F.count(F.lit(1)).alias("terms"))
         if query.every:
             scored = scored.where(F.col("terms") == len(query.terms))
-        return scored.select(self.key, "score").orderBy("score", self.key).limit(k)
+        out = scored.select(self.key, *self.extra, "score")
+        return out.orderBy("score", self.key).limit(k) if k else out
+
+    def integrity(self, df: DataFrame) -> DataFrame:
+        """Keys in the index or in df only, and in which; no rows if all is well."""
+        a, b = self.lengths.select(self.key, F.lit(1).alias("p")), df.select(self.key).withColumn("f", F.lit(1))
+        return a.join(b, self.key, "full").where("p IS NULL OR f IS NULL").select(self.key, F.when(F.col("p").isNull(), "no postings").otherwise("no row").alias("problem"))
+
+
+_OPEN: dict[tuple[str, str], Index] = {}
+
+
+def standing(name: str, source: str, df: DataFrame, columns: list[str], key: str, extra: tuple[str, ...] = ()) -> Index:
+    """The index of a table, built in the shared folder when first asked for in an application."""
+    spark = df.sparkSession
+    at = (spark.sparkContext.applicationId, f"{source}:{name}")
+    if at not in _OPEN:
+        _OPEN[at] = Index(spark, shared_path(spark, f"index-{name}"), columns, key, extra).build(df)
+    return _OPEN[at]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,17 +32,24 @@ def merge_keyword(names: DataFrame, bodies: DataFrame, mode: str = "reference",
     return ranked(merged.orderBy(F.desc("score"), "file_id").limit(k))
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """A channel's rows, TOP at most (or k), computed once and kept by the driver: they are used several times."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def ranked(df: DataFrame) -> DataFrame:
     """rank by (score descending, id), of rows that are few already."""
     return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "file_id")))
 
 
-def by_form(hits: list[DataFrame], least: int = 3) -> DataFrame:
-    """The first form with enough hits, else the last. Each hit list is a top-k, so counting is cheap."""
-    for h in hits[:-1]:
-        if len(h.select("file_id").distinct().limit(least).take(least)) >= least:
-            return h
-    return hits[-1]
+def by_form(hits: Iterable[DataFrame], least: int = 3) -> DataFrame:
+    """The first form with enough hits, else the last. Each hit list is a top-k, so it is held once it is looked
+    at; later forms aren't made if an earlier one is enough."""
+    for h in hits:
+        own = held(h)
+        if len({r["file_id"] for r in own.select("file_id").collect()}) >= least:
+            break
+    return own
 
 
 def nearest(points: DataFrame, vector: list[float], k: int = TOP) -> DataFrame:

@@ -20,6 +20,10 @@ from ..operators import bm25, search
 from ..operators.filters import UnifiedFilter, canonical, metadata_only, with_exif
 
 
+#: Fixed value: what is put before a query for the embedding model.
+INSTRUCTION = "为这个句子生成表示以用于检索相关文章："
+
+
 class ChannelError(RuntimeError):
     """KEYWORD_CHANNEL_FAILED, SEMANTIC_CHANNEL_FAILED or BOTH_CHANNELS_FAILED."""
 
@@ -39,7 +43,10 @@ def unified(p: Parsed) -> UnifiedFilter:
 
 @dataclass
 class Engine:
-    """files, exif, chunks and points are tables; embed gives a query's vector (None: no semantic channel)."""
+    """files, exif, chunks and points are tables; embed gives a query's vector (None: no semantic channel).
+
+    Queries are embedded with INSTRUCTION before them, as retrieval models want it; texts aren't. names and bodies:
+    standing indexes of file names and of chunks, by which keywords are looked up; without, texts are scanned."""
 
     files: DataFrame
     exif: DataFrame
@@ -51,24 +58,37 @@ class Engine:
     keyword_seconds: float = 60.0
     semantic_seconds: float = 60.0
     prefilter: bool = False
+    names: bm25.Index | None = None
+    bodies: bm25.Index | None = None
+    instruction: str = INSTRUCTION
 
     def keyword(self, text: str, f: UnifiedFilter) -> DataFrame | None:
         """The first form with three files or more, of names and bodies; files that don't pass go after the
-        top hits are taken (prefilter: before)."""
-        passing = with_exif(self.files, self.exif).where(canonical(f))
+        top hits are taken (prefilter: before, which needs a scan)."""
+        passing = with_exif(self.files, self.exif).where(canonical(f)).select("file_id")
         names = self.files.select("file_id", "filename", F.regexp_replace("dir_path", "/", " ").alias("dirs"))
         bodies = self.chunks.where(F.col("source_type").isin(*search.BODY_TYPES))
         if self.prefilter:
-            names, bodies = (x.join(passing.select("file_id"), "file_id", "left_semi") for x in (names, bodies))
-        hits = []
-        for query in bm25.forms(query_words(text, self.segmenter)):
-            a = bm25.scan(names, ["filename", "filename", "dirs"], query).join(passing.select("file_id"), "file_id", "left_semi")
-            b = bm25.scan(bodies, ["chunk_text", "chunk_text"], query, key="chunk_id").join(passing.select("file_id"), "file_id", "left_semi")
-            hits.append(search.merge_keyword(a, b, self.mode))
-        return search.by_form(hits) if hits else None
+            names, bodies = (x.join(passing, "file_id", "left_semi") for x in (names, bodies))
+
+        def hits(query: bm25.Query) -> DataFrame:
+            by_index = not self.prefilter
+            a = self.names.search(query) if by_index and self.names else bm25.scan(names, ["filename", "filename", "dirs"], query)
+            b = self.bodies.search(query) if by_index and self.bodies else bm25.scan(bodies, ["chunk_text", "chunk_text"], query, key="chunk_id")
+            return search.merge_keyword(*(x.join(passing, "file_id", "left_semi") for x in (a, b)), self.mode)
+
+        forms = bm25.forms(query_words(text, self.segmenter))
+        return search.by_form(hits(q) for q in forms) if forms else None
 
     def semantic(self, text: str, f: UnifiedFilter, k: int) -> DataFrame:
-        return search.semantic(self.points, self.chunks, self.files, self.exif, self.embed(text), f, max(k, search.TOP))
+        return search.semantic(self.points, self.chunks, self.files, self.exif, self.embed(self.instruction + text), f, max(k, search.TOP))
+
+    def semantic_only(self, text: str, k: int = 50) -> DataFrame:
+        """The semantic channel by itself, of the text as it is: nothing in it is read as a filter."""
+        if self.embed is None:
+            raise ChannelError("SEMANTIC_CHANNEL_FAILED")
+        own = search.semantic(self.points, self.chunks, self.files, self.exif, self.embed(self.instruction + text), UnifiedFilter(), k)
+        return own.withColumnRenamed("score", "semantic_score").join(self.files, "file_id").orderBy("rank")
 
     def _run(self, spark: SparkSession, tag: str, make: Callable[[], DataFrame | None]) -> DataFrame | None:
         """The channel's rows: 200 at most, so they are held by the driver between the channels and their fusion."""

@@ -12,7 +12,7 @@ from ..functions import files as ff
 from ..functions import text as ft
 from ..operators import bm25, events, ingest, search, tasks
 from ..operators.filters import UnifiedFilter, apply, metadata_only, with_exif
-from ..session import ship
+from ..session import shared_path, ship
 from ..sources.tables import Tables, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,11 +228,19 @@ def _names(t):
 NAME = ["filename", "filename", "dir_path"]
 
 
+def _body_index(t):
+    return bm25.standing("bodies", t.dir, _bodies(t), BODY, "chunk_id", ("file_id", "source_type"))
+
+
+def _name_index(t):
+    return bm25.standing("names", t.dir, _names(t), NAME, "file_id")
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _scan_query(name: str, terms, every: bool, where: str):
+def _scan_query(name: str, terms, every: bool, where: str, scan: bool = False):
     body = where == "body"
     inner = _bm25(terms, _BODY if body else _NAME, "chunk_id" if body else "file_id", every, _FIELDS if body else "file_id")
     fields = _FIELDS if body else "file_id"
@@ -240,7 +248,10 @@ def _scan_query(name: str, terms, every: bool, where: str):
     @query(name, f"SELECT {fields}, round(score, 6) AS score FROM ({inner})", *(["chunks"] if body else ["files"]))
     def _(t):
         q = bm25.Query(tuple(bm25.Term((w,), p) for w, p in terms), every)
-        out = bm25.scan(_bodies(t), BODY, q, key="chunk_id") if body else bm25.scan(_names(t), NAME, q)
+        if scan:
+            out = bm25.scan(_bodies(t), BODY, q, key="chunk_id") if body else bm25.scan(_names(t), NAME, q)
+        else:
+            out = (_body_index(t) if body else _name_index(t)).search(q)
         return _rounded(out.select(*[c.strip() for c in fields.split(",")], "score"), "score")
 
 
@@ -249,6 +260,9 @@ _scan_query("bm25_body_and", [("that", True), ("erth", True)], True, "body")
 _scan_query("bm25_body_prefix", [("thes", True)], True, "body")
 _scan_query("bm25_body_word", [("with", False)], True, "body")
 _scan_query("bm25_filename", [("pdf", True), ("en", True)], True, "names")
+# The same without an index, in one pass over the texts.
+_scan_query("bm25_body_scan", [("that", True), ("erth", True)], True, "body", scan=True)
+_scan_query("bm25_filename_scan", [("pdf", True), ("en", True)], False, "names", scan=True)
 
 
 @query("bm25_phrase", f"""SELECT chunk_id, file_id, round(-(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / average))), 6) AS score FROM
@@ -257,18 +271,26 @@ _scan_query("bm25_filename", [("pdf", True), ("en", True)], True, "names")
 WHERE f > 0 ORDER BY -(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / average))), chunk_id LIMIT 200""", "chunks")
 def _(t):
     q = bm25.Query((bm25.Term(("of", "the")),))
-    return _rounded(bm25.scan(_bodies(t), BODY, q, key="chunk_id").select("chunk_id", "file_id", "score"), "score")
+    return _rounded(_body_index(t).search(q).select("chunk_id", "file_id", "score"), "score")
 
 
 @query("bm25_df_stats", f"SELECT term, count(DISTINCT chunk_id) AS df, 2 * count(*) AS cf FROM (SELECT chunk_id, unnest(toks) AS term FROM ({_BODY})) GROUP BY term", "chunks")
 def _(t):
-    return bm25.Index(_bodies(t), BODY, "chunk_id").statistics()
+    return _body_index(t).statistics()
+
+
+@query("bm25_index_update", "SELECT chunk_id, round(score, 6) AS score FROM (" + _bm25([("that", True), ("erth", True)], f"SELECT chunk_id, CASE WHEN file_id % 5 = 0 THEN ['that', 'that', 'erth'] ELSE toks END AS toks, m, CASE WHEN file_id % 5 = 0 THEN 6.0 ELSE dl END AS dl FROM ({_BODY}) WHERE file_id % 7 <> 0", "chunk_id", True, "chunk_id") + ")", "chunks")
+def _(t):
+    """An index from which some rows are taken, and others put in anew."""
+    bodies = _bodies(t)
+    index = bm25.Index(t.spark, shared_path(t.spark, "index-update"), BODY, "chunk_id").build(bodies)
+    index.update(gone=bodies.where("file_id % 7 = 0"), fresh=bodies.where("file_id % 5 = 0 AND file_id % 7 <> 0").withColumn("chunk_text", F.lit("That, that erth")))
+    return _rounded(index.search(bm25.forms(["that", "erth"])[1]), "score")
 
 
-@query("bm25_index_search", "SELECT chunk_id, round(score, 6) AS score FROM (" + _bm25([("that", True), ("erth", True)], _BODY, "chunk_id", True, "chunk_id") + ")", "chunks")
+@query("bm25_index_integrity", "SELECT chunk_id, 'no row' AS problem FROM chunks WHERE source_type IN ('doc_chunk', 'ocr') AND file_id % 50 = 0", "chunks")
 def _(t):
-    q = bm25.forms(["that", "erth"])[1]
-    return _rounded(bm25.Index(_bodies(t), BODY, "chunk_id").search(q), "score")
+    return _body_index(t).integrity(_bodies(t).where("file_id % 50 <> 0"))
 
 
 _KW_TERMS = [("en", True), ("thes", True)]
@@ -284,7 +306,7 @@ def _kw_sql(mode: str) -> str:
 
 def _keyword(t, mode: str) -> DataFrame:
     q = bm25.Query(tuple(bm25.Term((w,), p) for w, p in _KW_TERMS), False)
-    return search.merge_keyword(bm25.scan(_names(t), NAME, q), bm25.scan(_bodies(t), BODY, q, key="chunk_id"), mode)
+    return search.merge_keyword(_name_index(t).search(q), _body_index(t).search(q), mode)
 
 
 for _mode in ("reference", "relevance"):
@@ -298,7 +320,7 @@ for _mode in ("reference", "relevance"):
 
 @query("kw_form_fallback", "SELECT chunk_id, file_id, round(score, 6) AS score FROM (" + _bm25([("that", True), ("zzzz", True)], _BODY, "chunk_id", False, _FIELDS) + ")", "chunks")
 def _(t):
-    hits = [bm25.scan(_bodies(t), BODY, q, key="chunk_id") for q in bm25.forms(["that", "zzzz"])]
+    hits = (_body_index(t).search(q) for q in bm25.forms(["that", "zzzz"]))
     return _rounded(search.by_form(hits).select("chunk_id", "file_id", "score"), "score")
 
 
@@ -346,7 +368,7 @@ fused AS (SELECT file_id, coalesce({wk} / (60 + kw.rank), 0) + coalesce({ws} / (
 
 
 def _fused(t, wk: float = 1.0, ws: float = 1.0):
-    return search.fuse(_keyword(t, "reference"), search.semantic(t.points, t.chunks, t.files, t.exif, _vector(t)), wk, ws)
+    return search.fuse(search.held(_keyword(t, "reference")), search.held(search.semantic(t.points, t.chunks, t.files, t.exif, _vector(t))), wk, ws)
 
 
 for _name, _wk, _ws in (("rrf_fuse", 1.0, 1.0), ("rrf_weighted", 10.0, 1.0)):
@@ -364,7 +386,7 @@ FROM (SELECT * FROM fused ORDER BY rrf DESC, file_id LIMIT 50) t JOIN files f ON
 
 @query("hybrid_search")
 def hybrid(t):
-    kw, sem = _keyword(t, "reference"), search.semantic(t.points, t.chunks, t.files, t.exif, _vector(t))
+    kw, sem = search.held(_keyword(t, "reference")), search.held(search.semantic(t.points, t.chunks, t.files, t.exif, _vector(t)))
     out = search.finalize(search.fuse(kw, sem), t.files, t.exif, t.chunks, kw, sem, UnifiedFilter())
     return out.select(*search.RESULT[:8], F.round("rrf_score", 9).alias("rrf_score"), F.round("keyword_score", 6).alias("keyword_score"), F.round("semantic_score", 6).alias("semantic_score"))
 
@@ -374,7 +396,7 @@ _SQL["hybrid_search"] = _fused_sql(1.0, 1.0) + _HYBRID
 
 @query("match_reasons")
 def _(t):
-    kw, sem = _keyword(t, "reference"), search.semantic(t.points, t.chunks, t.files, t.exif, _vector(t))
+    kw, sem = search.held(_keyword(t, "reference")), search.held(search.semantic(t.points, t.chunks, t.files, t.exif, _vector(t)))
     out = search.finalize(search.fuse(kw, sem), t.files, t.exif, t.chunks, kw, sem, UnifiedFilter())
     return out.select("file_id", F.explode("match_reasons").alias("r")).groupBy("file_id", "r.channel").agg(F.count(F.lit(1)).alias("n"), F.max("r.text").alias("last_text"))
 

@@ -43,6 +43,10 @@ def test_structured_parts():
     assert parse("python3.11 notes", NOW, ZONE).time is None
     assert parse("report 2026-13-45", NOW, ZONE).method == "fallback"
     assert parse("  ", NOW, ZONE).text == ""
+    p = parse("a.pdf b.docx PDF txt xlongrunpdfabcd", NOW, ZONE)
+    assert p.extensions == ["pdf", "docx", "txt"] and p.text == "a b . PDF xlongrunpdfabcd"
+    p = parse("10月31日 doc xdoc notes", NOW, ZONE)
+    assert days(p) == ("10-31", "11-01") and p.extensions == ["doc"] and p.text == "xdoc notes"
     assert [basis_hint(x) for x in ("建筑", "照片", "修改", "x")] == ["ctime", "exif", "mtime", "exif"]
 
 
@@ -57,6 +61,7 @@ def test_chunks():
     assert chunks("one\n\ntwo\n \nthree") == ["one", "two", "three"] and chunks(None) == chunks("  ") == []
     long = chunks(" ".join(f"This is sentence number {i} of many." for i in range(60)))
     assert len(long) >= 2 and all(size(c) <= 256 for c in long)
+    assert all(size(c) <= 256 + 32 for c in chunks("\n".join(f"w{i} x_{i}" for i in range(900)) + "\n\n" + "字。" * 700))
     hard = chunks("字" * 1000)
     assert len(hard) > 1 and all(len(c) <= 300 for c in hard) and hard[0][-32:] == hard[1][:32]
 

@@ -23,13 +23,32 @@ def fts5(expression):
     ("words", "form", "expression"),
     [(["cat"], 0, "cat*"), (["机器", "学习"], 1, "机器* AND 学习*"), (["机器", "学习"], 0, '"机器 学习"'), (["dog", "a"], 2, "dog* OR a*"), (["the", "dog"], 0, '"the dog"'), (["器学"], 0, "器学*")],
 )
-def test_bm25_is_that_of_fts5(spark, words, form, expression):
+def test_bm25_is_that_of_fts5(spark, tmp_path, words, form, expression):
     df = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(ROWS)], "file_id bigint, a string, b string")
     q = bm25.forms(words)[form]
     got = [(r["file_id"], round(r["score"], 9)) for r in bm25.scan(df, ["a", "b"], q).collect()]
     assert got == fts5(expression)
-    if len(q.terms[0].words) == 1:
-        assert sorted((r["file_id"], round(r["score"], 9)) for r in bm25.Index(df, ["a", "b"], "file_id").search(q).collect()) == sorted(got)
+    index = bm25.Index(spark, f"file://{tmp_path}/index", ["a", "b"], "file_id").build(df.where("file_id <> 2"))
+    # The second row is put in later, others are taken out and put in again.
+    index.update(gone=df.where("file_id = 4"), fresh=df.where("file_id IN (2, 3)")).update(fresh=df.where("file_id = 4"))
+    assert index.version() == 3 and index.integrity(df).count() == 0
+    assert [(r["file_id"], round(r["score"], 9)) for r in index.search(q).collect()] == expression_rows(expression)
+
+
+def expression_rows(expression):
+    return fts5(expression)
+
+
+def test_index_counts_listed_columns_and_prunes(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"w{i % 50} word{i:04} the lazy dog", "x") for i in range(2000)], "k bigint, t string, e string")
+    index = bm25.Index(spark, f"file://{tmp_path}/index", ["t", "t"], "k", ("e",)).build(df)
+    for q in (bm25.Query((bm25.Term(("lazy", "dog")),)), *bm25.forms(["w7", "word00"])[1:]):
+        want = [(r["k"], round(r["score"], 9)) for r in bm25.scan(df, ["t", "t"], q, key="k").collect()]
+        assert [(r["k"], round(r["score"], 9)) for r in index.search(q).collect()] == want and want
+    told = index.postings.where(F.col("term").startswith("word00"))._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,word00)" in told
+    empty = bm25.Index(spark, f"file://{tmp_path}/none", ["t"], "k").build(df.where("false"))
+    assert empty.search(bm25.forms(["a"])[0]).count() == 0 and empty.update(fresh=df).search(bm25.forms(["w7"])[0]).count() == 40
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +89,28 @@ def test_hybrid(engine):
     assert {"parser", "fts", "semantic", "finalize", "total"} <= set(out.stages_ms)
 
 
+def test_indexes_stand_for_scans(spark, engine, tmp_path):
+    from dataclasses import replace
+
+    names = bm25.Index(spark, f"file://{tmp_path}/n", ["filename", "filename", "dir_path"], "file_id").build(engine.files)
+    bodies = bm25.Index(spark, f"file://{tmp_path}/b", ["chunk_text", "chunk_text"], "chunk_id", ("file_id", "source_type")).build(engine.chunks.where(F.col("source_type").isin(*search.BODY_TYPES)))
+    by_index = replace(engine, names=names, bodies=bodies)
+    rows = lambda e, q: [(r["file_id"], round(r["rrf_score"], 9)) for r in e.search(q, k=10).results.collect()]
+    for query in ("cat", "cat dog", "sleeping"):
+        assert rows(by_index, query) == rows(engine, query)
+
+
+def test_queries_are_embedded_with_an_instruction(engine):
+    from dataclasses import replace
+
+    seen = []
+    other = replace(engine, embed=lambda text: seen.append(text) or [1.0, 0.0])
+    got = other.semantic_only("2026-08-14 图片", k=4).collect()
+    assert seen[0].endswith("2026-08-14 图片") and len(seen[0]) > 20 and [r["file_id"] for r in got] == [1, 2] and got[0]["path"] == "/x/photo-cat.jpg"
+    with pytest.raises(ChannelError):
+        replace(engine, embed=None).semantic_only("x")
+
+
 def test_captions_aren_t_keywords(engine):
     assert [r["file_id"] for r in engine.search("sleeping", mode="keyword").results.collect()] == []
 
