@@ -117,6 +117,13 @@ def replay(journal: DataFrame, cursor: int = 0, roots: DataFrame | None = None)
     return wide.select("file_ref", F.explode(F.array_compact(rows)).alias("r")).select("file_ref", "r.*")
 
 
+def name_pairs(journal: DataFrame) -> DataFrame:
+    """(file_ref, old_path, new_path): the last old and the last new name of each file that has either."""
+    own = journal.where(F.col("path").isNotNull() & reason_class().isin("old", "new")).withColumn("class", reason_class())
+    last = lambda k: F.max_by(F.when(F.col("class") == k, F.col("path")), F.when(F.col("class") == k, F.col("usn")))
+    return own.groupBy("file_ref").agg(last("old").alias("old_path"), last("new").alias("new_path"))
+
+
 def rotated(state: DataFrame, cursors: DataFrame) -> DataFrame:
     """Per volume: first_run, rescan (another journal, or the cursor is too old) or replay."""
     both = state.join(cursors.withColumnsRenamed({"journal_id": "c_journal", "usn": "c_usn"}), "volume", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +70,20 @@ def upsert_points(points: DataFrame, fresh: DataFrame, key: str = "vec_id") -> D
     return points.join(fresh.select(key), key, "left_anti").unionByName(fresh.dropDuplicates([key]))
 
 
+def delete_points(points: DataFrame, gone: DataFrame, key: str = "file_id") -> DataFrame:
+    """points without those whose key (file_id, or vec_id) is in gone."""
+    return points.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def point_keys(points: DataFrame, files: DataFrame) -> DataFrame:
+    """Ids and keys of the points of files."""
+    return points.join(files.select("file_id").distinct(), "file_id", "left_semi").select("vec_id", "file_id", "source_type", "chunk_index")
+
+
+def point_counts(points: DataFrame) -> DataFrame:
+    return points.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def completeness(files: DataFrame, chunks: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
     """ai_complete of each file: a document has document chunks and all of these are embedded; an image has been read
     (a row in ocr, even if no text was found; without that table, this isn't asked) and has recognised text or a
@@ -136,3 +152,9 @@ def integrity(postings: DataFrame, files: DataFrame) -> DataFrame:
     """Ids in one of postings and files only, and in which; none if all is well."""
     a, b = postings.select("file_id").distinct().withColumn("p", F.lit(1)), files.select("file_id").withColumn("f", F.lit(1))
     return a.join(b, "file_id", "full").where("p IS NULL OR f IS NULL").select("file_id", F.when(F.col("p").isNull(), "no postings").otherwise("no file").alias("problem"))
+
+
+def lookup(files: DataFrame, paths: list[str] = (), folders: list[str] = ()) -> DataFrame:
+    """Files at paths, or under folders; both reach the scan as filters."""
+    under = [F.col("path").startswith(f.rstrip("/") + "/") for f in folders]
+    return files.where(reduce(lambda a, b: a | b, under, F.col("path").isin(*paths) if paths else F.lit(False)))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import files as ff
 from ..functions import text as ft
-from ..operators import bm25, events, ingest, search, tasks
+from ..operators import admin, bm25, events, ingest, search, tasks
 from ..operators.filters import UnifiedFilter, apply, metadata_only, with_exif
 from ..session import shared_path, ship
 from ..sources.tables import Tables, sql
+from . import processing
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -85,7 +86,7 @@ def _(t):
 
 @query("key_lookup", "SELECT file_id, path FROM files WHERE path = '/src3/en/note-en-63.docx' OR starts_with(path, '/src1/de/')", "files")
 def _(t):
-    return t.files.where((F.col("path") == "/src3/en/note-en-63.docx") | F.col("path").startswith("/src1/de/")).select("file_id", "path")
+    return ingest.lookup(t.files, ["/src3/en/note-en-63.docx"], ["/src1/de/"]).select("file_id", "path")
 
 
 # ---- scalar and text functions
@@ -165,9 +166,7 @@ def _(t):
 @query("root_cover_count", """SELECT root, count(*) AS n FROM files JOIN (SELECT '/src1' AS root UNION ALL SELECT '/src2/' UNION ALL SELECT '/src3/en') r
 ON starts_with(path, rtrim(root, '/') || '/') WHERE is_deleted = 0 GROUP BY root""", "files")
 def _(t):
-    roots = t.spark.createDataFrame([("/src1",), ("/src2/",), ("/src3/en",)], "root string")
-    under = F.col("path").startswith(F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/")))
-    return t.files.where("is_deleted = 0").join(F.broadcast(roots), under).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return admin.covered_counts(t.files, t.spark.createDataFrame([("/src1",), ("/src2/",), ("/src3/en",)], "root string"))
 
 
 @query("time_iso", "SELECT file_id, strftime(to_timestamp(mtime_ns // 1000000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso, strftime(to_timestamp(mtime_ns // 1000000000) AT TIME ZONE 'UTC', '%Y:%m:%d %H:%M:%S') AS exif_text, mtime_ns // 1000000000 AS back FROM files", "files")
@@ -190,9 +189,8 @@ def _(t):
 
 @query("json_settings", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS n_keys FROM events")
 def _(t):
-    keys = F.json_object_keys("props")
-    value = F.element_at(F.from_json("props", "map<string,string>"), F.element_at(keys, 1))
-    return t.raw("events").select("event_id", value.alias("first_value"), F.size(keys).cast("long").alias("n_keys"))
+    value, n = admin.first_member(F.col("props"))
+    return t.raw("events").select("event_id", value.alias("first_value"), n.alias("n_keys"))
 
 
 # ---- keyword channel
@@ -414,12 +412,12 @@ def _(t):
     return with_exif(t.files, t.exif).withColumn("i", search.time_info("exif")).select("file_id", "i.basis", "i.confidence", F.col("i.value").alias("shown"))
 
 
-@query("labels_top3", "SELECT vec_id, label_id, round(score, 6) AS score FROM (SELECT a.vec_id, l.label_id, score, row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, label_id) AS r FROM (SELECT p.vec_id, l.vec_id AS label_id, list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) AS score FROM points p, points l WHERE l.vec_id < 12) a JOIN (SELECT vec_id AS label_id FROM points) l USING (label_id)) WHERE r <= 3 AND score >= 0.2", "points")
+@query("labels_top3", "SELECT p.vec_id, coalesce(caption, '') AS caption FROM points p LEFT JOIN (SELECT vec_id, string_agg(printf('%02d', label_id), '，' ORDER BY score DESC, label_id) AS caption FROM (SELECT a.vec_id, l.label_id, score, row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, label_id) AS r FROM (SELECT p.vec_id, l.vec_id AS label_id, list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) AS score FROM points p, points l WHERE l.vec_id < 12) a JOIN (SELECT vec_id AS label_id FROM points) l USING (label_id)) WHERE r <= 3 AND score >= 0.2 GROUP BY vec_id) c ON p.vec_id = c.vec_id", "points")
 def _(t):
-    labels = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in t.points.where("vec_id < 12").select("vec_id", "embedding").collect()]  # a stated label set of 12
-    scored = F.array(*[F.struct((-ft.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in v]))).alias("minus"), F.lit(k).alias("label_id")) for k, v in labels])
-    top = t.points.select("vec_id", F.explode(F.slice(F.array_sort(scored), 1, 3)).alias("s"))
-    return top.select("vec_id", "s.label_id", F.round(-F.col("s.minus"), 6).alias("score")).where(F.col("score") >= 0.2)
+    labels = t.points.where("vec_id < 12").select(F.format_string("%02d", "vec_id").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))  # a vocabulary of 12
+    text, vocabulary = processing.caption(F.col("embedding"), labels)
+    # One row, of the vocabulary's size.
+    return t.points.crossJoin(F.broadcast(vocabulary)).select("vec_id", text.alias("caption"))
 
 
 # ---- tasks
@@ -514,11 +512,6 @@ def _(t):
     return tasks.last_per_file(t.tasks)
 
 
-@query("job_recent", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 20")
-def _(t):
-    return t.raw("orders").select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey")).limit(20)
-
-
 # ---- snapshots
 
 _SCAN = "scanned AS (SELECT CASE WHEN file_id % 10 = 9 THEN '/new' || path ELSE path END AS path, filename, CASE WHEN file_id % 15 = 0 THEN dir_path || '/x' ELSE dir_path END AS dir_path, extension, file_type, CASE WHEN file_id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, mtime_ns, ctime_ns FROM files WHERE file_id % 11 <> 0)"
@@ -659,20 +652,12 @@ def _(t):
 
 @query("storage_bytes", "SELECT file_type, sum(size_bytes)::BIGINT AS bytes, count(*) AS n FROM files WHERE is_deleted = 0 GROUP BY file_type", "files")
 def _(t):
-    return t.files.where("is_deleted = 0").groupBy("file_type").agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    return admin.storage(t.files)
 
 
 @query("latency_percentiles", "SELECT o_orderpriority, count(*) AS n, list_sort(list(o_totalprice))[least(count(*) - 1, (count(*) * 0.5)::BIGINT - CASE WHEN (count(*) * 0.5)::BIGINT > count(*) * 0.5 THEN 1 ELSE 0 END) + 1] AS p50, list_sort(list(o_totalprice))[least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1] AS p95 FROM orders GROUP BY 1")
 def _(t):
-    # Ranks at stated places: sorted within ranges of the value, so that no task holds a whole group.
-    rows = t.raw("orders").select("o_orderpriority", F.col("o_totalprice").alias("v"))
-    per = rows.groupBy("o_orderpriority", "v").agg(F.count(F.lit(1)).alias("c"))
-    per = per.withColumn("b", F.floor(F.col("v") / 1000))
-    bins = per.groupBy("o_orderpriority", "b").agg(F.sum("c").alias("bc"))
-    bins = bins.withColumn("base", F.sum("bc").over(W.partitionBy("o_orderpriority").orderBy("b")) - F.col("bc")).withColumn("n", F.sum("bc").over(W.partitionBy("o_orderpriority")))
-    own = per.join(bins, ["o_orderpriority", "b"]).withColumn("upto", F.col("base") + F.sum("c").over(W.partitionBy("o_orderpriority", "b").orderBy("v")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p)), F.col("v")))
-    return own.groupBy("o_orderpriority").agg(F.first("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return admin.ranks(t.raw("orders"), "o_orderpriority", "o_totalprice", {"p50": 0.5, "p95": 0.95}, 1000)
 
 
 # ---- events
@@ -749,8 +734,7 @@ for _name, _cursor in (("journal_replay", 0), ("journal_replay_cursor", 800)):
 
 @query("rename_pairing", "SELECT coalesce(o.file_ref, n.file_ref) AS file_ref, o.path AS old_path, n.path AS new_path FROM (SELECT file_ref, arg_max(path, usn) AS path FROM journal WHERE reason = 4096 AND path IS NOT NULL GROUP BY 1) o FULL JOIN (SELECT file_ref, arg_max(path, usn) AS path FROM journal WHERE reason = 8192 AND path IS NOT NULL GROUP BY 1) n ON o.file_ref = n.file_ref", "journal")
 def _(t):
-    last = lambda bit, name: t.journal.where((F.col("reason") == bit) & F.col("path").isNotNull()).groupBy("file_ref").agg(F.max_by("path", "usn").alias(name))
-    return last(events.OLD_NAME, "old_path").join(last(events.NEW_NAME, "new_path"), "file_ref", "full")
+    return events.name_pairs(t.journal)
 
 
 @query("resolve_paths", "WITH RECURSIVE d AS (SELECT c_custkey AS ref, c_custkey // 7 AS parent, c_name AS name FROM customer), p AS (SELECT ref, name AS path FROM d WHERE parent = ref OR parent NOT IN (SELECT ref FROM d) UNION ALL SELECT d.ref, p.path || '/' || d.name FROM d JOIN p ON d.parent = p.ref WHERE d.ref <> d.parent) SELECT ref, path FROM p")
@@ -796,6 +780,9 @@ def _(t):
     return t.chunks.select("chunk_id", embed(F.col("chunk_text")).alias("embedding"))
 
 
+from . import upkeep  # noqa: E402, F401  its queries join the ones above
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

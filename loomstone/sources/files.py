@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -40,31 +41,53 @@ def docx_text(raw: bytes) -> str:
     return "\n\n".join(b for b in blocks if b.strip())
 
 
-def _read(ext: str, raw: bytes) -> str:
-    if ext in (".txt", ".md", ".markdown"):
-        return raw.decode("utf-8", errors="replace")
-    if ext == ".docx":
-        return docx_text(raw)
-    if ext == ".pdf":
-        from pypdf import PdfReader  # an optional library
+def plain_text(raw: bytes) -> str:
+    return raw.decode("utf-8", errors="replace")
 
-        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages)
-    raise ValueError(f"no reader for {ext or 'files without extension'}")
 
+def pdf_text(raw: bytes) -> str:
+    from pypdf import PdfReader  # an optional library
 
-def _extract(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
-    def one(e, raw):
+    return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages)
+
+
+#: Readers by extension: functions of bytes. `extract` takes others, and may be given one for these.
+READERS: dict[str, Callable[[bytes], str]] = {".txt": plain_text, ".md": plain_text, ".markdown": plain_text, ".docx": docx_text, ".pdf": pdf_text}
+
+
+def extract(ext: Column, content: Column, readers: dict[str, Callable[[bytes], str]] | None = None) -> Column:
+    """(text, error) by extension; what can't be read has an error instead."""
+    own = READERS | (readers or {})
+
+    def one(e: str, raw: bytes) -> tuple[str | None, str | None]:
         try:
-            return _read(e, raw), None
+            if e not in own:
+                raise ValueError(f"no reader for {e or 'files without extension'}")
+            return own[e](raw), None
         except Exception as x:  # a damaged file must not end the job: its error is its result
             return None, f"{type(x).__name__}: {x}"[:2000]
 
-    return pd.DataFrame([one(e, c) for e, c in zip(ext, content, strict=True)], columns=["text", "error"])
+    def run(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(e, c) for e, c in zip(ext, content, strict=True)], columns=["text", "error"])
 
+    return F.pandas_udf(run, "struct<text:string,error:string>")(ext, content)
 
-def extract(ext: Column, content: Column) -> Column:
-    """(text, error) by extension; what can't be read has an error instead."""
-    return F.pandas_udf(_extract, "struct<text:string,error:string>")(ext, content)
+
+def recognise(content: Column, recogniser: Callable[[bytes], list[tuple[str, float]]]) -> Column:
+    """(text, confidence, error) of images. recogniser: the lines and scores that it reads in an image. Blank lines don't
+    count; an image without text is empty with confidence 0, which isn't an error; what can't be decoded is one."""
+
+    def one(raw: bytes) -> tuple[str | None, float | None, str | None]:
+        try:
+            found = [(t.strip(), s) for t, s in recogniser(raw) if t.strip()]
+            return " ".join(t for t, _ in found), sum(s for _, s in found) / len(found) if found else 0.0, None
+        except Exception as x:
+            return None, None, f"{type(x).__name__}: {x}"[:2000]
+
+    def run(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(c) for c in content], columns=["text", "confidence", "error"])
+
+    return F.pandas_udf(run, "struct<text:string,confidence:double,error:string>")(content)
 
 
 def exif_time(content: Column) -> Column:
