@@ -154,6 +154,11 @@ def integrity(postings: DataFrame, files: DataFrame) -> DataFrame:
     return a.join(b, "file_id", "full").where("p IS NULL OR f IS NULL").select("file_id", F.when(F.col("p").isNull(), "no postings").otherwise("no file").alias("problem"))
 
 
+def from_cursor(scanned: DataFrame, cursor: str | None) -> DataFrame:
+    """What is left of an interrupted scan: files under the folder that it was about to enter; all without one."""
+    return scanned if not cursor else scanned.where(F.col("path").startswith(cursor.rstrip("/") + "/"))
+
+
 def lookup(files: DataFrame, paths: list[str] = (), folders: list[str] = ()) -> DataFrame:
     """Files at paths, or under folders; both reach the scan as filters."""
     under = [F.col("path").startswith(f.rstrip("/") + "/") for f in folders]

@@ -7,7 +7,6 @@ result is the next state of every table and an outcome (file_id, error) for each
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from ..functions.hashing import EmbeddingProvider, embed, point_id
 from ..functions.segment import DEFAULT, Segmenter
 from ..functions.text import estimate_tokens, exif_epoch, split_terms
 from ..operators import ingest
+from ..session import shared_path
 
 KEY = ["file_id", "source_type", "chunk_index"]
 IMAGE_KINDS = ("ocr", "image_caption")
@@ -165,7 +165,8 @@ def process(state: State, content: DataFrame, models: Models, after: DataFrame |
     # Without its content a file can't be hashed, so it fails before anything of it changes.
     bad = content.where("error IS NOT NULL OR hash IS NULL").select("file_id", F.coalesce("error", F.lit("content hash failed")).alias("error"))
     good = content.join(bad.select("file_id"), "file_id", "left_anti")
-    plan = ingest.reuse(state.files, good, ingest.completeness(state.files, state.chunks, state.ocr))
+    # What was decided, and each step's tables, are written: plans over them stay as small as one step.
+    plan = _saved(ingest.reuse(state.files, good, ingest.completeness(state.files, state.chunks, state.ocr)), "reuse")
     same, copies, fresh = (plan.where(F.col("verdict") == v) for v in ("same_file", "clone", "none"))
     new = good.join(fresh.select("file_id"), "file_id", "left_semi").join(state.files.select("file_id", "file_type"), "file_id")
     docs, images = new.where("file_type = 'doc'"), new.where("file_type = 'image'")
@@ -177,9 +178,9 @@ def process(state: State, content: DataFrame, models: Models, after: DataFrame |
     pictures = good.join(state.files.where("file_type = 'image'").select("file_id"), "file_id", "left_semi")
     done = plan.where("verdict <> 'clone'").select("file_id", "hash", F.lit(True).alias("done"))
     out = State(_marked(state.files, done), replaced.unionByName(cut), _without(state.ocr, read).unionByName(read), exif_rows(state, pictures), state.points)
-    # Sources are as they were before this batch, so the order of the steps doesn't matter.
-    out = clone(out, models, copies)
-    out = heal(embed_pending(out, models, new), models, same)
+    out = written(clone(written(out), models, copies))
+    if models.embedding is not None:
+        out = written(heal(written(embed_pending(out, models, new)), models, same))
     failed = bad
     if after is not None:
         failed = failed.unionByName(changed_meanwhile(good.join(state.files.select("file_id", "size_bytes", "mtime_ns"), "file_id"), after.join(fresh.select("file_id"), "file_id", "left_semi")))
@@ -188,16 +189,15 @@ def process(state: State, content: DataFrame, models: Models, after: DataFrame |
     return out, told.select("file_id", "verdict", "error")
 
 
-def written(state: State, folder: str) -> State:
-    """The state, written and read again: cuts the lineage of a long chain of steps."""
-    spark = state.files.sparkSession
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    at = shared_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
-    def one(name: str) -> DataFrame:
-        df = getattr(state, name)
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    return State(*[one(n) for n in ("files", "chunks", "ocr", "exif", "points")])
+def written(state: State) -> State:
+    """The state, written to the shared folder and read again."""
+    return State(*[_saved(getattr(state, n), n) for n in ("files", "chunks", "ocr", "exif", "points")])
 
 
 # ---- changes on disk
@@ -238,7 +238,3 @@ def applied(files: DataFrame, paths: DataFrame, on_disk: DataFrame) -> DataFrame
     gone = paths.select("path").distinct().join(on_disk.select("path"), "path", "left_anti")
     after = ingest.upsert(files, found).select(files.columns)
     return ingest.soft_delete(after, gone, "path")
-
-
-def all_of(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import admin, ingest
+from ..operators import admin, ingest, vectors
+from ..session import shared_path
 from ..sources.tables import sql
 from . import processing
 from .registry import _REUSE, _SQL, _fresh, query
@@ -27,9 +28,20 @@ def _content(t):
     return _fresh(t).join(text, "file_id").select("file_id", "hash", "text", F.substring("text", 1, 40).alias("ocr_text"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("caption"), F.lit(None).cast("string").alias("taken"), error.alias("error"))
 
 
+_DONE: dict[tuple[str, str], tuple] = {}
+
+
+def _processed(t):
+    """The state and outcomes of the batch; its tables are written once for all queries."""
+    at = (t.spark.sparkContext.applicationId, t.dir)
+    if at not in _DONE:
+        _DONE[at] = processing.process(_state(t), _content(t), processing.Models())
+    return _DONE[at]
+
+
 @query("process_outcomes")
 def _(t):
-    return processing.process(_state(t), _content(t), processing.Models())[1]
+    return _processed(t)[1]
 
 
 _SQL["process_outcomes"] = sql("", "files", "chunks", "ocr").rstrip() + f", {_REUSE} SELECT file_id, CASE WHEN {_BAD} THEN NULL ELSE verdict END AS verdict, CASE WHEN {_BAD} THEN 'unreadable' END AS error FROM reuse WHERE hash IS NOT NULL"
@@ -37,7 +49,7 @@ _SQL["process_outcomes"] = sql("", "files", "chunks", "ocr").rstrip() + f", {_RE
 
 @query("process_files")
 def _(t):
-    return processing.process(_state(t), _content(t), processing.Models())[0].files.select("file_id", "content_hash", "status")
+    return _processed(t)[0].files.select("file_id", "content_hash", "status")
 
 
 _SQL["process_files"] = sql("", "files", "chunks", "ocr").rstrip() + f", {_REUSE} SELECT f.file_id, CASE WHEN r.hash IS NULL OR f.{_BAD} THEN content_hash ELSE r.hash END AS content_hash, CASE WHEN r.hash IS NULL THEN status WHEN f.{_BAD} THEN 'FAILED' ELSE 'AI_DONE' END AS status FROM files f LEFT JOIN reuse r ON f.file_id = r.file_id"
@@ -45,7 +57,7 @@ _SQL["process_files"] = sql("", "files", "chunks", "ocr").rstrip() + f", {_REUSE
 
 @query("process_ocr")
 def _(t):
-    return processing.process(_state(t), _content(t), processing.Models())[0].ocr
+    return _processed(t)[0].ocr
 
 
 _SQL["process_ocr"] = sql("", "files", "chunks", "ocr").rstrip() + f""", {_REUSE}, fresh_text AS (SELECT r.file_id, CASE WHEN verdict = 'none' AND f.file_type = 'image' THEN substr(d.text, 1, 40) WHEN verdict = 'clone' THEN o.text END AS text, CASE WHEN verdict = 'none' THEN 0.5 ELSE o.confidence END AS confidence,
@@ -56,8 +68,7 @@ SELECT file_id, text, 'zh+en' AS lang, confidence FROM fresh_text WHERE put UNIO
 @query("process_copies")
 def _(t):
     """Chunks that files have as copies, and whether their vectors came with them."""
-    content = _content(t)
-    state, told = processing.process(_state(t), content, processing.Models())
+    state, told = _processed(t)
     return state.chunks.join(told.where("verdict = 'clone'").select("file_id"), "file_id", "left_semi").select("file_id", "source_type", "chunk_index", "chunk_text", "embedding_status")
 
 
@@ -108,7 +119,7 @@ def _(t):
 
 
 _SQL["renamed_files"] = sql("", "files", "chunks").rstrip() + f""", {_PLAN}, went AS (SELECT file_id, max(target) AS target FROM plan WHERE verdict IN ('rename', 'merge') GROUP BY file_id)
-SELECT f.file_id, coalesce(target, path) AS path, CASE WHEN target IS NULL THEN filename ELSE regexp_extract(target, '[^/]*$') END AS filename, CASE WHEN target IS NULL THEN dir_path ELSE regexp_replace(target, '/[^/]*$', '') END AS dir_path, CASE WHEN target IS NULL THEN extension ELSE lower(regexp_extract(target, '\.[^./]+$')) END AS extension
+SELECT f.file_id, coalesce(target, path) AS path, CASE WHEN target IS NULL THEN filename ELSE regexp_extract(target, '[^/]*$') END AS filename, CASE WHEN target IS NULL THEN dir_path ELSE regexp_replace(target, '/[^/]*$', '') END AS dir_path, CASE WHEN target IS NULL THEN extension ELSE lower(regexp_extract(target, '[.][^./]+$')) END AS extension
 FROM files f LEFT JOIN went w ON f.file_id = w.file_id WHERE f.file_id NOT IN (SELECT target_id FROM plan WHERE verdict = 'merge')"""
 
 
@@ -209,3 +220,46 @@ def _(t):
     """Points after those of some files are deleted, counted by file."""
     left = ingest.delete_points(t.points, t.files.where("file_id % 3 = 0").select("file_id").unionByName(t.spark.range(0, 1200, 3).select(F.col("id").alias("file_id"))))
     return ingest.point_counts(left)
+
+
+@query("scan_resume", "SELECT file_id FROM files WHERE starts_with(path, '/src1/en/')", "files")
+def _(t):
+    return ingest.from_cursor(t.files, "/src1/en").select("file_id")
+
+
+@query("ocr_confidence", "SELECT doc_id, coalesce(array_to_string(w, ' '), '') AS text, CASE WHEN len(w) > 0 THEN round(list_avg(list_transform(w, lambda x: length(x) / 100.0)), 6) ELSE 0.0 END AS confidence FROM (SELECT doc_id, list_filter(string_split(substr(replace(text, chr(10), ' '), 1, 60), ' '), lambda x: x <> '') AS w FROM documents)")
+def _(t):
+    """Lines that a recogniser found, blank ones among them, to a text and its mean confidence."""
+    words = F.split(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60), " ")
+    lines = F.transform(words, lambda w: F.struct(w.alias("text"), (F.length(w) / 100).alias("score")))
+    text, mean = processing.joined_words(lines)
+    return t.raw("documents").select("doc_id", text.alias("text"), F.round(mean, 6).alias("confidence"))
+
+
+# ---- vectors by cells
+
+_NEAREST = "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM points, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM points WHERE vec_id = 7) ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 200"
+_CELLS: dict[tuple[str, str], vectors.Cells] = {}
+
+
+def _cells(t) -> vectors.Cells:
+    at = (t.spark.sparkContext.applicationId, t.dir)
+    if at not in _CELLS:
+        _CELLS[at] = vectors.Cells(t.spark, shared_path(t.spark, "cells")).build(t.points)
+    return _CELLS[at]
+
+
+def _seven(t) -> list[float]:
+    return [float(x) for x in t.points.where("vec_id = 7").select("embedding").head()[0]]
+
+
+@query("cells_topk_all", _NEAREST, "points")
+def _(t):
+    """All cells looked at: exact."""
+    return _cells(t).search(_seven(t), probes=vectors.MOST_CELLS).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("cells_topk")
+def _(t):
+    """As many cells as a recall of 0.9 takes."""
+    return _cells(t).search(_seven(t)).select("vec_id", F.round("score", 6).alias("score"))
