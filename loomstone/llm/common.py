@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship  # noqa: F401
+from ..session import shared_dir, shared_path, ship  # noqa: F401
 
 #: Bytes of text that the vectorised operators work on at a time.
 SLICE_BYTES = 1 << 20
@@ -22,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, local mode (tests) gets a
-    temporary one; on a cluster that would lose data, so it is an error there."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = jdir.get() if jdir.isDefined() else None
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
-        at = "file://" + tempfile.mkdtemp(prefix="loomstone-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomstone/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
