@@ -378,15 +378,17 @@ for _name, _wk, _ws in (("rrf_fuse", 1.0, 1.0), ("rrf_weighted", 10.0, 1.0)):
     _SQL[_name] = _fused_sql(_wk, _ws) + " SELECT file_id, round(rrf, 9) AS rrf_score, round(keyword_score, 6) AS keyword_score, round(semantic_score, 6) AS semantic_score FROM fused"
 
 
-_HYBRID = """ SELECT f.file_id, path, filename, dir_path, extension, file_type, size_bytes, mtime_ns, round(rrf, 9) AS rrf_score, round(keyword_score, 6) AS keyword_score, round(semantic_score, 6) AS semantic_score
-FROM (SELECT * FROM fused ORDER BY rrf DESC, file_id LIMIT 50) t JOIN files f ON f.file_id = t.file_id AND is_deleted = 0"""
+_HYBRID = """ SELECT f.file_id, path, filename, dir_path, extension, file_type, size_bytes, mtime_ns, round(rrf, 9) AS rrf_score, round(keyword_score, 6) AS keyword_score, round(semantic_score, 6) AS semantic_score,
+CASE WHEN taken_epoch IS NULL THEN 'mtime' ELSE 'exif' END AS time_basis, CASE WHEN taken_epoch IS NULL THEN 'fallback' ELSE 'exact' END AS time_confidence, strftime(to_timestamp(coalesce(taken_epoch, mtime_ns // 1000000000)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS time_shown
+FROM (SELECT * FROM fused ORDER BY rrf DESC, file_id LIMIT 50) t JOIN files f ON f.file_id = t.file_id AND is_deleted = 0 LEFT JOIN exif x ON x.file_id = f.file_id"""
 
 
 @query("hybrid_search")
 def hybrid(t):
     kw, sem = search.held(_keyword(t, "reference")), search.held(search.semantic(t.points, t.chunks, t.files, t.exif, _vector(t)))
     out = search.finalize(search.fuse(kw, sem), t.files, t.exif, t.chunks, kw, sem, UnifiedFilter())
-    return out.select(*search.RESULT[:8], F.round("rrf_score", 9).alias("rrf_score"), F.round("keyword_score", 6).alias("keyword_score"), F.round("semantic_score", 6).alias("semantic_score"))
+    time = [F.col(f"time_info.{a}").alias(f"time_{b}") for a, b in (("basis", "basis"), ("confidence", "confidence"), ("value", "shown"))]
+    return out.select(*search.RESULT[:8], F.round("rrf_score", 9).alias("rrf_score"), F.round("keyword_score", 6).alias("keyword_score"), F.round("semantic_score", 6).alias("semantic_score"), *time)
 
 
 _SQL["hybrid_search"] = _fused_sql(1.0, 1.0) + _HYBRID

@@ -127,3 +127,17 @@ def test_schema_upgrades(spark):
     assert (tasks_["status"], tasks_["priority"], tasks_["attempt"], tasks_["max_attempts"]) == ("PENDING", 1, 0, 3)
     with pytest.raises(ValueError):
         schema.upgraded(old.withColumn("x", F.lit(1)), "exif")
+
+
+def test_shared_folder_is_cleared(spark, monkeypatch):
+    import os
+    import tempfile
+
+    from loomstone import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark, at=tempfile.mkdtemp(): at)
+    at = session.shared_path(spark, "x")
+    spark.range(3).write.parquet(at)
+    assert os.path.exists(at)
+    session.clear(spark)
+    assert not os.path.exists(at)
