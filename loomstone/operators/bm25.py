@@ -83,8 +83,9 @@ class Index:
     """Postings (term, key, tf, at) and lengths (key, len) in a folder: tf over all columns, at the word's places,
     of which each column has a range of its own.
 
-    Files are ranges of terms, and sorted by term within: a filter on term or on its beginning is pushed into the
-    scan, whose statistics leave out all files and row groups without it. Statistics (rows, average length) are
+    Postings are dealt over files by term and row, so a term of very many rows is spread, and are sorted by term
+    within: a filter on term or on its beginning is pushed into the scan, whose statistics leave out the row groups
+    without it. Statistics (rows, average length) are
     in a small file beside. `update` writes the next version and then moves the pointer to it, so readers see one
     or the other; it takes ids out and puts rows in, and doesn't cut other rows into words again."""
 
@@ -114,13 +115,15 @@ class Index:
         found = [f.getPath().getName() for f in fs.listStatus(root)]
         return max((int(x.removeprefix("stats-")) for x in found if x.startswith("stats-") and fs.exists(self._path(f"{x}/_SUCCESS"))), default=0)
 
-    def _write(self, postings: DataFrame, lengths: DataFrame) -> None:
+    def _write(self, postings: DataFrame, lengths: DataFrame, dealt: bool) -> None:
+        """dealt: whether postings are by term and row already, as they come from counting."""
         v = self.version() + 1
         lengths.write.mode("overwrite").parquet(f"{self.folder}/lengths-{v}")
         lengths = self.spark.read.parquet(f"{self.folder}/lengths-{v}")
         n, average, total = lengths.agg(F.count(F.lit(1)), F.avg("len"), F.coalesce(F.sum("len"), F.lit(0))).head()
-        files = max(1, int(total * self.POSTING_BYTES / self.FILE_BYTES), min(8, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        postings.repartitionByRange(files, "term", self.key).sortWithinPartitions("term", self.key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/postings-{v}")
+        if not dealt:
+            postings = postings.repartition(max(1, int(total * self.POSTING_BYTES / self.FILE_BYTES), min(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))), "term", self.key)
+        postings.sortWithinPartitions("term", self.key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/postings-{v}")
         # Last, as it makes the version the one to read.
         self.spark.createDataFrame([(n, average)], "n bigint, average double").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats-{v}")
         for old in ("stats", "postings", "lengths"):
@@ -141,7 +144,7 @@ class Index:
 
     def build(self, df: DataFrame) -> Index:
         """All anew."""
-        self._write(*self._cut(df))
+        self._write(*self._cut(df), dealt=True)
         return self
 
     def update(self, gone: DataFrame | None = None, fresh: DataFrame | None = None) -> Index:
@@ -154,7 +157,7 @@ class Index:
         if fresh is not None:
             new_postings, new_lengths = self._cut(fresh)
             postings, lengths = postings.unionByName(new_postings), lengths.unionByName(new_lengths)
-        self._write(postings, lengths)
+        self._write(postings, lengths, dealt=False)
         return self
 
     # ---- reading
