@@ -1,7 +1,7 @@
 """From files to chunks and vectors: what a worker does for a batch of files, as plans over whole tables.
 
-A batch goes through these steps, each over all its files at once: hash the content, decide on reuse, read and
-cut what is new, copy what another file has, embed what is pending, and reject what has changed meanwhile. The
+A batch goes through these steps, each over all its files at once: hash the content, decide on reuse, copy what
+another file has, read and cut what is new, embed what is pending, and reject what has changed meanwhile. The
 result is the next state of every table and an outcome (file_id, error) for each file, which ends its task."""
 
 from __future__ import annotations
@@ -172,13 +172,14 @@ def process(state: State, content: DataFrame, models: Models, after: DataFrame |
     docs, images = new.where("file_type = 'doc'"), new.where("file_type = 'image'")
     cut = document_chunks(docs.select("file_id", "text"), models).unionByName(image_chunks(images.select("file_id", "ocr_text", "caption"), models))
     read = images.select("file_id", F.col("ocr_text").alias("text"), F.lit("zh+en").alias("lang"), F.col("confidence").cast("double").alias("confidence")).select(state.ocr.columns)
-    replaced = state.chunks.join(docs.select("file_id"), "file_id", "left_anti")
+    # Copies come first: a source may be in the batch too, and its old results, which the plan is about, go below.
+    out = written(clone(state, models, copies))
+    replaced = out.chunks.join(docs.select("file_id"), "file_id", "left_anti")
     ours = images.select("file_id", F.lit(True).alias("_image"))
     replaced = replaced.join(ours, "file_id", "left").where(F.col("_image").isNull() | ~F.col("source_type").isin(*IMAGE_KINDS)).select(CHUNK)
     pictures = good.join(state.files.where("file_type = 'image'").select("file_id"), "file_id", "left_semi")
     done = plan.where("verdict <> 'clone'").select("file_id", "hash", F.lit(True).alias("done"))
-    out = State(_marked(state.files, done), replaced.unionByName(cut), _without(state.ocr, read).unionByName(read), exif_rows(state, pictures), state.points)
-    out = written(clone(written(out), models, copies))
+    out = written(State(_marked(out.files, done), replaced.unionByName(cut), _without(out.ocr, read).unionByName(read), exif_rows(out, pictures), out.points))
     if models.embedding is not None:
         out = written(heal(written(embed_pending(out, models, new)), models, same))
     failed = bad

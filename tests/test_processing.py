@@ -1,6 +1,7 @@
 """Processing of files, renames, settings, roots, jobs and plug-ins on small tables."""
 
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,34 @@ def test_process(spark, state):
     assert again.chunks.exceptAll(kept.chunks).count() == 0 and again.points.count() == kept.points.count()
 
 
+@pytest.mark.parametrize("embedding", [None, HashingEmbedder(4)])
+def test_copies_of_sources_that_change_in_the_same_batch(spark, state, embedding):
+    before = replace(state, files=state.files.where("file_id <> 5").unionByName(spark.createDataFrame([file(5, "image", "i5", "AI_DONE")], FILES)))
+    rows = [
+        (2, "h1", "one", None, None, None, None, None),  # what 1 held, which holds other text now
+        (1, "h1b", "now long and other text", None, None, None, None, None),
+        (3, "h1", "one", None, None, None, None, None),  # a copy of 1 now, and 7 has what it held
+        (7, "h3", "old text", None, None, None, None, None),
+        (5, "i4", None, "sign", 0.7, None, None, None),  # what 4 held, whose picture is another now
+        (4, "i4b", None, "door", 0.2, "a door", None, None),
+    ]
+    out, told = pr.process(before, spark.createDataFrame(rows, CONTENT), pr.Models(embedding))
+    assert {r["file_id"]: r["verdict"] for r in told.collect()} == {1: "none", 2: "clone", 3: "clone", 4: "none", 5: "clone", 7: "clone"}
+    chunks = sorted((r["file_id"], r["source_type"], r["chunk_text"]) for r in out.chunks.where("file_id <> 9").collect())
+    old = [(k, "doc_chunk", x) for k in (2, 3) for x in ("one", "two")] + [(7, "doc_chunk", x) for x in ("old text", "old rest")] + [(5, "ocr", "sign"), (5, "image_caption", "a sign")]
+    assert chunks == sorted([*old, (1, "doc_chunk", "now long and other text"), (4, "ocr", "door"), (4, "image_caption", "a door")])
+    assert {r["file_id"]: (r["text"], r["confidence"]) for r in out.ocr.collect()} == {4: ("door", 0.2), 5: ("sign", 0.7)}
+    # Vectors come from the state before as well; 1's second chunk and 4's caption had none to copy.
+    status = {(r["file_id"], r["source_type"], r["chunk_index"]): r["embedding_status"] for r in out.chunks.where("file_id <> 9").collect()}
+    copied = {(2, "doc_chunk", 0), (3, "doc_chunk", 0), (7, "doc_chunk", 0), (7, "doc_chunk", 1), (5, "ocr", 0)}
+    assert {k for k, v in status.items() if v == 1} == (set(status) if embedding else copied)
+    vectors = {(r["file_id"], r["source_type"], r["chunk_index"]): list(r["embedding"]) for r in out.points.collect()}
+    held = {(r["file_id"], r["source_type"], r["chunk_index"]): list(r["embedding"]) for r in state.points.collect()}
+    for key in copied:
+        source = {2: 1, 3: 1, 7: 3, 5: 4}[key[0]]
+        assert vectors[key] == held[(source, *key[1:])]
+
+
 def test_without_models_chunks_stay_pending(spark, state):
     content = spark.createDataFrame([(2, "hx", "some text", None, None, None, None, None)], CONTENT)
     out, _ = pr.process(state, content, pr.Models())
