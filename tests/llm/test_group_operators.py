@@ -206,6 +206,50 @@ def test_other_settings_go_to_the_library(tmp_path):
         assert not enc.own and enc.encode("The QUICK fox's 42") == enc.library("The QUICK fox's 42")
 
 
+def test_small_components_are_written_in_few_files(spark):
+    from loomstone.llm.common import materialize
+    from loomstone.llm.components import TASKS, merged
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows = [(i, i + 1) for i in range(300) if i % 10 < 9]
+        comps = components(materialize(spark.createDataFrame(rows, "a bigint, b bigint"), "links"))
+        more = merged(comps, materialize(spark.createDataFrame([(9, 10), (900, 901)], "a bigint, b bigint"), "links"))
+        assert sorted(tuple(r) for r in comps.collect()) == [(i, i - i % 10) for i in range(300)]
+        assert sorted(tuple(r) for r in more.collect()) == [(i, i - i % 10 if i > 19 else 0) for i in range(300)] + [(900, 900), (901, 900)]
+        assert max(len(comps.inputFiles()), len(more.inputFiles())) <= TASKS
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_pieces_come_in_slices():
+    """A batch of many texts isn't given back whole: a worker would hold its ids several times."""
+    import pyarrow as pa
+
+    from loomstone.llm.common import SLICE_BYTES
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice("the of and to in naïve 日本".split()) for _ in range(r.randint(0, 800))) for _ in range(2500)]
+    texts = [None, "", *texts, "of " * SLICE_BYTES, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(len(texts) - 1)], pa.int64()), pa.array(texts)], names=["doc_id", "text"]).slice(1)
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
+    enc = packing.encoder(packing.default_tokenizer())
+    for n in (6, 5):
+        got = list(packing._pieces(None, 100, n == 6, pa.schema(fields[:n]))(iter([batch, batch.slice(0, 0)])))
+        assert len(got) > 3 and all(pa.compute.sum(x.column("length")).as_py() <= SLICE_BYTES + x.num_rows for x in got if x.column("doc_id").to_pylist() != [len(texts) - 4] * x.num_rows)
+        rows = pa.Table.from_batches(got).to_pylist()
+        assert [x["doc_id"] for x in rows if not x["piece"]] == batch.column(0).to_pylist()
+        if n == 6:
+            own: dict = {}
+            for x in rows:
+                assert x["start"] == len(own.setdefault(x["doc_id"], [])) and x["length"] == len(x["ids"])
+                own[x["doc_id"]] += x["ids"]
+            assert [np.array(v, "<u4").tobytes() for v in own.values()] == [enc.encode(t or "") + np.array([1], "<u4").tobytes() for t in texts[1:]]
+
+
 def test_packing_query_against_the_library(spark):
     """op5's rows on the smallest tables: pieces and CRCs by the library, gapless sequences, no more than first fit takes."""
     import zlib
