@@ -193,6 +193,49 @@ def test_tokens_are_the_library_s():
     assert all(enc.encode(t) == enc.library(t) for t in odd)
 
 
+def _encoded(enc, texts):
+    raws = [t.encode() for t in texts]
+    return enc.encode_all(np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)]))
+
+
+def test_words_are_merged_here(tmp_path):
+    """New words don't go to the library one by one: in op5's tables a fifth of a text's words are new to a slice."""
+    import json
+
+    class Counted(packing.Words):
+        asked = 0
+
+        def __missing__(self, word):
+            Counted.asked += 1
+            return super().__missing__(word)
+
+    with open(packing.default_tokenizer()) as f:
+        said = json.load(f)
+    said["model"]["end_of_word_suffix"] = None
+    (tmp_path / "plain.json").write_text(json.dumps(said))
+    r = random.Random(8)
+    letters = "aabcdeeefghiijklmnnoopqrrsstttuvwxyzéàßÖ"
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(1, 28 if k < 40 else 16))) for _ in range(100)) for k in range(60)]
+    texts += ["".join(r.choices("!!--..%'", k=r.randint(1, 40))) for _ in range(100)] + ["the thethethe aaaaaaaaaaaaaa innin"]
+    for path in (packing.default_tokenizer(), str(tmp_path / "plain.json")):
+        enc = packing.Encoder(path)
+        assert enc.own
+        enc.words, Counted.asked = Counted(enc.tokenizer.model), 0
+        assert [enc.encode(t) for t in texts] == _encoded(enc, texts) == [enc.library(t) for t in texts]
+        longer = {w for t in texts for w in t.lower().split() if len(w.encode()) > 32}
+        assert longer and Counted.asked <= len(longer)
+
+
+def test_texts_of_a_slice_are_cut_apart():
+    enc = packing.Encoder(packing.default_tokenizer())
+    odd = ["don'", "t", "'", "s", "'s", "'re", "'r", "e", "we'", "", "'ll", "'v", "5's 'd'm''t", "!'s", "é's'é", "É", "'T'RE'x", "<|endof", "text|>", "<|endoftext|>", "a<|startoftext|>b", "日本", "×", "÷", "\x7f", "\x0b", " ", "\t\r\n", "x" * 40, "ÀÖØÞßàöøþÿ", "12é34", "\x00", "i\u0307", "e\u0301"]
+    r = random.Random(5)
+    for _ in range(300):
+        texts = r.choices(odd, k=r.randint(0, 12))
+        texts += ["".join(r.choices("'srevltmd é!5\n", k=r.randint(0, 9))) for _ in range(r.randint(0, 12))]
+        assert _encoded(enc, texts) == [enc.library(t) for t in texts]
+
+
 def test_other_settings_go_to_the_library(tmp_path):
     import json
 
