@@ -80,19 +80,23 @@ def scan(df: DataFrame, columns: list[str], query: Query, k: int | None = 200, k
 
 
 class Index:
-    """Postings (term, key, tf, at) and lengths (key, len) in a folder: tf over all columns, at the word's places,
+    """Postings (term, key, tf, at) and lengths (key, len, part) in a folder: tf over all columns, at the word's places,
     of which each column has a range of its own.
 
-    Postings are dealt over files by term and row, so a term of very many rows is spread, and are sorted by term
+    Postings are dealt over files by row, so a term of very many rows is spread, and are sorted by term
     within: a filter on term or on its beginning is pushed into the scan, whose statistics leave out the row groups
-    without it. Statistics (rows, average length) are
+    without it. Texts are dealt before they are cut, to files of a bounded number of words, so that no posting is
+    shuffled and a file's postings are sorted in memory. Statistics (rows, average length, parts) are
     in a small file beside. `update` writes the next version and then moves the pointer to it, so readers see one
-    or the other; it takes ids out and puts rows in, and doesn't cut other rows into words again."""
+    or the other; it doesn't cut other rows into words again, nor write their postings again: rows put in have postings
+    of their own, a part, and a row's length tells the part that counts. After PARTS of them all become one."""
 
     #: Between the places of one column and of the next.
     GAP = 1 << 24
-    #: Bytes of a file of postings, about, and what a posting takes.
+    #: Bytes of a file of postings, at most and about, and what a posting takes.
     FILE_BYTES, POSTING_BYTES = 128 << 20, 24
+    #: So many parts are read side by side.
+    PARTS = 8
 
     def __init__(self, spark, folder: str, columns: list[str], key: str, extra: tuple[str, ...] = ()) -> None:
         """extra: further columns of the indexed rows that results carry."""
@@ -107,64 +111,104 @@ class Index:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
+    def _names(self) -> list[str]:
+        fs, root = self._fs(), self._path("")
+        return [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+
     def version(self) -> int:
         """Of the versions whose statistics are written, the last; 0 if there is none."""
-        fs, root = self._fs(), self._path("")
-        if not fs.exists(root):
-            return 0
-        found = [f.getPath().getName() for f in fs.listStatus(root)]
-        return max((int(x.removeprefix("stats-")) for x in found if x.startswith("stats-") and fs.exists(self._path(f"{x}/_SUCCESS"))), default=0)
-
-    def _write(self, postings: DataFrame, lengths: DataFrame, dealt: bool) -> None:
-        """dealt: whether postings are by term and row already, as they come from counting."""
-        v = self.version() + 1
+        return max((int(x.removeprefix("stats-")) for x in self._names() if x.startswith("stats-") and self._fs().exists(self._path(f"{x}/_SUCCESS"))), default=0)
+
+    def _stats(self):
+        """n, average and parts of the version to read."""
+        return self.spark.read.parquet(f"{self.folder}/stats-{self.version()}").head()
+
+    def _write(self, lengths: DataFrame, parts: list[int], postings) -> None:
+        """parts: those that stay. postings: makes the new part's from the number of its files; None if there is none."""
+        v, before = self.version() + 1, self._stats()["parts"] if self.version() else []
         lengths.write.mode("overwrite").parquet(f"{self.folder}/lengths-{v}")
-        lengths = self.spark.read.parquet(f"{self.folder}/lengths-{v}")
-        n, average, total = lengths.agg(F.count(F.lit(1)), F.avg("len"), F.coalesce(F.sum("len"), F.lit(0))).head()
-        if not dealt:
-            postings = postings.repartition(max(1, int(total * self.POSTING_BYTES / self.FILE_BYTES), min(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))), "term", self.key)
-        postings.sortWithinPartitions("term", self.key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/postings-{v}")
+        told = self.spark.read.parquet(f"{self.folder}/lengths-{v}").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("average"), F.coalesce(F.sum(F.when(F.col("part") == v, F.col("len"))), F.lit(0)).alias("total")).head()
+        if postings is not None:
+            files = max(1, -(-told["total"] * self.POSTING_BYTES // self.FILE_BYTES), min(8, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+            postings(files).sortWithinPartitions("term", self.key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.folder}/postings-{v}")
+            parts = [*parts, v]
         # Last, as it makes the version the one to read.
-        self.spark.createDataFrame([(n, average)], "n bigint, average double").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats-{v}")
-        for old in ("stats", "postings", "lengths"):
+        self.spark.createDataFrame([(told["n"], told["average"], parts)], "n bigint, average double, parts array<int>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/stats-{v}")
+        for old in ("stats", "lengths"):
             self._fs().delete(self._path(f"{old}-{v - 2}"), True)
+        for x in self._names():
+            if x.startswith("postings-") and int(x.removeprefix("postings-")) not in {*parts, *before}:
+                self._fs().delete(self._path(x), True)
 
     # ---- writing
 
-    def _cut(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _lengths(self, df: DataFrame, part: int) -> DataFrame:
+        length = sum((n * F.size(tokens(F.col(c))) for c, n in Counter(self.columns).items()), F.lit(0))
+        return df.select(self.key, *self.extra, length.alias("len"), F.lit(part).alias("part"))
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Postings of each row, made inside it: its words are sorted, and each run of one word becomes a posting."""
         own = Counter(self.columns)
-        toks = df.select(self.key, *self.extra, *[tokens(F.col(c)).alias(f"_t{i}") for i, c in enumerate(own)])
-        length = sum((n * F.size(f"_t{i}") for i, n in enumerate(own.values())), F.lit(0))
-        lengths = toks.select(self.key, *self.extra, length.alias("len"))
-        place = lambda i, n: lambda w, p: F.struct(w.alias("term"), (p + i * self.GAP).alias("p"), F.lit(n).alias("n"))
-        each = [F.transform(F.col(f"_t{i}"), place(i, n)) for i, n in enumerate(own.values())]
-        words = toks.select(self.key, F.explode(F.concat(*each)).alias("w")).select(self.key, "w.*")
-        postings = words.groupBy("term", self.key).agg(F.sum("n").cast("int").alias("tf"), F.array_sort(F.collect_list("p")).alias("at"))
-        return postings, lengths
+        place = lambda i: lambda w, p: F.struct(w.alias("term"), (p + i * self.GAP).alias("p"))
+        each = [F.transform(tokens(F.col(c)), place(i)) for i, c in enumerate(own)]
+        words = df.select(self.key, F.sort_array(F.concat(*each)).alias("s"))
+        n, term = F.size("s"), lambda i: F.get("s", i)["term"]
+        first = F.filter(F.slice(F.sequence(F.lit(0), n), 1, n), lambda i: (i == 0) | (term(i) != term(i - 1)))
+        runs = words.select(self.key, "s", first.alias("b"))
+        at = lambda i, j: F.transform(F.sequence(i, F.coalesce(F.get("b", j + 1), n) - 1), lambda k: F.get("s", k)["p"])
+        # Outer, as Spark cuts the texts twice for an inner one (it asks for the size of what it explodes first).
+        rows = runs.select(self.key, F.explode_outer(F.transform("b", lambda i, j: F.struct(term(i).alias("term"), at(i, j).alias("at")))).alias("w")).where("w IS NOT NULL")
+        return rows.select("w.term", self.key, self._times(F.col("w.at")).cast("int").alias("tf"), "w.at")
+
+    def _times(self, places: Column) -> Column:
+        """How many there are, once for each listing of their column."""
+        own = list(Counter(self.columns).values())
+        if len(own) == 1:
+            return F.size(places) * own[0]
+        times = F.create_map(*[x for i, n in enumerate(own) for x in (F.lit(i), F.lit(n))])
+        return F.aggregate(places, F.lit(0), lambda s, p: s + times[F.floor(p / self.GAP).cast("int")])
+
+    def _part(self, df: DataFrame):
+        return lambda files: self._cut(df.select(self.key, *dict.fromkeys(self.columns)).repartition(files, self.key))
 
     def build(self, df: DataFrame) -> Index:
         """All anew."""
-        self._write(*self._cut(df), dealt=True)
+        self._write(self._lengths(df, self.version() + 1), [], self._part(df))
         return self
 
     def update(self, gone: DataFrame | None = None, fresh: DataFrame | None = None) -> Index:
         """Rows of gone (key) are taken out, those of fresh put in, in place of any with their key."""
-        postings, lengths = self.postings, self.lengths
+        if len(self._stats()["parts"]) >= self.PARTS:
+            self._fold()
+        lengths, parts = self.lengths, self._stats()["parts"]
         out = [x.select(self.key) for x in (gone, fresh) if x is not None]
         if out:
-            ids = reduce(DataFrame.unionByName, out).distinct()
-            postings, lengths = (x.join(ids, self.key, "left_anti") for x in (postings, lengths))
+            lengths = lengths.join(reduce(DataFrame.unionByName, out).distinct(), self.key, "left_anti")
         if fresh is not None:
-            new_postings, new_lengths = self._cut(fresh)
-            postings, lengths = postings.unionByName(new_postings), lengths.unionByName(new_lengths)
-        self._write(postings, lengths, dealt=False)
+            lengths = lengths.unionByName(self._lengths(fresh, self.version() + 1))
+        self._write(lengths, parts, None if fresh is None else self._part(fresh))
         return self
 
+    def _fold(self) -> None:
+        """One part of all."""
+        postings = self.postings
+        self._write(self.lengths.withColumn("part", F.lit(self.version() + 1)), [], lambda files: postings.repartition(files, self.key))
+
     # ---- reading
 
+    def _rows(self, where: Column | None = None) -> DataFrame:
+        """Postings of all parts, with part: also those of rows that have been taken out since."""
+        read = [self.spark.read.parquet(f"{self.folder}/postings-{p}").withColumn("part", F.lit(p)) for p in self._stats()["parts"]]
+        rows = reduce(DataFrame.unionByName, read)
+        return rows if where is None else rows.where(where)
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        """rows (key, part) without those of rows that have been taken out; an index of its first version has none."""
+        return rows if self.version() == 1 else rows.join(self.lengths.select(self.key, "part"), [self.key, "part"], "left_semi")
+
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings-{self.version()}")
+        return self._living(self._rows()).select("term", self.key, "tf", "at")
 
     @property
     def lengths(self) -> DataFrame:
@@ -175,27 +219,23 @@ class Index:
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
     def _hits(self, term: Term) -> DataFrame:
-        """key and f, how often a row holds the term."""
+        """key, part and f, how often a row holds the term."""
         at = F.col("term")
-        of = lambda w: self.postings.where(at == w)
         if len(term.words) == 1:
             word = term.words[0]
-            own = self.postings.where(at.startswith(word)) if term.prefix else of(word)
-            return own.groupBy(self.key).agg(F.sum("tf").alias("f"))
+            return self._rows(at.startswith(word) if term.prefix else at == word).groupBy(self.key, "part").agg(F.sum("tf").alias("f"))
         # Places at which all words of the phrase stand one after the other, once for each listing of the column.
         moved = lambda i: lambda p: p - i
-        starts = reduce(lambda a, b: a.join(b, self.key), [of(w).select(self.key, F.transform("at", moved(i)).alias(f"_p{i}")) for i, w in enumerate(term.words)])
+        starts = reduce(lambda a, b: a.join(b, [self.key, "part"]), [self._rows(at == w).select(self.key, "part", F.transform("at", moved(i)).alias(f"_p{i}")) for i, w in enumerate(term.words)])
         both = reduce(F.array_intersect, [F.col(f"_p{i}") for i in range(len(term.words))])
-        times = F.create_map(*[x for i, n in enumerate(Counter(self.columns).values()) for x in (F.lit(i), F.lit(n))])
-        f = F.aggregate(both, F.lit(0), lambda s, p: s + times[F.floor(p / self.GAP).cast("int")])
-        return starts.select(self.key, f.alias("f")).where("f > 0")
+        return starts.select(self.key, "part", self._times(both).alias("f")).where("f > 0")
 
     def search(self, query: Query, k: int | None = 200) -> DataFrame:
         """Matching rows (key, extra, score), as `scan` gives them."""
-        n, average = self.spark.read.parquet(f"{self.folder}/stats-{self.version()}").head()
-        found = reduce(DataFrame.unionByName, [self._hits(t).withColumn("j", F.lit(j)) for j, t in enumerate(query.terms)])
+        n, average, _ = self._stats()
+        found = self._living(reduce(DataFrame.unionByName, [self._hits(t).withColumn("j", F.lit(j)) for j, t in enumerate(query.terms)]))
         df = found.groupBy("j").agg(F.count(F.lit(1)).alias("df"))  # a row a term
-        scored = found.join(F.broadcast(df), "j").join(self.lengths, self.key)
+        scored = found.join(F.broadcast(df), "j").join(self.lengths, [self.key, "part"])
         value = idf(F.lit(n), F.col("df")) * part(F.col("f"), F.col("len"), F.lit(average))
         scored = scored.groupBy(self.key, *self.extra).agg((-F.sum(value)).alias("score"), F.count(F.lit(1)).alias("terms"))
         if query.every:

@@ -152,3 +152,19 @@ def test_fusion_commutes_and_weighs(spark):
 
 def test_percentile():
     assert percentile([5, 1, 3, 2, 4], 0.5) == 3 and percentile([1.0], 0.95) == 1.0
+
+
+def test_postings_are_made_without_shuffling_words(spark, tmp_path):
+    """Texts are exchanged once, before they are cut, and no posting is (words by the million would be shuffled and spilled)."""
+    long = " ".join(f"w{i % 97}" for i in range(3000))
+    df = spark.createDataFrame([(1, "b a b", "a"), (2, None, ""), (3, "", None), (4, "..", "Été"), (5, long, "w1")], "k bigint, t string, u string")
+    index = bm25.Index(spark, f"file://{tmp_path}/index", ["t", "t", "u"], "k")
+    postings = index._part(df)(3)
+    told = postings.sortWithinPartitions("term", "k")._jdf.queryExecution().executedPlan().toString()
+    assert told.count("Exchange") == 1 and "Aggregate" not in told
+    got = {(r["term"], r["k"]): (r["tf"], r["at"]) for r in postings.collect()}
+    gap = bm25.Index.GAP
+    assert got[("b", 1)] == (4, [0, 2]) and got[("a", 1)] == (3, [1, gap]) and got[("ete", 4)] == (1, [gap])
+    assert got[("w1", 5)] == (2 * len(range(1, 3000, 97)) + 1, [*range(1, 3000, 97), gap]) and len(got) == 3 + 97
+    index.build(df)
+    assert {(r["k"], r["len"]) for r in index.lengths.collect()} == {(1, 7), (2, 0), (3, 0), (4, 1), (5, 6001)}
