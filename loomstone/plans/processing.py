@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunk import chunk_table, segment
+from ..functions.chunk import chunks, segmented
 from ..functions.hashing import EmbeddingProvider, embed, point_id
 from ..functions.segment import DEFAULT, Segmenter
 from ..functions.text import estimate_tokens, exif_epoch, split_terms
@@ -47,21 +47,50 @@ class Models:
 CHUNK = [*KEY, "chunk_text", "chunk_text_seg", "token_count", "embedding_status"]
 
 
-def _chunks(rows: DataFrame, models: Models) -> DataFrame:
-    """Chunks from KEY and chunk_text, still to be embedded."""
-    return rows.withColumns({"chunk_text_seg": segment(F.col("chunk_text"), models.segmenter), "token_count": estimate_tokens(F.col("chunk_text")), "embedding_status": F.lit(PENDING)}).select(CHUNK)
+#: Characters of chunks that a worker holds before it passes them on.
+HELD_CHARS = 1 << 20
+
+
+def fresh_chunks(rows: DataFrame, models: Models) -> DataFrame:
+    """rows (file_id, text, ocr_text, caption) to chunks, still to be embedded: of text those that it is cut into, of
+    recognised text (its terms taken apart) and of captions one each; none of what is null or empty. Texts are cut and
+    segmented by one worker, which takes them one by one and holds HELD_CHARS of chunks."""
+    segmenter = models.segmenter
+
+    def cut(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("file_id", pa.int64()), ("source_type", pa.string()), ("chunk_index", pa.int32()), ("chunk_text", pa.string()), ("chunk_text_seg", pa.string())])
+        for batch in batches:
+            out, held = [], 0
+            for file_id, *texts in zip(*(column_values(batch.column(i)) for i in range(4)), strict=True):
+                text, ocr, said = (x or "" for x in texts)
+                for source, parts in (("doc_chunk", chunks(text)), ("ocr", [ocr] if ocr else []), ("image_caption", [said] if said else [])):
+                    out += [(file_id, source, i, x, segmented(x, segmenter)) for i, x in enumerate(parts)]
+                    held += sum(map(len, parts))
+                if held > HELD_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types, strict=True)], schema=kinds)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types, strict=True)], schema=kinds)
+
+    found = rows.select(F.col("file_id").cast("long"), "text", split_terms(F.col("ocr_text")).alias("ocr_text"), "caption").mapInArrow(cut, "file_id long, source_type string, chunk_index int, chunk_text string, chunk_text_seg string")
+    return found.withColumns({"token_count": estimate_tokens(F.col("chunk_text")), "embedding_status": F.lit(PENDING)}).select(CHUNK)
+
+
+def column_values(column):
+    """One at a time, so that a batch isn't held as Python objects besides."""
+    return (x.as_py() for x in column)
 
 
 def document_chunks(docs: DataFrame, models: Models) -> DataFrame:
     """docs (file_id, text) cut into chunks."""
-    return _chunks(chunk_table(docs).withColumn("chunk_index", F.col("chunk_index").cast("int")), models)
+    return fresh_chunks(docs.select("file_id", "text", *[F.lit(None).cast("string").alias(c) for c in ("ocr_text", "caption")]), models)
 
 
 def image_chunks(images: DataFrame, models: Models) -> DataFrame:
     """images (file_id, ocr_text, caption): recognised text with its terms taken apart, and the caption; none for empty ones."""
-    text = F.filter(F.array(F.struct(F.lit("ocr").alias("source_type"), split_terms(F.col("ocr_text")).alias("chunk_text")), F.struct(F.lit("image_caption").alias("source_type"), F.col("caption").alias("chunk_text"))), lambda x: F.coalesce(x["chunk_text"], F.lit("")) != "")
-    rows = images.select("file_id", F.explode(text).alias("x")).select("file_id", "x.source_type", F.lit(0).alias("chunk_index"), "x.chunk_text")
-    return _chunks(rows, models)
+    return fresh_chunks(images.select("file_id", F.lit(None).cast("string").alias("text"), "ocr_text", "caption"), models)
 
 
 def joined_words(lines: Column) -> tuple[Column, Column]:
@@ -125,15 +154,21 @@ def heal(state: State, models: Models, files: DataFrame) -> State:
     return reembed(state, models, lost)
 
 
-def clone(state: State, models: Models, plan: DataFrame) -> State:
-    """plan (file_id, source_id, hash): results of the source, under the file's own ids. Chunks whose vector exists come
-    with it, others are pending and embedded then. Names, places and times of the source aren't copied."""
+def copied(state: State, plan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, recognised texts and points of plan's sources, under the file's own ids."""
     points = ingest.clone_points(state.points, plan, state.chunks)
     points = points.select(*KEY, point_id(F.col("file_id"), F.col("source_type"), F.col("chunk_index")).alias("vec_id"), "embedding")
     has = points.select(*KEY, F.lit(True).alias("_has"))
     source = state.chunks.withColumnRenamed("file_id", "source_id")
     chunks = plan.select("file_id", "source_id").join(source, "source_id").join(has, KEY, "left").withColumn("embedding_status", F.when(F.col("_has"), SUCCESS).otherwise(PENDING)).select(CHUNK)
     read = plan.select("file_id", "source_id").join(state.ocr.withColumnRenamed("file_id", "source_id"), "source_id").select(state.ocr.columns)
+    return chunks, read, points
+
+
+def clone(state: State, models: Models, plan: DataFrame) -> State:
+    """plan (file_id, source_id, hash): results of the source, under the file's own ids. Chunks whose vector exists come
+    with it, others are pending and embedded then. Names, places and times of the source aren't copied."""
+    chunks, read, points = copied(state, plan)
     after = State(
         _marked(state.files, plan.withColumn("done", F.lit(True))),
         _without(state.chunks, plan).unionByName(chunks),
@@ -161,27 +196,36 @@ def changed_meanwhile(before: DataFrame, after: DataFrame) -> DataFrame:
 def process(state: State, content: DataFrame, models: Models, after: DataFrame | None = None) -> tuple[State, DataFrame]:
     """content: the batch's files as they are read: file_id, hash, text (documents), ocr_text, confidence, caption and
     taken (images), error (what can't be read, else null). after: a second look at size, time and hash, as content has
-    them. Returns the next state and each file's outcome (file_id, verdict, error)."""
+    them. Returns the next state and each file's outcome (file_id, verdict, error).
+
+    What a batch makes is written once: files, recognised texts, times, and the chunks and points that are new. Without
+    a model, chunks and points that stay are those of the state before, which has to stay where it is until `written`
+    copies them; so a batch costs what it changes. Ids are joined first, and texts meet only one join each."""
     # Without its content a file can't be hashed, so it fails before anything of it changes.
-    bad = content.where("error IS NOT NULL OR hash IS NULL").select("file_id", F.coalesce("error", F.lit("content hash failed")).alias("error"))
-    good = content.join(bad.select("file_id"), "file_id", "left_anti")
-    # What was decided, and each step's tables, are written: plans over them stay as small as one step.
-    plan = _saved(ingest.reuse(state.files, good, ingest.completeness(state.files, state.chunks, state.ocr)), "reuse")
+    told_bad = F.col("error").isNotNull() | F.col("hash").isNull()
+    bad = content.where(told_bad).select("file_id", F.coalesce("error", F.lit("content hash failed")).alias("error"))
+    good = content.where(~told_bad)
+    # What was decided is written: plans over it stay small.
+    plan = _saved(ingest.reuse(state.files, good, ingest.completeness(state.files, state.chunks, state.ocr)).join(state.files.select("file_id", "file_type"), "file_id"), "reuse")
     same, copies, fresh = (plan.where(F.col("verdict") == v) for v in ("same_file", "clone", "none"))
-    new = good.join(fresh.select("file_id"), "file_id", "left_semi").join(state.files.select("file_id", "file_type"), "file_id")
-    docs, images = new.where("file_type = 'doc'"), new.where("file_type = 'image'")
-    cut = document_chunks(docs.select("file_id", "text"), models).unionByName(image_chunks(images.select("file_id", "ocr_text", "caption"), models))
-    read = images.select("file_id", F.col("ocr_text").alias("text"), F.lit("zh+en").alias("lang"), F.col("confidence").cast("double").alias("confidence")).select(state.ocr.columns)
-    # Copies come first: a source may be in the batch too, and its old results, which the plan is about, go below.
-    out = written(clone(state, models, copies))
-    replaced = out.chunks.join(docs.select("file_id"), "file_id", "left_anti")
-    ours = images.select("file_id", F.lit(True).alias("_image"))
-    replaced = replaced.join(ours, "file_id", "left").where(F.col("_image").isNull() | ~F.col("source_type").isin(*IMAGE_KINDS)).select(CHUNK)
+    due = fresh.where("file_type IN ('doc', 'image')").select("file_id", F.col("file_type").alias("_kind"))
+    image = F.col("_kind") == "image"
+    new = good.join(due, "file_id").select("file_id", F.when(~image, F.col("text")).alias("text"), *[F.when(image, F.col(c)).alias(c) for c in ("ocr_text", "caption")])
+    cut = _saved(fresh_chunks(new, models), "cut")
+    read = good.join(due.where(image), "file_id").select("file_id", F.col("ocr_text").alias("text"), F.lit("zh+en").alias("lang"), F.col("confidence").cast("double").alias("confidence")).select(state.ocr.columns)
+    # Copies are of the state before: a source may be in the batch too, and the plan is about its old results.
+    own_chunks, own_read, own_points = (_saved(x, f"copied-{n}") for x, n in zip(copied(state, copies), ("chunks", "ocr", "points"), strict=True))
+    gone = due.unionByName(copies.select("file_id", F.lit("copy").alias("_kind")))
+    stays = F.col("_kind").isNull() | (image & ~F.col("source_type").isin(*IMAGE_KINDS))
+    kept = state.chunks.join(gone, "file_id", "left").where(stays).select(CHUNK)
     pictures = good.join(state.files.where("file_type = 'image'").select("file_id"), "file_id", "left_semi")
-    done = plan.where("verdict <> 'clone'").select("file_id", "hash", F.lit(True).alias("done"))
-    out = written(State(_marked(out.files, done), replaced.unionByName(cut), _without(out.ocr, read).unionByName(read), exif_rows(out, pictures), out.points))
+    put = read.unionByName(own_read)
+    points = state.points.join(own_points.select(KEY), KEY, "left_anti").unionByName(own_points)
+    out = State(_marked(state.files, plan.select("file_id", "hash", F.lit(True).alias("done"))), kept.unionByName(cut).unionByName(own_chunks), _without(state.ocr, put).unionByName(put), exif_rows(state, pictures), points)
     if models.embedding is not None:
-        out = written(heal(written(embed_pending(out, models, new)), models, same))
+        out = written(heal(written(embed_pending(written(out), models, due.select("file_id").unionByName(copies.select("file_id")))), models, same))
+    else:
+        out = replace(out, **{n: _saved(getattr(out, n), n) for n in ("files", "ocr", "exif")})
     failed = bad
     if after is not None:
         failed = failed.unionByName(changed_meanwhile(good.join(state.files.select("file_id", "size_bytes", "mtime_ns"), "file_id"), after.join(fresh.select("file_id"), "file_id", "left_semi")))

@@ -183,3 +183,31 @@ def test_streamed_replay_goes_on_after_its_cursor(spark, tmp_path):
     spark.createDataFrame([(4, 3, "/d", 0x100)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert seen[2:] == [("upsert", "/d")]
+
+
+def test_a_batch_writes_what_it_changes(spark, state, monkeypatch):
+    """Chunks and points of other files aren't written again, and no text is written twice."""
+    wrote = []
+    saved = pr._saved
+    monkeypatch.setattr(pr, "_saved", lambda df, name: wrote.append(saved(df, name)) or wrote[-1])
+    content = spark.createDataFrame([(2, "h1", "one", None, None, None, None, None), (3, "new", "fresh text here", None, None, None, None, None)], CONTENT)
+    out, _ = pr.process(state, content, pr.Models())
+    rows = [(r["file_id"], r["chunk_text"]) for df in wrote if "chunk_text" in df.columns for r in df.collect()]
+    assert sorted(rows) == [(2, "one"), (2, "two"), (3, "fresh text here")]
+    assert {r["file_id"] for df in wrote if "vec_id" in df.columns for r in df.collect()} == {2}
+    kept = sorted((r["file_id"], r["chunk_text"]) for r in state.chunks.where("file_id <> 3").collect())
+    assert sorted((r["file_id"], r["chunk_text"]) for r in out.chunks.collect()) == sorted([*kept, *rows])
+
+
+def test_one_worker_of_a_task_cuts_and_segments(spark):
+    """A second Python function would hold a batch of texts besides; chunks leave a worker in small batches."""
+    from loomstone.functions.chunk import chunks, segmented
+
+    texts = [None, "", "a b. " * 900, "one\n\ntwo 机器学习"] * 3
+    rows = spark.createDataFrame([(i, t, "NewYork2026" if i == 1 else None, "a sign" if i == 1 else "") for i, t in enumerate(texts)], "file_id long, text string, ocr_text string, caption string").coalesce(1)
+    df = pr.fresh_chunks(rows, pr.Models())
+    told = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in told and "EvalPython" not in told
+    got = [(r["file_id"], r["source_type"], r["chunk_index"], r["chunk_text"], r["chunk_text_seg"]) for r in df.collect()]
+    want = [(i, "doc_chunk", j, c, segmented(c)) for i, t in enumerate(texts) for j, c in enumerate(chunks(t))]
+    assert sorted(got) == sorted([*want, (1, "ocr", 0, "New York 2026", "New York 2026"), (1, "image_caption", 0, "a sign", "a sign")])
