@@ -37,6 +37,11 @@ def held(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
 
 
+def among(rows: DataFrame, few: DataFrame, *on: str) -> DataFrame:
+    """rows whose keys are in few, which has the rows of a channel at most: these go to every task, so rows aren't dealt."""
+    return rows.join(F.broadcast(few.select(*on).distinct()), list(on), "left_semi")
+
+
 def ranked(df: DataFrame) -> DataFrame:
     """rank by (score descending, id), of rows that are few already."""
     return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "file_id")))
@@ -60,8 +65,9 @@ def nearest(points: DataFrame, vector: list[float], k: int = TOP) -> DataFrame:
 
 def semantic(points: DataFrame, chunks: DataFrame, files: DataFrame, exif: DataFrame, vector: list[float], f: UnifiedFilter = UnifiedFilter(), k: int = TOP) -> DataFrame:
     """Top points; only those with a chunk of the same file, source and index; only files that pass; the best chunk of each."""
-    top = nearest(points, vector, k).join(chunks.select(TRIPLE), TRIPLE, "left_semi")
-    passing = with_exif(files, exif).where(canonical(f)).select("file_id")
+    top = held(nearest(points, vector, k))
+    top = top.join(among(chunks.select(TRIPLE), top, *TRIPLE), TRIPLE, "left_semi")
+    passing = with_exif(among(files, top, "file_id"), among(exif, top, "file_id")).where(canonical(f)).select("file_id")
     best = top.join(passing, "file_id", "left_semi").groupBy("file_id").agg(F.max(F.struct(F.col("score"), (-F.col("vec_id")).alias("v"), "source_type", "chunk_index")).alias("m"))
     return ranked(best.select("file_id", "m.score", "m.source_type", "m.chunk_index").orderBy(F.desc("score"), "file_id").limit(k))
 
@@ -88,12 +94,15 @@ RESULT = ["file_id", "path", "filename", "dir_path", "extension", "file_type", "
 def finalize(fused: DataFrame, files: DataFrame, exif: DataFrame, chunks: DataFrame, keyword: DataFrame, vectors: DataFrame, f: UnifiedFilter, k: int = 50) -> DataFrame:
     """The k best, then the filter once more (so fewer may be left), with what matched in each."""
     top = fused.orderBy(F.desc("rrf_score"), "file_id").limit(k)
-    rows = top.join(with_exif(files, exif).where(canonical(f)), "file_id")
+    rows = top.join(with_exif(among(files, top, "file_id"), among(exif, top, "file_id")).where(canonical(f)), "file_id")
     text = chunks.select("chunk_id", "file_id", "source_type", "chunk_index", snippet(F.col("chunk_text")).alias("text"))
     reason = lambda channel, score, text: F.struct(channel.alias("channel"), text.alias("text"), score.alias("score"), F.lit(None).cast("string").alias("basis"), F.lit(None).cast("string").alias("confidence"))
-    said = keyword.select("file_id", F.explode("evidence").alias("e")).select("file_id", "e.*").join(text.select("chunk_id", "text"), "chunk_id", "left").select("file_id", reason(F.col("channel"), F.col("score"), F.col("text")).alias("r"))
-    seen = vectors.join(text.drop("chunk_id"), TRIPLE, "left").select("file_id", reason(F.lit("semantic"), F.col("score"), F.col("text")).alias("r"))
-    reasons = said.unionByName(seen).join(top.select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(F.array_sort(F.collect_list("r")).alias("reasons"))
+    # Only the texts that are told of leave the tasks that read them.
+    matched = keyword.join(top.select("file_id"), "file_id", "left_semi").select("file_id", F.explode("evidence").alias("e")).select("file_id", "e.*")
+    said = matched.join(among(text, matched, "chunk_id").select("chunk_id", "text"), "chunk_id", "left").select("file_id", reason(F.col("channel"), F.col("score"), F.col("text")).alias("r"))
+    near = vectors.join(top.select("file_id"), "file_id", "left_semi")
+    seen = near.join(among(text, near, *TRIPLE).drop("chunk_id"), TRIPLE, "left").select("file_id", reason(F.lit("semantic"), F.col("score"), F.col("text")).alias("r"))
+    reasons = said.unionByName(seen).groupBy("file_id").agg(F.array_sort(F.collect_list("r")).alias("reasons"))
     rows = rows.join(reasons, "file_id", "left").withColumn("time_info", time_info(f.basis))
     timed = F.array(F.struct(F.lit("time").alias("channel"), F.col("time_info.value").alias("text"), F.lit(None).cast("double").alias("score"), F.col("time_info.basis").alias("basis"), F.col("time_info.confidence").alias("confidence")))
     own = F.coalesce("reasons", F.array().cast(timed_type()))

@@ -168,3 +168,19 @@ def test_postings_are_made_without_shuffling_words(spark, tmp_path):
     assert got[("w1", 5)] == (2 * len(range(1, 3000, 97)) + 1, [*range(1, 3000, 97), gap]) and len(got) == 3 + 97
     index.build(df)
     assert {(r["k"], r["len"]) for r in index.lengths.collect()} == {(1, 7), (2, 0), (3, 0), (4, 1), (5, 6001)}
+
+
+def test_reasons_deal_only_texts_that_are_told(spark, engine):
+    """However large the tables are: what a channel's few rows don't ask for isn't dealt."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kw = spark.createDataFrame([(2, -1.0, [("body", 11, -1.0), ("filename", None, -2.0)], 1)], "file_id bigint, score double, evidence array<struct<channel:string,chunk_id:bigint,score:double>>, rank int")
+        sem = search.held(search.semantic(engine.points, engine.chunks, engine.files, engine.exif, [1.0, 0.0]))
+        out = search.finalize(search.fuse(kw, sem), engine.files, engine.exif, engine.chunks, kw, sem, search.UnifiedFilter())
+        told = out._jdf.queryExecution().optimizedPlan().toString()
+        # files and exif, and the texts of each channel
+        assert told.count("Join LeftSemi") >= 4 and told.count("strategy=broadcast") >= 4
+        got = {r["file_id"]: [(x["channel"], x["text"]) for x in r["match_reasons"]] for r in out.collect()}
+        assert ("body", "a cat is an animal") in got[2] and ("filename", None) in got[2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
