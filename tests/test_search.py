@@ -184,3 +184,14 @@ def test_reasons_deal_only_texts_that_are_told(spark, engine):
         assert ("body", "a cat is an animal") in got[2] and ("filename", None) in got[2]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_update_leaves_other_postings_as_they_are(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"w{i} dog") for i in range(20)], "k bigint, t string")
+    index = bm25.Index(spark, f"file://{tmp_path}/index", ["t"], "k").build(df)
+    files = lambda: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "index" / "postings-1").iterdir()}
+    before = files()
+    index.update(gone=df.where("k < 5"), fresh=df.where("k = 7").withColumn("t", F.lit("cat dog")))
+    assert files() == before and spark.read.parquet(f"{tmp_path}/index/postings-2").count() == 2
+    got = {r["term"]: (r["df"], r["cf"]) for r in index.statistics().collect()}
+    assert got["dog"] == (15, 15) and got["cat"] == (1, 1) and "w3" not in got and "w7" not in got
